@@ -36,7 +36,7 @@ from citespark.operators.encode import (  # noqa: E402
     pending_rows,
     tfidf_model,
 )
-from citespark.operators.rerank import fetch_documents, rerank, score_pairs  # noqa: E402
+from citespark.operators.rerank import rerank, score_pairs  # noqa: E402
 from citespark.operators.stable import cut_lineage, shared_folder  # noqa: E402
 from citespark.plans import answering, compare, known_item  # noqa: E402
 from citespark.plans.make_corpus import corpus_from_csv  # noqa: E402
@@ -513,23 +513,22 @@ def _drafts(spark: SparkSession, sf_dir: str, corpus_rows: DataFrame) -> DataFra
     return inside.unionByName(outside)
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut_lineage(_corpus(spark, sf_dir))
-    found = answering.candidates_for(
-        _questions(spark, sf_dir, rows), rows, make_encoder, TEXT_DIM
-    )
-    return rows, found
+    questions = _questions(spark, sf_dir, rows)
+    nearest = answering.nearest_documents(questions, rows, make_encoder, TEXT_DIM)
+    return answering.with_texts(nearest, questions, rows)
 
 
 def _sourced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows, found = _candidates(spark, sf_dir)
-    reranked = cut_lineage(rerank(found))
-    return rows, _questions(spark, sf_dir, rows), reranked
+    rows = cut_lineage(_corpus(spark, sf_dir))
+    questions = _questions(spark, sf_dir, rows)
+    reranked = answering.retrieve_and_rerank(questions, rows, make_encoder, TEXT_DIM)
+    return rows, questions, reranked
 
 
 def fetch_ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = _candidates(spark, sf_dir)
-    return found.select(
+    return _candidates(spark, sf_dir).select(
         "query_id",
         F.col("rank").cast("bigint").alias("rank"),
         "doc_id",
@@ -542,8 +541,7 @@ def fetch_ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = _candidates(spark, sf_dir)
-    return score_pairs(found).select(
+    return score_pairs(_candidates(spark, sf_dir)).select(
         "query_id", "doc_id", F.round("reranker_score", 6).alias("reranker_score")
     )
 
@@ -561,6 +559,16 @@ def retrieve_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rerank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reranking a candidate table that already carries its texts."""
+    return rerank(_candidates(spark, sf_dir)).select(
+        "query_id",
+        F.col("source_rank").cast("bigint").alias("source_rank"),
+        "doc_id",
+        F.round("final_score", 6).alias("final_score"),
+    )
+
+
 def build_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, questions, reranked = _sourced(spark, sf_dir)
     rows = answering.sourced_questions(questions, reranked)
@@ -731,6 +739,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     fetch_ranked_documents,
     score_candidate_pairs,
     retrieve_rerank,
+    rerank_candidates,
     build_context,
     build_prompt,
     answer_gate,

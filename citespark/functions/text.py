@@ -57,12 +57,12 @@ def strip_ends(text: Column) -> Column:
 def word_set(text: Column) -> Column:
     """Distinct lower-case words, split at anything but letters and digits."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_A_WORD)
-    return F.array_distinct(F.filter(words, lambda word: word != ""))
+    return F.array_distinct(F.array_remove(words, ""))
 
 
 def first_words(text: Column, limit: int) -> Column:
     """The first ``limit`` words, followed by ' ...' when any were left out."""
-    words = F.filter(F.split(clean_text(text), " "), lambda word: word != "")
+    words = F.array_remove(F.split(clean_text(text), " "), "")
     shortened = F.array_join(F.slice(words, 1, limit), " ")
     return F.when(F.size(words) > limit, F.concat(shortened, F.lit(" ..."))).otherwise(shortened)
 

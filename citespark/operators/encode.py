@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from citespark.functions.text import NOT_A_WORD
 from citespark.functions.vectors import UNIT_TOLERANCE
+from citespark.operators.stable import spread_few_files
 
 # Turns a list of texts into one row of floats per text.
 TextEncoder = Callable[[list[str]], np.ndarray]
@@ -100,7 +101,7 @@ def encode_texts(
     batch_size: int = 256,
     into: str = "embedding",
 ) -> DataFrame:
-    return df.withColumn(
+    return spread_few_files(df).withColumn(
         into, encoded(F.col(text_column), make_encoder, dimension, batch_size)
     )
 

@@ -24,20 +24,23 @@ PairScorer = Callable[[list[tuple[str, str]]], np.ndarray]
 def fetch_documents(results: DataFrame, corpus: DataFrame) -> DataFrame:
     """Join ranked ids to their documents and clean the texts.
 
-    An id that the corpus lacks fails the job. A document that very many
-    queries retrieved makes the result side skewed on ``doc_id``; AQE splits
-    such a partition of the join.
+    The corpus is first cut down to the documents asked for, so each text is
+    cleaned once however often it was retrieved. An id that the corpus lacks
+    fails the job. A document that very many queries retrieved makes the
+    result side skewed on ``doc_id``; AQE splits such a partition of the join.
     """
     require_columns(corpus, ["doc_id", "title", "question_body", "answer"], "the corpus")
-    known = corpus.withColumn("_known", F.lit(True))
-    rows = results.join(known, "doc_id", "left")
+    asked = results.select("doc_id").distinct()
+    known = corpus.join(asked, "doc_id", "left_semi").withColumns(
+        {
+            **{t: clean_text(F.col(t)) for t in ("title", "question_body", "answer")},
+            "_known": F.lit(True),
+        }
+    )
     checked = F.when(F.col("_known"), F.col("doc_id")).otherwise(
         F.raise_error(F.concat(F.lit("no document with id "), F.col("doc_id").cast("string")))
     )
-    rows = rows.withColumn("doc_id", checked).drop("_known")
-    for text in ("title", "question_body", "answer"):
-        rows = rows.withColumn(text, clean_text(F.col(text)))
-    return rows
+    return results.join(known, "doc_id", "left").withColumn("doc_id", checked).drop("_known")
 
 
 def pair_document(title: Column, body: Column) -> Column:
@@ -87,28 +90,43 @@ def score_pairs(
     return candidates.withColumn("reranker_score", score)
 
 
-def rerank(
+def score_candidates(
     candidates: DataFrame,
-    top_k: int = SOURCES,
     make_scorer: Callable[[], PairScorer] | None = None,
     batch_size: int = 32,
     answer_score_weight: float = ANSWER_SCORE_WEIGHT,
 ) -> DataFrame:
-    """Keep the ``top_k`` candidates per query by final score.
-
-    ``source_rank`` numbers them from 1. Missing scores come last, ties go to
-    the lower document id.
-    """
-    if top_k <= 0:
-        raise ValueError("top_k must be positive")
+    """Add ``reranker_score`` and, with the quality bonus, ``final_score``."""
     require_columns(candidates, ["query_id", "doc_id", "answer_score"], "the candidate table")
-    scored = score_pairs(candidates, make_scorer, batch_size).withColumn(
+    return score_pairs(candidates, make_scorer, batch_size).withColumn(
         "final_score",
         final_score(F.col("reranker_score"), F.col("answer_score"), answer_score_weight),
     )
+
+
+def best_sources(scored: DataFrame, top_k: int = SOURCES) -> DataFrame:
+    """Keep the ``top_k`` rows per query by final score, as ``source_rank`` 1..k.
+
+    Missing scores come last, ties go to the lower document id.
+    """
+    if top_k <= 0:
+        raise ValueError("top_k must be positive")
     order = Window.partitionBy("query_id").orderBy(
         F.desc_nulls_last("final_score"), F.asc("doc_id")
     )
     return scored.withColumn("source_rank", F.row_number().over(order)).filter(
         F.col("source_rank") <= top_k
     )
+
+
+def rerank(
+    candidates: DataFrame,
+    top_k: int = SOURCES,
+    make_scorer: Callable[[], PairScorer] | None = None,
+    batch_size: int = 32,
+    answer_score_weight: float = ANSWER_SCORE_WEIGHT,
+) -> DataFrame:
+    """Score candidates that carry their texts and keep the best per query."""
+    return best_sources(
+        score_candidates(candidates, make_scorer, batch_size, answer_score_weight), top_k
+    )

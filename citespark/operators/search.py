@@ -30,6 +30,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 QUERY_PART_ROWS = 16_384
 DOCUMENT_PART_ROWS = 131_072
 TILE_VALUES = 1 << 22
+LISTED_CELLS = 2_048
 
 # Scores are compared at nine decimals: finer than the float32 vectors carry,
 # and coarse enough that summation order never decides a rank.
@@ -142,7 +143,11 @@ def _against_broadcast(queries: DataFrame, documents: DataFrame, k: int, dimensi
         for held in best.values():
             yield _batch(*held.result())
 
-    return documents.select("_cell", "doc_id", "embedding").mapInArrow(score, PARTIAL_SCHEMA)
+    wanted = documents.select("_cell", "doc_id", "embedding")
+    if len(by_cell) <= LISTED_CELLS:
+        # Lets an index stored by cell skip the files of all other cells.
+        wanted = wanted.filter(F.col("_cell").isin(sorted(by_cell)))
+    return wanted.mapInArrow(score, PARTIAL_SCHEMA)
 
 
 def _on_grid(

@@ -34,6 +34,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread_few_files(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work on a table that comes in few files.
+
+    A Parquet row group is read by one task. A table in more files than the
+    session has cores is left alone, so no big table is shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def require_columns(df: DataFrame, columns: list[str], what: str) -> None:
     missing = sorted(set(columns) - set(df.columns))
     if missing:

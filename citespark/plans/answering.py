@@ -19,13 +19,20 @@ from citespark.operators.answers import (
 )
 from citespark.operators.encode import TextEncoder
 from citespark.operators.project import Projection, project
-from citespark.operators.rerank import CANDIDATES, SOURCES, PairScorer, fetch_documents, rerank
+from citespark.operators.rerank import (
+    CANDIDATES,
+    SOURCES,
+    PairScorer,
+    best_sources,
+    fetch_documents,
+    score_candidates,
+)
 from citespark.operators.search import exact_topk
 from citespark.operators.stable import cut_lineage
 from citespark.plans.known_item import encoded_sides
 
 
-def candidates_for(
+def nearest_documents(
     questions: DataFrame,
     corpus: DataFrame,
     make_encoder: Callable[[], TextEncoder],
@@ -33,10 +40,10 @@ def candidates_for(
     projection: Projection | None = None,
     n_candidates: int = CANDIDATES,
 ) -> DataFrame:
-    """The documents nearest to each question, with their texts.
+    """Ids of the documents whose question bodies are nearest to each question.
 
-    Questions are compared with question bodies. The ranking is written before
-    the corpus is joined, so the costly scorer sees only these rows.
+    The ranking is written, so that the costly steps after it start from a
+    table of ids and not from the search.
     """
     documents = corpus.select("doc_id", F.col("question_body").alias("text"))
     asked, stored = encoded_sides(
@@ -46,8 +53,12 @@ def candidates_for(
         asked, stored = project(asked, projection), project(stored, projection)
         dimension = projection.output_dimension
     nearest = cut_lineage(exact_topk(asked, stored, n_candidates, dimension))
-    ranked = nearest.withColumnRenamed("score", "vector_similarity")
-    return fetch_documents(ranked, corpus).join(
+    return nearest.withColumnRenamed("score", "vector_similarity")
+
+
+def with_texts(nearest: DataFrame, questions: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Candidates with the texts of both sides."""
+    return fetch_documents(nearest, corpus).join(
         questions.select("query_id", "query"), "query_id"
     )
 
@@ -62,11 +73,19 @@ def retrieve_and_rerank(
     n_sources: int = SOURCES,
     make_scorer: Callable[[], PairScorer] | None = None,
 ) -> DataFrame:
-    """The best sources per question, numbered by ``source_rank``."""
-    found = candidates_for(
+    """The best sources per question, numbered by ``source_rank``.
+
+    Candidates are scored where the corpus join leaves them. Only their scores
+    are shuffled to be ranked, and only the few winners meet their texts again.
+    """
+    nearest = nearest_documents(
         questions, corpus, make_encoder, dimension, projection, n_candidates
     )
-    return rerank(found, n_sources, make_scorer)
+    scored = score_candidates(with_texts(nearest, questions, corpus), make_scorer)
+    slim = scored.select(
+        "query_id", "doc_id", "vector_similarity", "reranker_score", "final_score"
+    )
+    return fetch_documents(best_sources(slim, n_sources), corpus)
 
 
 def sourced_questions(questions: DataFrame, reranked: DataFrame) -> DataFrame:

@@ -575,6 +575,8 @@ def _answer_sql() -> dict[str, str]:
             round(vector_similarity, 6) AS vector_similarity,
             round(reranker_score, 6) AS reranker_score,
             round(final_score, 6) AS final_score, title FROM reranked""",
+        "rerank_candidates": f"""WITH {SOURCED} SELECT query_id, source_rank, doc_id,
+            round(final_score, 6) AS final_score FROM reranked""",
         "build_context": f"WITH {SOURCED} SELECT query_id, context FROM contexts",
         "build_prompt": f"""WITH {SOURCED} SELECT query_id, '{system}' AS system_prompt,
             'Question:' || chr(10) || query || chr(10) || chr(10) || 'Sources:' || chr(10)
