@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from citespark.functions.text import NOT_A_WORD
 from citespark.functions.vectors import UNIT_TOLERANCE
-from citespark.operators.stable import spread_few_files
+from citespark.operators.stable import run_once, spread_few_files
 
 # Turns a list of texts into one row of floats per text.
 TextEncoder = Callable[[list[str]], np.ndarray]
@@ -90,7 +90,7 @@ def encoded(
                 rows.extend(_checked(encoder(part), len(part), dimension))
             yield pd.Series(rows, dtype=object)
 
-    return encode(text)
+    return run_once(encode)(text)
 
 
 def encode_texts(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citespark.functions.scoring import ANSWER_SCORE_WEIGHT, final_score, shared_word_score
 from citespark.functions.text import clean_text
-from citespark.operators.stable import require_columns
+from citespark.operators.stable import require_columns, run_once
 
 # Candidates retrieved per query and sources kept.
 CANDIDATES = 40
@@ -72,7 +72,7 @@ def model_score(
                 scores.extend(found)
             yield pd.Series(scores, dtype="float64")
 
-    return score(query, document)
+    return run_once(score)(query, document)
 
 
 def score_pairs(

@@ -44,6 +44,15 @@ def spread_few_files(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
+def run_once(model_udf):
+    """Keep Catalyst from copying a costly Python call into an inferred filter.
+
+    Exploding or filtering a result makes Spark derive further conditions on
+    it, and each would call the model again for every row.
+    """
+    return model_udf.asNondeterministic()
+
+
 def require_columns(df: DataFrame, columns: list[str], what: str) -> None:
     missing = sorted(set(columns) - set(df.columns))
     if missing:
