@@ -131,7 +131,7 @@ def _ranking(found: DataFrame) -> DataFrame:
         "query_id",
         F.col("rank").cast("bigint").alias("rank"),
         "doc_id",
-        F.round("score", 6).alias("score"),
+        "score",
     )
 
 
@@ -532,7 +532,7 @@ def fetch_ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id",
         F.col("rank").cast("bigint").alias("rank"),
         "doc_id",
-        F.round("vector_similarity", 6).alias("vector_similarity"),
+        "vector_similarity",
         "title",
         "question_body",
         "answer",
@@ -552,7 +552,7 @@ def retrieve_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id",
         F.col("source_rank").cast("bigint").alias("source_rank"),
         "doc_id",
-        F.round("vector_similarity", 6).alias("vector_similarity"),
+        "vector_similarity",
         F.round("reranker_score", 6).alias("reranker_score"),
         F.round("final_score", 6).alias("final_score"),
         "title",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citespark.operators.running import running_totals
+from citespark.operators.stable import cut_lineage
 
 
 def _labelled(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -52,18 +53,19 @@ def threshold_metrics(df: DataFrame, label: str, score: str, threshold: float) -
 
 def thresholds(df: DataFrame, label: str, score: str) -> DataFrame:
     """Metrics at every distinct score, from running counts over grouped scores."""
-    rows = _labelled(df, label, score)
-    per_score = (
-        rows.filter(F.col("_score").isNotNull())
+    # Written once; rows without a score keep a group of their own for the totals.
+    per_score = cut_lineage(
+        _labelled(df, label, score)
         .groupBy("_score")
         .agg(
             F.count_if(F.col("_label") == 1).alias("_pos"),
             F.count_if(F.col("_label") == 0).alias("_neg"),
         )
     )
-    running = running_totals(per_score, "_score", ["_pos", "_neg"], [], descending=True)
-    all_pos = rows.agg(F.count_if(F.col("_label") == 1)).scalar()
-    all_neg = rows.agg(F.count_if(F.col("_label") == 0)).scalar()
+    scored = per_score.filter(F.col("_score").isNotNull())
+    running = running_totals(scored, "_score", ["_pos", "_neg"], [], descending=True)
+    all_pos = per_score.agg(F.sum("_pos")).scalar()
+    all_neg = per_score.agg(F.sum("_neg")).scalar()
     tp, fp = F.col("cum__pos"), F.col("cum__neg")
     return running.select(
         F.col("_score").alias("threshold"), *_rates(tp, fp, all_pos - tp, all_neg - fp)

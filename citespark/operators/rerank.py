@@ -17,6 +17,9 @@ from citespark.operators.stable import require_columns, run_once
 CANDIDATES = 40
 SOURCES = 3
 
+# Most ids to broadcast: 8 bytes each, some tens of MiB with their hash table.
+BROADCAST_IDS = 2_000_000
+
 # Scores a list of (query, document) pairs.
 PairScorer = Callable[[list[tuple[str, str]]], np.ndarray]
 
@@ -25,12 +28,18 @@ def fetch_documents(results: DataFrame, corpus: DataFrame) -> DataFrame:
     """Join ranked ids to their documents and clean the texts.
 
     The corpus is first cut down to the documents asked for, so each text is
-    cleaned once however often it was retrieved. An id that the corpus lacks
-    fails the job. A document that very many queries retrieved makes the
-    result side skewed on ``doc_id``; AQE splits such a partition of the join.
+    cleaned once however often it was retrieved. Up to BROADCAST_IDS distinct
+    ids, found by counting, that filter needs no shuffle of the corpus. Pass
+    ``results`` as a stored table, since it is read for the ids as well.
+
+    An id that the corpus lacks fails the job. A document that very many
+    queries retrieved makes the result side skewed on ``doc_id``; AQE splits
+    such a partition of the join.
     """
     require_columns(corpus, ["doc_id", "title", "question_body", "answer"], "the corpus")
     asked = results.select("doc_id").distinct()
+    if asked.count() <= BROADCAST_IDS:
+        asked = F.broadcast(asked)
     known = corpus.join(asked, "doc_id", "left_semi").withColumns(
         {
             **{t: clean_text(F.col(t)) for t in ("title", "question_body", "answer")},

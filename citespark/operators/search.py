@@ -28,7 +28,7 @@ from citespark.operators.stable import require_columns
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 QUERY_PART_ROWS = 16_384
-DOCUMENT_PART_ROWS = 131_072
+DOCUMENT_PART_ROWS = 65_536
 TILE_VALUES = 1 << 22
 LISTED_CELLS = 2_048
 

@@ -32,6 +32,10 @@ from citespark.operators.stable import cut_lineage
 from citespark.plans.known_item import encoded_sides
 
 
+# Searches (queries, documents, k, dimension); exact unless told otherwise.
+Search = Callable[[DataFrame, DataFrame, int, int], DataFrame]
+
+
 def nearest_documents(
     questions: DataFrame,
     corpus: DataFrame,
@@ -39,6 +43,7 @@ def nearest_documents(
     dimension: int,
     projection: Projection | None = None,
     n_candidates: int = CANDIDATES,
+    search: Search = exact_topk,
 ) -> DataFrame:
     """Ids of the documents whose question bodies are nearest to each question.
 
@@ -50,16 +55,21 @@ def nearest_documents(
         questions.select("query_id", "query"), documents, make_encoder, dimension
     )
     if projection is not None:
-        asked, stored = project(asked, projection), project(stored, projection)
+        asked = cut_lineage(project(asked, projection))
+        stored = cut_lineage(project(stored, projection))
         dimension = projection.output_dimension
-    nearest = cut_lineage(exact_topk(asked, stored, n_candidates, dimension))
+    nearest = cut_lineage(search(asked, stored, n_candidates, dimension))
     return nearest.withColumnRenamed("score", "vector_similarity")
 
 
 def with_texts(nearest: DataFrame, questions: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Candidates with the texts of both sides."""
-    return fetch_documents(nearest, corpus).join(
-        questions.select("query_id", "query"), "query_id"
+    """Candidates with the texts of both sides.
+
+    The short questions join the ids first, so that the long document texts are
+    not shuffled again.
+    """
+    return fetch_documents(
+        nearest.join(questions.select("query_id", "query"), "query_id"), corpus
     )
 
 
@@ -72,20 +82,22 @@ def retrieve_and_rerank(
     n_candidates: int = CANDIDATES,
     n_sources: int = SOURCES,
     make_scorer: Callable[[], PairScorer] | None = None,
+    search: Search = exact_topk,
 ) -> DataFrame:
     """The best sources per question, numbered by ``source_rank``.
 
     Candidates are scored where the corpus join leaves them. Only their scores
     are shuffled to be ranked, and only the few winners meet their texts again.
+    The winners are written first, so that no pair is scored twice.
     """
     nearest = nearest_documents(
-        questions, corpus, make_encoder, dimension, projection, n_candidates
+        questions, corpus, make_encoder, dimension, projection, n_candidates, search
     )
     scored = score_candidates(with_texts(nearest, questions, corpus), make_scorer)
     slim = scored.select(
         "query_id", "doc_id", "vector_similarity", "reranker_score", "final_score"
     )
-    return fetch_documents(best_sources(slim, n_sources), corpus)
+    return fetch_documents(cut_lineage(best_sources(slim, n_sources)), corpus)
 
 
 def sourced_questions(questions: DataFrame, reranked: DataFrame) -> DataFrame:

@@ -164,7 +164,7 @@ def query_cells(base: str, queries: str) -> str:
               FROM {queries} q CROSS JOIN {base}_pivots p))"""
 
 
-RANKING = "query_id, rank, doc_id, round(score, 6) AS score"
+RANKING = "query_id, rank, doc_id, score"
 
 VECTORS = "v AS (SELECT vec_id AS id, embedding AS e FROM embeddings)"
 
@@ -567,12 +567,12 @@ def _answer_sql() -> dict[str, str]:
     system = system_prompt().replace("'", "''")
     return {
         "fetch_ranked_documents": f"""WITH {CANDIDATES} SELECT query_id, rank, doc_id,
-            round(vector_similarity, 6) AS vector_similarity, title, question_body, answer, url
+            vector_similarity, title, question_body, answer, url
             FROM candidates""",
         "score_candidate_pairs": f"""WITH {CANDIDATES} SELECT query_id, doc_id,
             round(reranker_score, 6) AS reranker_score FROM scored""",
         "retrieve_rerank": f"""WITH {SOURCED} SELECT query_id, source_rank, doc_id,
-            round(vector_similarity, 6) AS vector_similarity,
+            vector_similarity,
             round(reranker_score, 6) AS reranker_score,
             round(final_score, 6) AS final_score, title FROM reranked""",
         "rerank_candidates": f"""WITH {SOURCED} SELECT query_id, source_rank, doc_id,
