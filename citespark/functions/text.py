@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +25,11 @@ def strip_html(text: Column) -> Column:
     return F.trim(F.regexp_replace(without_tags, r"\s+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def _decode_entities(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _decode_entities(text: pa.Array) -> pa.Array:
+    return pa.array(
+        [None if t is None else html.unescape(t) for t in text.to_pylist()], pa.string()
+    )
 
 
 def squeeze_space(text: Column) -> Column:

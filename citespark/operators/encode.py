@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citespark.functions.text import NOT_A_WORD
-from citespark.functions.vectors import UNIT_TOLERANCE
+from citespark.functions.vectors import UNIT_TOLERANCE, as_arrow
 from citespark.operators.stable import run_once, spread_few_files
 
 # Turns a list of texts into one row of floats per text.
@@ -79,16 +79,16 @@ def encoded(
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = make_encoder()
-        for texts in batches:
-            values = texts.fillna("").tolist()
-            rows: list[np.ndarray] = []
-            for start in range(0, len(values), batch_size):
-                part = values[start : start + batch_size]
-                rows.extend(_checked(encoder(part), len(part), dimension))
-            yield pd.Series(rows, dtype=object)
+        for batch in batches:
+            texts = [text or "" for text in batch.to_pylist()]
+            parts = [np.empty((0, dimension), dtype=np.float32)]
+            for start in range(0, len(texts), batch_size):
+                part = texts[start : start + batch_size]
+                parts.append(_checked(encoder(part), len(part), dimension))
+            yield as_arrow(np.concatenate(parts))
 
     return run_once(encode)(text)
 

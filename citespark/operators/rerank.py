@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +67,11 @@ def model_score(
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         scorer = make_scorer()
         for queries, documents in batches:
-            pairs = list(zip(queries, documents))
+            pairs = list(zip(queries.to_pylist(), documents.to_pylist()))
             scores: list[float] = []
             for start in range(0, len(pairs), batch_size):
                 part = pairs[start : start + batch_size]
@@ -79,7 +79,7 @@ def model_score(
                 if len(found) != len(part):
                     raise ValueError(f"{len(part)} pairs got {len(found)} scores")
                 scores.extend(found)
-            yield pd.Series(scores, dtype="float64")
+            yield pa.array(scores, pa.float64())
 
     return run_once(score)(query, document)
 

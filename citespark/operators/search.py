@@ -50,7 +50,7 @@ def check_unit_vectors(df: DataFrame, dimension: int, column: str = "embedding")
     return df.withColumn(column, F.when(fine, vector).otherwise(F.raise_error(message)))
 
 
-def _first_k(rows: np.ndarray, docs: np.ndarray, scores: np.ndarray, k: int):
+def first_k(rows: np.ndarray, docs: np.ndarray, scores: np.ndarray, k: int):
     """Sort by (row, score descending, document) and keep k per row, with ranks."""
     order = np.lexsort((docs, -scores, rows))
     rows, docs, scores = rows[order], docs[order], scores[order]
@@ -78,7 +78,7 @@ class _BestK:
             for q in range(0, len(self.query_ids), height):
                 scores = self.queries[q : q + height] @ documents[d : d + width].T
                 found.append(self._candidates(scores, q, doc_ids[d : d + width]))
-        rows, docs, scores, rank = _first_k(
+        rows, docs, scores, rank = first_k(
             *(np.concatenate(part) for part in zip(*found)), self.k
         )
         self.held = (rows, docs, scores)
@@ -100,7 +100,7 @@ class _BestK:
         useful = (values > self.floor[rows]) | (
             (values == self.floor[rows]) & (docs < self.last_doc[rows])
         )
-        return _first_k(rows[useful], docs[useful], values[useful], self.k)[:3]
+        return first_k(rows[useful], docs[useful], values[useful], self.k)[:3]
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows, docs, scores = self.held
