@@ -42,13 +42,14 @@ def is_unit(vector: Column) -> Column:
 
 
 def as_matrix(vectors: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
-    """Rows of an Arrow list column as a float64 matrix, without Python objects."""
+    """Rows of an Arrow list column as a float32 matrix, without Python objects."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     flat = vectors.flatten()
     if vectors.null_count or flat.null_count or len(flat) != len(vectors) * dimension:
         raise ValueError(f"expected vectors of {dimension} numbers without gaps")
-    matrix = flat.to_numpy(zero_copy_only=False).reshape(-1, dimension).astype(np.float64)
+    matrix = flat.to_numpy(zero_copy_only=False).reshape(-1, dimension)
+    matrix = matrix.astype(np.float32, copy=False)
     if not np.isfinite(matrix).all():
         raise ValueError("vectors must be finite")
     return matrix

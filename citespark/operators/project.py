@@ -90,7 +90,7 @@ def project(df: DataFrame, projection: Projection, column: str = "embedding") ->
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = as_matrix(batch.column(column), input_dimension)
+            rows = as_matrix(batch.column(column), input_dimension).astype(np.float64)
             reduced = (rows - mean) @ components.T
             length = np.linalg.norm(reduced, axis=1, keepdims=True)
             if len(length) and length.min() <= SMALLEST_NORM:

@@ -60,49 +60,72 @@ def first_k(rows: np.ndarray, docs: np.ndarray, scores: np.ndarray, k: int):
 
 
 class _BestK:
-    """The best k documents of each query seen so far by one task."""
+    """The best k documents of each query seen so far by one task.
+
+    Tiles are scored in float32. What may reach a query's best k, given the
+    largest rounding error possible, is scored again in float64 and compared.
+    """
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> None:
         self.query_ids, self.queries, self.k = query_ids, queries, k
-        n = len(query_ids)
+        n, dimension = queries.shape
+        length = np.linalg.norm(queries, axis=1).max() if n else 0.0
+        self.error = 1.01 * (dimension + 2) * 2.0**-24 * length
         # Score and document of the k-th best; what does not beat them is dropped.
         self.floor = np.full(n, -np.inf)
         self.last_doc = np.full(n, np.iinfo(np.int64).max)
         self.held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.waiting: list[tuple] = []
+        self.n_waiting = 0
 
-    def add(self, doc_ids: np.ndarray, documents: np.ndarray) -> None:
-        found = [self.held]
+    def add(self, doc_ids: np.ndarray, documents: np.ndarray, rows: np.ndarray) -> None:
+        """Offer documents to the queries numbered ``rows``."""
         width = max(1, min(len(doc_ids), 4096))
         height = max(1, TILE_VALUES // width)
         for d in range(0, len(doc_ids), width):
-            for q in range(0, len(self.query_ids), height):
-                scores = self.queries[q : q + height] @ documents[d : d + width].T
-                found.append(self._candidates(scores, q, doc_ids[d : d + width]))
-        rows, docs, scores, rank = first_k(
-            *(np.concatenate(part) for part in zip(*found)), self.k
-        )
-        self.held = (rows, docs, scores)
-        full = rank == self.k - 1
-        self.floor[rows[full]] = scores[full]
-        self.last_doc[rows[full]] = docs[full]
-
-    def _candidates(self, scores: np.ndarray, q: int, doc_ids: np.ndarray):
-        floor = self.floor[q : q + len(scores)]
+            for q in range(0, len(rows), height):
+                found = self._candidates(
+                    rows[q : q + height], doc_ids[d : d + width], documents[d : d + width]
+                )
+                self.waiting.append(found)
+                self.n_waiting += len(found[0])
+                if self.n_waiting > max(65_536, 2 * len(self.held[0])):
+                    self._merge()
+
+    def _candidates(self, rows: np.ndarray, doc_ids: np.ndarray, documents: np.ndarray):
+        scores = self.queries[rows] @ documents.T
+        error = self.error * np.linalg.norm(documents, axis=1).max() + MARGIN
+        floor = self.floor[rows]
         unset = np.flatnonzero(np.isneginf(floor))
-        if len(unset) and scores.shape[1] >= self.k:
-            at = scores.shape[1] - self.k
-            kth = np.partition(scores[unset], at, axis=1)[:, at]
-            floor[unset] = np.round(kth, SCORE_DECIMALS)
-        rows, columns = np.nonzero(scores >= floor[:, None] - MARGIN)
-        values = np.round(scores[rows, columns], SCORE_DECIMALS)
-        docs, rows = doc_ids[columns], rows + q
+        if len(unset) and len(doc_ids) >= self.k:
+            at = len(doc_ids) - self.k
+            kth = np.partition(scores[unset], at, axis=1)[:, at].astype(np.float64)
+            floor[unset] = np.round(kth - error, SCORE_DECIMALS) - MARGIN
+            self.floor[rows] = floor
+        at_row, at_doc = np.nonzero(scores >= (floor - error).astype(np.float32)[:, None])
+        rows, docs = rows[at_row], doc_ids[at_doc]
+        exact = np.einsum(
+            "ij,ij->i",
+            self.queries[rows].astype(np.float64),
+            documents[at_doc].astype(np.float64),
+        )
+        values = np.round(exact, SCORE_DECIMALS)
         # Copies of one document tie at the floor; most of them end here.
         useful = (values > self.floor[rows]) | (
             (values == self.floor[rows]) & (docs < self.last_doc[rows])
         )
         return first_k(rows[useful], docs[useful], values[useful], self.k)[:3]
 
+    def _merge(self) -> None:
+        parts = zip(*[self.held, *self.waiting])
+        rows, docs, scores, rank = first_k(*(np.concatenate(part) for part in parts), self.k)
+        self.held, self.waiting, self.n_waiting = (rows, docs, scores), [], 0
+        full = rank == self.k - 1
+        self.floor[rows[full]] = scores[full]
+        self.last_doc[rows[full]] = docs[full]
+
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._merge()
         rows, docs, scores = self.held
         return self.query_ids[rows], docs, scores
 
@@ -118,30 +141,41 @@ def _batch(query_ids: np.ndarray, docs: np.ndarray, scores: np.ndarray) -> pa.Re
     )
 
 
+def _rows_by_cell(lists: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """For each cell, the numbers of the queries that probe it."""
+    lists = lists.combine_chunks()
+    cells = lists.flatten().to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    order = np.argsort(cells, kind="stable")
+    found, starts = np.unique(cells[order], return_index=True)
+    return dict(zip(found.tolist(), np.split(rows[order], starts[1:])))
+
+
 def _against_broadcast(queries: DataFrame, documents: DataFrame, k: int, dimension: int):
     """Stream the documents past a broadcast query matrix; no shuffle of either."""
-    rows = queries.select("_cell", "query_id", "embedding").toArrow()
-    cells = rows.column("_cell").to_numpy()
-    ids = rows.column("query_id").to_numpy()
-    matrix = as_matrix(rows.column("embedding"), dimension)
-    by_cell = {int(c): (ids[cells == c], matrix[cells == c]) for c in np.unique(cells)}
-    shared = documents.sparkSession.sparkContext.broadcast(by_cell)
+    held = queries.select("query_id", "embedding", "_cells").toArrow()
+    by_cell = _rows_by_cell(held.column("_cells"))
+    shared = documents.sparkSession.sparkContext.broadcast(
+        (
+            held.column("query_id").to_numpy(),
+            as_matrix(held.column("embedding"), dimension),
+            by_cell,
+        )
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, _BestK] = {}
+        query_ids, matrix, rows_of = shared.value
+        best = _BestK(query_ids, matrix, k)
         for batch in batches:
-            cell = batch.column("_cell").to_numpy()
-            doc_ids = batch.column("doc_id").to_numpy()
+            cells = batch.column("_cell").to_numpy(zero_copy_only=False)
+            doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             vectors = as_matrix(batch.column("embedding"), dimension)
-            for c in np.unique(cell):
-                if int(c) not in shared.value:
-                    continue
-                if int(c) not in best:
-                    best[int(c)] = _BestK(*shared.value[int(c)], k)
-                here = cell == c
-                best[int(c)].add(doc_ids[here], vectors[here])
-        for held in best.values():
-            yield _batch(*held.result())
+            order = np.argsort(cells, kind="stable")
+            found, starts = np.unique(cells[order], return_index=True)
+            for cell, here in zip(found.tolist(), np.split(order, starts[1:])):
+                if cell in rows_of:
+                    best.add(doc_ids[here], vectors[here], rows_of[cell])
+        yield _batch(*best.result())
 
     wanted = documents.select("_cell", "doc_id", "embedding")
     if len(by_cell) <= LISTED_CELLS:
@@ -159,8 +193,9 @@ def _on_grid(
     document_part_rows: int,
 ) -> DataFrame:
     """Score each cell as a grid of query parts and document parts."""
+    probes = queries.select(F.explode("_cells").alias("_cell"), "query_id", "embedding")
     # One row per cell; the number of cells is a setting, not a data size.
-    q_count = queries.groupBy("_cell").agg(F.count("*").alias("_nq"))
+    q_count = probes.groupBy("_cell").agg(F.count("*").alias("_nq"))
     d_count = documents.groupBy("_cell").agg(F.count("*").alias("_nd"))
     grid = q_count.join(d_count, "_cell").select(
         "_cell",
@@ -189,12 +224,14 @@ def _on_grid(
             left.column("query_id").to_numpy(), as_matrix(left.column("embedding"), dimension), k
         )
         best.add(
-            right.column("doc_id").to_numpy(), as_matrix(right.column("embedding"), dimension)
+            right.column("doc_id").to_numpy(),
+            as_matrix(right.column("embedding"), dimension),
+            np.arange(left.num_rows),
         )
         return pa.Table.from_batches([_batch(*best.result())])
 
     return (
-        spread(queries, "query_id", "_q_parts", "_d_parts")
+        spread(probes, "query_id", "_q_parts", "_d_parts")
         .groupBy(*key)
         .cogroup(spread(documents, "doc_id", "_d_parts", "_q_parts").groupBy(*key))
         .applyInArrow(score, PARTIAL_SCHEMA)
@@ -221,13 +258,13 @@ def topk_in_cells(
     query_part_rows: int = QUERY_PART_ROWS,
     document_part_rows: int = DOCUMENT_PART_ROWS,
 ) -> DataFrame:
-    """Best k documents per query among those that share one of its cells.
+    """Best k documents per query among those in one of its cells.
 
-    ``queries`` has one row per (query_id, _cell); ``documents`` one per doc_id.
+    ``queries`` holds the array ``_cells``, ``documents`` the number ``_cell``.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    if queries.count() * dimension * 8 <= broadcast_bytes:
+    if queries.count() * dimension * 4 <= broadcast_bytes:
         partial = _against_broadcast(queries, documents, k, dimension)
     else:
         partial = _on_grid(
@@ -247,10 +284,9 @@ def exact_topk(
     """
     require_columns(queries, ["query_id", "embedding"], "the query table")
     require_columns(documents, ["doc_id", "embedding"], "the document table")
-    one_cell = F.lit(0).alias("_cell")
     return topk_in_cells(
-        check_unit_vectors(queries, dimension).select(one_cell, "query_id", "embedding"),
-        documents.select(one_cell, "doc_id", "embedding"),
+        check_unit_vectors(queries, dimension).withColumn("_cells", F.array(F.lit(0))),
+        documents.withColumn("_cell", F.lit(0)),
         k,
         dimension,
         **settings,

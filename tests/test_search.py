@@ -75,10 +75,10 @@ def test_tiles_and_floor_keep_everything(monkeypatch):
     queries, documents = unit(rng.normal(size=(30, 4))), unit(rng.normal(size=(400, 4)))
     documents[100:250] = documents[7]
     ids = rng.permutation(400)
-    best = search._BestK(np.arange(30), queries.astype(np.float64), 10)
+    best = search._BestK(np.arange(30), queries, 10)
     for start in range(0, 400, 37):
         part = ids[start : start + 37]
-        best.add(part, documents[part].astype(np.float64))
+        best.add(part, documents[part], np.arange(30))
     found = {}
     for q, d, s in sorted(zip(*best.result()), key=lambda r: (r[0], -r[2], r[1])):
         found.setdefault(q, []).append((d, s))
