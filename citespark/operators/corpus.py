@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citespark.functions.text import id_from_text, score_from_text, strip_html
+from citespark.operators.joins import join_to_unique
 from citespark.operators.sampling import (
     DEFAULT_SEED,
     dense_row_id,
@@ -103,7 +104,7 @@ def build_corpus(
         cut = find_cut(answered, "question_id", n, seed)
         asked = up_to_cut(asked, "question_id", cut, seed)
         given = up_to_cut(given, "question_id", cut, seed)
-    rows = asked.join(best_answers(given), "question_id").select(
+    rows = join_to_unique(asked, best_answers(given), "question_id").select(
         "question_id",
         "answer_id",
         strip_html(F.col("title_html")).alias("title"),

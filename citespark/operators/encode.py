@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from citespark.functions.text import NOT_A_WORD
 from citespark.functions.vectors import UNIT_TOLERANCE, as_arrow
-from citespark.operators.stable import run_once, spread_few_files
+from citespark.operators.stable import cut_lineage, run_once, spread_few_files
 
 # Turns a list of texts into one row of floats per text.
 TextEncoder = Callable[[list[str]], np.ndarray]
@@ -115,20 +115,22 @@ def tfidf_model(df: DataFrame, text_column: str, dimension: int = 1024):
             IDF(inputCol="_counts", outputCol="_weights"),
             Normalizer(inputCol="_weights", outputCol="_unit"),
         ]
-    ).fit(df)
+    ).fit(spread_few_files(df))
 
 
 def encode_tfidf(df: DataFrame, model) -> DataFrame:
     """Apply a fitted TF-IDF encoder; texts without known words are dropped.
 
-    Such a text has no direction, and a zero vector may not enter a search.
+    Such a text has no direction, and a zero vector may not enter a search. The
+    vectors are stored before they are filtered: Spark would otherwise tokenise
+    each text again for the condition.
     """
-    vectors = model.transform(df).withColumn(
-        "embedding", vector_to_array(F.col("_unit"), "float32")
-    )
-    return vectors.filter(F.exists("embedding", lambda x: x != 0)).drop(
-        "_words", "_counts", "_weights", "_unit"
+    vectors = cut_lineage(
+        model.transform(spread_few_files(df))
+        .withColumn("embedding", vector_to_array(F.col("_unit"), "float32"))
+        .drop("_words", "_counts", "_weights", "_unit")
     )
+    return vectors.filter(F.exists("embedding", lambda x: x != 0))
 
 
 def pending_rows(df: DataFrame, done: DataFrame, id_column: str) -> DataFrame:

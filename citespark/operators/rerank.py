@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citespark.functions.scoring import ANSWER_SCORE_WEIGHT, final_score, shared_word_score
 from citespark.functions.text import clean_text
+from citespark.operators.joins import ROWS_PER_COPY, join_to_unique
 from citespark.operators.stable import require_columns, run_once
 
 # Candidates retrieved per query and sources kept.
@@ -24,7 +25,9 @@ BROADCAST_IDS = 2_000_000
 PairScorer = Callable[[list[tuple[str, str]]], np.ndarray]
 
 
-def fetch_documents(results: DataFrame, corpus: DataFrame) -> DataFrame:
+def fetch_documents(
+    results: DataFrame, corpus: DataFrame, rows_per_copy: int = ROWS_PER_COPY
+) -> DataFrame:
     """Join ranked ids to their documents and clean the texts.
 
     The corpus is first cut down to the documents asked for, so each text is
@@ -33,8 +36,7 @@ def fetch_documents(results: DataFrame, corpus: DataFrame) -> DataFrame:
     ``results`` as a stored table, since it is read for the ids as well.
 
     An id that the corpus lacks fails the job. A document that very many
-    queries retrieved makes the result side skewed on ``doc_id``; AQE splits
-    such a partition of the join.
+    queries retrieved is copied, so that its rows spread over many tasks.
     """
     require_columns(corpus, ["doc_id", "title", "question_body", "answer"], "the corpus")
     asked = results.select("doc_id").distinct()
@@ -49,7 +51,8 @@ def fetch_documents(results: DataFrame, corpus: DataFrame) -> DataFrame:
     checked = F.when(F.col("_known"), F.col("doc_id")).otherwise(
         F.raise_error(F.concat(F.lit("no document with id "), F.col("doc_id").cast("string")))
     )
-    return results.join(known, "doc_id", "left").withColumn("doc_id", checked).drop("_known")
+    joined = join_to_unique(results, known, "doc_id", "left", rows_per_copy)
+    return joined.withColumn("doc_id", checked).drop("_known")
 
 
 def pair_document(title: Column, body: Column) -> Column:

@@ -68,9 +68,8 @@ def with_texts(nearest: DataFrame, questions: DataFrame, corpus: DataFrame) -> D
     The short questions join the ids first, so that the long document texts are
     not shuffled again.
     """
-    return fetch_documents(
-        nearest.join(questions.select("query_id", "query"), "query_id"), corpus
-    )
+    asked = nearest.join(questions.select("query_id", "query"), "query_id")
+    return fetch_documents(cut_lineage(asked), corpus)
 
 
 def retrieve_and_rerank(

@@ -63,6 +63,13 @@ def test_overlap(spark):
         evaluate.ranking_overlap(a, b, 0)
 
 
+def test_stage_latency(spark):
+    rows = spark.createDataFrame([(1.0, 10.0), (3.0, 20.0)], "search_ms double, total_ms double")
+    found = {r.stage: r for r in evaluate.stage_latency(rows, ["search_ms", "total_ms"]).collect()}
+    assert (found["search_ms"].p50, found["total_ms"].p95) == (2.0, 19.5)
+    assert found["total_ms"].mean == 15.0
+
+
 def test_every_vector_is_its_own_nearest(spark):
     vectors = unit([[1, 0], [0, 1], [1, 1]])
     hits = exact_topk(table(spark, vectors, "query_id"), table(spark, vectors), 3, 2)
