@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -39,6 +39,7 @@ from citespark.operators.encode import (  # noqa: E402
 from citespark.operators.rerank import rerank, score_pairs  # noqa: E402
 from citespark.operators.stable import cut_lineage, shared_folder  # noqa: E402
 from citespark.plans import answering, compare, known_item  # noqa: E402
+from citespark.plans.encode_table import encode_pending  # noqa: E402
 from citespark.plans.make_corpus import corpus_from_csv  # noqa: E402
 from citespark.sources import matrix, raw_csv, tables  # noqa: E402
 from citespark.streaming.encode_stream import encode_new_files  # noqa: E402
@@ -58,13 +59,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _new_folder(spark: SparkSession) -> str:
-    """A fresh folder under the shared one, for queries that write and read back."""
-    base = shared_folder(spark)
-    if "://" in base:
-        return f"{base.rstrip('/')}/run-{next(tempfile._get_candidate_names())}"
-    path = base.removeprefix("file:")
-    os.makedirs(path, exist_ok=True)
-    return tempfile.mkdtemp(prefix="run-", dir=path)
+    """A fresh name under the shared folder, for queries that write and read back."""
+    return f"{shared_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
 def _raw_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,6 +343,22 @@ def encode_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(vectors)
 
 
+def encode_in_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode the labelled documents, then let a second run take up the rest."""
+    output = f"{_new_folder(spark)}/encoded"
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = _table(spark, sf_dir, "labels").select("doc_id").distinct()
+    run = partial(
+        encode_pending,
+        output=output,
+        make_encoder=make_encoder,
+        model_name=make_encoder().name,
+        dimension=TEXT_DIM,
+    )
+    run(rows.join(done, "doc_id", "left_semi"))
+    return _entries(run(rows))
+
+
 def encode_tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return _entries(encode_tfidf(rows, tfidf_model(rows, "text", 256)))
@@ -722,6 +734,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     validate_vectors,
     encode_documents,
     encode_stream,
+    encode_in_two_runs,
     encode_tfidf_documents,
     incremental_pending,
     pca_fit,

@@ -41,8 +41,14 @@ def is_unit(vector: Column) -> Column:
     return F.abs(norm(vector) - 1.0) <= UNIT_TOLERANCE
 
 
-def as_matrix(vectors: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
-    """Rows of an Arrow list column as a float32 matrix, without Python objects."""
+def as_matrix(
+    vectors: pa.Array | pa.ChunkedArray, dimension: int, unit: bool = False
+) -> np.ndarray:
+    """Rows of an Arrow list column as a float32 matrix, without Python objects.
+
+    Gaps, a wrong dimension and numbers that are not finite are errors; with
+    ``unit`` so is any length but one.
+    """
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     flat = vectors.flatten()
@@ -52,6 +58,9 @@ def as_matrix(vectors: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray
     matrix = matrix.astype(np.float32, copy=False)
     if not np.isfinite(matrix).all():
         raise ValueError("vectors must be finite")
+    if unit and len(matrix):
+        if np.abs(np.linalg.norm(matrix, axis=1) - 1.0).max() > UNIT_TOLERANCE:
+            raise ValueError("vectors must be of unit length")
     return matrix
 
 

@@ -169,7 +169,7 @@ def _against_broadcast(queries: DataFrame, documents: DataFrame, k: int, dimensi
         for batch in batches:
             cells = batch.column("_cell").to_numpy(zero_copy_only=False)
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            vectors = as_matrix(batch.column("embedding"), dimension)
+            vectors = as_matrix(batch.column("embedding"), dimension, unit=True)
             order = np.argsort(cells, kind="stable")
             found, starts = np.unique(cells[order], return_index=True)
             for cell, here in zip(found.tolist(), np.split(order, starts[1:])):
@@ -225,7 +225,7 @@ def _on_grid(
         )
         best.add(
             right.column("doc_id").to_numpy(),
-            as_matrix(right.column("embedding"), dimension),
+            as_matrix(right.column("embedding"), dimension, unit=True),
             np.arange(left.num_rows),
         )
         return pa.Table.from_batches([_batch(*best.result())])
@@ -279,7 +279,7 @@ def exact_topk(
     """Inner-product top k over the whole document table.
 
     ``queries(query_id, embedding)`` and ``documents(doc_id, embedding)`` hold
-    unit vectors, so the score is the cosine. Returns
+    unit vectors, so the score is the cosine; others fail the job. Returns
     ``(query_id, rank, doc_id, score)``; k above the table size returns all.
     """
     require_columns(queries, ["query_id", "embedding"], "the query table")

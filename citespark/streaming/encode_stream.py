@@ -8,27 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from citespark.operators.encode import TextEncoder, encoded
-
-
-def check_settings(spark: SparkSession, path: str, model_name: str, dimension: int) -> None:
-    """Store the encoder's settings, or fail when an earlier run used others."""
-    wanted = (model_name, dimension)
-    try:
-        found = spark.read.parquet(path).first()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([wanted], "model string, dimension int")
-        rows.coalesce(1).write.parquet(path)
-        return
-    if found is None or (found.model, found.dimension) != wanted:
-        raise ValueError(f"the output was encoded with {found}, not with {wanted}")
+from citespark.plans.encode_table import check_settings
 
 
 def encode_new_files(

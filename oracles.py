@@ -481,6 +481,9 @@ def _function_sql() -> dict[str, str]:
         "encode_stream": f"""WITH d AS (SELECT doc_id AS id, text FROM documents),
             {encode("ev", "d")}, named AS (SELECT id AS doc_id, e FROM ev)
             {entries("named")}""",
+        "encode_in_two_runs": f"""WITH d AS (SELECT doc_id AS id, text FROM documents),
+            {encode("ev", "d")}, named AS (SELECT id AS doc_id, e FROM ev)
+            {entries("named")}""",
         "incremental_pending": """SELECT doc_id, n_chars FROM documents
             WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
         "f32_matrix_scan": f"""WITH numbered AS (

@@ -102,6 +102,14 @@ def test_bad_queries_are_rejected(spark):
         search.exact_topk(table(spark, unit(np.eye(3)), "query_id"), documents, 0, 3)
 
 
+@pytest.mark.parametrize("settings", [{}, GRID])
+def test_bad_documents_are_rejected(spark, settings):
+    queries = table(spark, unit(np.eye(2)), "query_id")
+    for bad in ([[2.0, 0.0], [0.0, 3.0]], [[float("inf"), 0.0]], [[1.0, 0.0, 0.0]]):
+        with pytest.raises(Exception, match="vectors"):
+            search.exact_topk(queries, table(spark, bad), 1, 2, **settings).collect()
+
+
 @pytest.mark.parametrize("settings", [{}, GRID])
 def test_cells_equal_brute_force(spark, settings):
     """Most documents fall into one cell; every probed cell is searched whole."""

@@ -14,6 +14,7 @@ from citespark.operators.encode import (
     pending_rows,
     tfidf_model,
 )
+from citespark.plans.encode_table import encode_pending
 from citespark.plans.make_corpus import corpus_from_csv
 from citespark.sources import matrix, raw_csv, tables
 from citespark.streaming.encode_stream import encode_new_files
@@ -192,6 +193,17 @@ def test_pending(spark):
     assert sorted(r.doc_id for r in pending_rows(spark.range(4).withColumnRenamed("id", "doc_id"), done, "doc_id").collect()) == [0, 2, 3]
 
 
+def test_encoding_in_runs(spark, tmp_path):
+    rows = spark.range(6).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    output = str(tmp_path / "out")
+    make = lambda: HashedWordEncoder(8)
+    assert encode_pending(rows.filter("doc_id < 4"), output, make, "m", 8).count() == 4
+    found = encode_pending(rows, output, make, "m", 8)
+    assert sorted(r.doc_id for r in found.collect()) == list(range(6))
+    with pytest.raises(ValueError, match="was encoded with"):
+        encode_pending(rows, output, make, "m", 16)
+
+
 def test_stream_takes_up_only_new_files(spark, tmp_path):
     source, output = str(tmp_path / "in"), str(tmp_path / "out")
     counted = tmp_path / "seen"
