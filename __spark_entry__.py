@@ -254,7 +254,7 @@ def sample_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_row_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return sampling.dense_row_id(orders, "o_orderkey", name="row_id")
+    return sampling.dense_row_id(orders, "o_orderkey", name="row_id", stored=True)
 
 
 def sample_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +269,7 @@ def sample_fit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linspace_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    numbered = sampling.dense_row_id(rows, "o_orderkey", name="row_id")
+    numbered = sampling.dense_row_id(rows, "o_orderkey", name="row_id", stored=True)
     return sampling.linspace_rows(
         numbered, "row_id", numbered.count(), oracles.LINSPACE_SAMPLE
     )

@@ -117,22 +117,30 @@ def linspace_rows(
 
 
 def dense_row_id(
-    df: DataFrame, id_column: str, seed: int = DEFAULT_SEED, name: str = "doc_id"
+    df: DataFrame,
+    id_column: str,
+    seed: int = DEFAULT_SEED,
+    name: str = "doc_id",
+    stored: bool = False,
 ) -> DataFrame:
     """Number all rows 0..n-1 in (key, id) order without a one-task window.
 
     Rows are range-partitioned and numbered inside each partition; every
     partition then adds the row counts of those before it. The unique ``_uid``
     ends the sort key, so a group of equal ids, even of exact copies, is split
-    over partitions like any other rows. Both steps are checkpointed: range
-    bounds come from a sample and must not be drawn again after a loss.
+    over partitions like any other rows. The numbered rows are checkpointed:
+    range bounds come from a sample and must not be drawn again after a loss.
+    So is the input, whose ``_uid`` must not change either, unless it is
+    ``stored``: a plain scan of files or a checkpoint, read in a fixed order.
     """
     columns = df.columns
-    keyed = cut_lineage(
+    keyed = (
         df.withColumn("_key", sampling_key(F.col(id_column), seed))
         .withColumn("_tie", F.xxhash64(*columns))
         .withColumn("_uid", F.monotonically_increasing_id())
     )
+    if not stored:
+        keyed = cut_lineage(keyed)
     order = ["_key", id_column, "_tie", "_uid"]
     placed = cut_lineage(
         keyed.repartitionByRange(*order)
