@@ -10,12 +10,18 @@ from citespark.operators.stable import cut_lineage
 ROWS_PER_COPY = 200_000
 
 
+def rows_per_key(many: DataFrame, key: str) -> DataFrame:
+    """Keys with their number of ``_rows``, stored for several uses."""
+    return cut_lineage(many.groupBy(key).agg(F.count("*").alias("_rows")))
+
+
 def join_to_unique(
     many: DataFrame,
     one: DataFrame,
     key: str,
     how: str = "inner",
     rows_per_copy: int = ROWS_PER_COPY,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``many`` to ``one``, which has one row per key.
 
@@ -23,14 +29,14 @@ def join_to_unique(
     compress so well that it may not see them. Here keys are counted. A key
     with more than ``rows_per_copy`` rows gets its row in ``one`` copied, and
     its rows in ``many`` are dealt out over the copies. Without such a key the
-    join is a plain one. Pass ``many`` as a table or scan: it is read twice.
+    join is a plain one. Pass ``many`` as a table or scan: it is read for the
+    ``counts`` too, unless those of :func:`rows_per_key` are at hand.
     """
+    if counts is None:
+        counts = rows_per_key(many, key)
     # At most rows / rows_per_copy keys, so the broadcasts below are bounded.
-    hot = cut_lineage(
-        many.groupBy(key)
-        .agg(F.count("*").alias("_rows"))
-        .filter((F.col("_rows") > rows_per_copy) & F.col(key).isNotNull())
-        .select(key, F.ceil(F.col("_rows") / rows_per_copy).alias("_copies"))
+    hot = counts.filter((F.col("_rows") > rows_per_copy) & F.col(key).isNotNull()).select(
+        key, F.ceil(F.col("_rows") / rows_per_copy).alias("_copies")
     )
     if hot.isEmpty():
         return many.join(one, key, how)

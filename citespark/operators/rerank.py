@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citespark.functions.scoring import ANSWER_SCORE_WEIGHT, final_score, shared_word_score
 from citespark.functions.text import clean_text
-from citespark.operators.joins import ROWS_PER_COPY, join_to_unique
+from citespark.operators.joins import ROWS_PER_COPY, join_to_unique, rows_per_key
 from citespark.operators.stable import require_columns, run_once
 
 # Candidates retrieved per query and sources kept.
@@ -39,7 +39,8 @@ def fetch_documents(
     queries retrieved is copied, so that its rows spread over many tasks.
     """
     require_columns(corpus, ["doc_id", "title", "question_body", "answer"], "the corpus")
-    asked = results.select("doc_id").distinct()
+    counts = rows_per_key(results, "doc_id")
+    asked = counts.select("doc_id")
     if asked.count() <= BROADCAST_IDS:
         asked = F.broadcast(asked)
     known = corpus.join(asked, "doc_id", "left_semi").withColumns(
@@ -51,7 +52,7 @@ def fetch_documents(
     checked = F.when(F.col("_known"), F.col("doc_id")).otherwise(
         F.raise_error(F.concat(F.lit("no document with id "), F.col("doc_id").cast("string")))
     )
-    joined = join_to_unique(results, known, "doc_id", "left", rows_per_copy)
+    joined = join_to_unique(results, known, "doc_id", "left", rows_per_copy, counts)
     return joined.withColumn("doc_id", checked).drop("_known")
 
 

@@ -39,7 +39,7 @@ def test_fetch_of_a_hot_document(spark):
 
 def test_corpus_with_a_hot_question_id(spark, monkeypatch):
     """A third of the question rows are copies under one id; all are kept."""
-    monkeypatch.setattr(joins.join_to_unique, "__defaults__", ("inner", 20))
+    monkeypatch.setattr(joins.join_to_unique, "__defaults__", ("inner", 20, None))
     questions = spark.range(300).select(
         F.when(F.col("id") < 100, 5).otherwise(F.col("id")).cast("string").alias("Id"),
         F.lit("1").alias("Score"), F.lit("t").alias("Title"), F.lit("b").alias("Body"))
