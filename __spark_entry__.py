@@ -44,6 +44,13 @@ from citespark.plans.make_corpus import corpus_from_csv  # noqa: E402
 from citespark.sources import matrix, raw_csv, tables  # noqa: E402
 from citespark.streaming.encode_stream import encode_new_files  # noqa: E402
 
+try:
+    from citespark.llm import queries as llm_queries
+except ModuleNotFoundError as missing:  # the subpackage may be left out
+    if missing.name not in ("citespark.llm", "corpus_pipeline"):
+        raise
+    llm_queries = None
+
 VECTOR_DIM = oracles.VECTOR_DIM
 SMALL_VECTOR_DIM = oracles.SMALL_VECTOR_DIM
 TEXT_DIM = oracles.TEXT_DIM
@@ -774,8 +781,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in QUERIES}
+    own = {query.__name__: query for query in QUERIES}
+    return own | (llm_queries.queries() if llm_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_sql()
+    return oracles.all_sql() | (llm_queries.oracle_sql() if llm_queries else {})
