@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citespark.llm import bpe, exact_dedup, sharding, source_mix
+from citespark.llm import bpe, exact_dedup, language_id, sharding, source_mix, token_shards
+from citespark.llm.staging import new_folder, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +21,30 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language_id.predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids and decoded text of every document, as digests."""
     docs = _table(spark, sf_dir, "documents")
     return bpe.with_digests(bpe.bpe_round_trip(docs, tokenizer_file("word_bpe_49k.json")))
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written to indexed shards and read back from them."""
+    path = f"{new_folder(spark)}/tokens"
+    docs = _table(spark, sf_dir, "documents")
+    token_shards.write_token_shards(docs, path, tokenizer_file("byte_bpe_50k.json"))
+    found = token_shards.read_token_shards(spark, path).select(
+        "shard", "doc_id", "offset", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+    return token_shards.document_starts(stored(found, "found")).select(
+        "doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset"
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group and surviving row of every document among equal texts."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
@@ -41,7 +61,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    op1_language_id,
     op2_bpe,
+    op4_token_shards,
     op5_exact_dedup,
     op6_source_mix,
     op7_sharding,

@@ -24,10 +24,15 @@ HOT_KEYS = 65_536
 LEAST_HOT = 1_000
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A fresh name in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
+    path = f"{new_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
