@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citespark.llm import bpe, exact_dedup, language_id, sharding, source_mix, token_shards
+from citespark.llm import bpe, embedding_dedup, exact_dedup, language_id, secret_scan, sharding, source_mix, token_shards
 from citespark.llm.staging import new_folder, stored
 
 
@@ -32,6 +32,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digests(bpe.bpe_round_trip(docs, tokenizer_file("word_bpe_49k.json")))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by pattern and by randomness."""
+    return secret_scan.with_digests(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document written to indexed shards and read back from them."""
     path = f"{new_folder(spark)}/tokens"
@@ -60,13 +65,20 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among those of its label."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_language_id,
     op2_bpe,
+    op3_secret_scan,
     op4_token_shards,
     op5_exact_dedup,
     op6_source_mix,
     op7_sharding,
+    op10_embedding_dedup,
 ]
 
 
