@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citespark.llm import bpe, embedding_dedup, exact_dedup, language_id, secret_scan, sharding, source_mix, token_shards
+from citespark.llm import (
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    language_id,
+    ngram_join,
+    secret_scan,
+    sharding,
+    source_mix,
+    token_shards,
+)
 from citespark.llm.staging import new_folder, stored
 
 
@@ -65,6 +75,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under five-word Jaccard similarity of 0.8."""
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector among those of its label."""
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
@@ -78,6 +93,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op5_exact_dedup,
     op6_source_mix,
     op7_sharding,
+    op9_ngram_join,
     op10_embedding_dedup,
 ]
 
@@ -87,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL}
+    return {"op5_exact_dedup": exact_dedup.SQL, "op9_ngram_join": ngram_join.SQL}
