@@ -461,10 +461,12 @@ def bpe_round_trip(
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded string")
 
 
-def with_digests(encoded: DataFrame) -> DataFrame:
+def with_digests(encoded: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Digests of ids and decoded text, and the columns in ``keep``."""
     return encoded.select(
         "doc_id",
         "n_tokens",
+        *(keep or []),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

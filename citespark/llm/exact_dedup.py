@@ -124,6 +124,31 @@ def exact_dedup(
     )
 
 
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    found = exact_dedup(docs, id_col, text_col).filter("kept")
+    found = found.select(F.struct("doc_id", "text_sha256").alias("stays"))
+    own = F.struct(
+        F.col(id_col).alias("doc_id"),
+        F.lower(F.hex(sha256(normalised(F.col(text_col))))).alias("text_sha256"),
+    )
+    kept = docs.withColumn("_own", own).join(
+        found, F.col("_own").eqNullSafe(F.col("stays")), "left_semi"
+    )
+    repeated = stored(
+        docs.groupBy(F.col(id_col).alias("repeated")).agg(F.count("*").alias("n"))
+        .filter("n > 1").select("repeated"),
+        "repeated-ids",
+    )
+    if repeated.isEmpty():
+        return kept.drop("_own")
+    # Rows that repeat an id with one text are one document: any of them stands for all.
+    again = F.col(id_col).eqNullSafe(F.col("repeated"))
+    single = kept.join(repeated, again, "left_anti")
+    several = kept.join(repeated, again, "left_semi").dropDuplicates(["_own"])
+    return single.unionByName(several).drop("_own")
+
+
 def _combine(keyed: DataFrame, salts: int) -> DataFrame:
     """Groups of equal texts: digest, norm, keep_id, group_size."""
     salted = (

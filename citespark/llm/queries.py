@@ -17,6 +17,7 @@ from citespark.llm import (
     sharding,
     source_mix,
     token_shards,
+    url_filter,
 )
 from citespark.llm.staging import new_folder, stored
 
@@ -75,6 +76,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url by rules and path templates."""
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under five-word Jaccard similarity of 0.8."""
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
@@ -85,6 +91,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_language_id,
     op2_bpe,
@@ -93,14 +106,20 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op5_exact_dedup,
     op6_source_mix,
     op7_sharding,
+    op8_url_filter,
     op9_ngram_join,
     op10_embedding_dedup,
 ]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in QUERIES}
+    return {query.__name__: query for query in QUERIES} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL, "op9_ngram_join": ngram_join.SQL}
+    """SQL of the operators that SQL can express; tests cover the others by brute force."""
+    return {
+        "op5_exact_dedup": exact_dedup.SQL,
+        "op8_url_filter": url_filter.sql(),
+        "op9_ngram_join": ngram_join.SQL,
+    }

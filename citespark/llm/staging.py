@@ -63,6 +63,12 @@ def join_counted(
     )
 
 
+def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``, with all their columns."""
+    wanted = ids.select(F.col("doc_id").alias("wanted_id")).distinct()
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted_id"]), "left_semi")
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Re-cut a stream sorted by integer ``keys`` so that no group is split.
 
