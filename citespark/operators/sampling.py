@@ -1,7 +1,7 @@
 """Deterministic samples and dense row numbers.
 
 Sampling orders rows by a multiplicative key of their id. The key is spread
-evenly over a known range, so a small histogram of it finds the cut for any
+evenly over a known range, so small histograms of it find the cut for any
 sample size without sorting the table.
 """
 
@@ -23,46 +23,62 @@ KEY_BUCKETS = 4096
 
 
 def sampling_key(row_id: Column, seed: int = DEFAULT_SEED) -> Column:
-    product = row_id.cast("bigint") * F.lit(KEY_MULTIPLIER).cast("bigint")
-    return (product + F.lit(seed).cast("bigint")) % F.lit(KEY_MODULUS).cast("bigint")
+    """``(id * multiplier + seed) % modulus``, for ids of any size.
 
-
-def _key_bucket(key: Column) -> Column:
-    width = 2 * KEY_MODULUS // KEY_BUCKETS + 1
-    return F.floor((key + F.lit(KEY_MODULUS)) / F.lit(width)).cast("int")
+    For ids from 0 on the id is reduced first, so that no product overflows.
+    The remainder of a negative product keeps its sign, so negative ids are
+    multiplied as decimals.
+    """
+    modulus = F.lit(KEY_MODULUS).cast("bigint")
+    row_id = row_id.cast("bigint")
+    reduced = (row_id % modulus) * F.lit(KEY_MULTIPLIER).cast("bigint")
+    exact = row_id.cast("decimal(20,0)") * F.lit(KEY_MULTIPLIER).cast("decimal(10,0)")
+    negative = (exact + F.lit(seed)) % F.lit(KEY_MODULUS).cast("decimal(10,0)")
+    return F.when(
+        row_id >= 0, (reduced + F.lit(seed).cast("bigint")) % modulus
+    ).otherwise(negative.cast("bigint"))
 
 
 @dataclass(frozen=True)
 class KeyCut:
-    """Where a sample ends: its last bucket and the rows in the buckets before."""
+    """Where a sample ends: the key of its last row and the rows with smaller keys."""
 
-    bucket: int
+    key: int
     rows_before: int
 
 
 def find_cut(ids: DataFrame, id_column: str, n: int, seed: int = DEFAULT_SEED) -> KeyCut:
-    """Locate the n-th smallest key from a histogram of at most KEY_BUCKETS rows."""
+    """Locate the n-th smallest key.
+
+    A histogram of at most KEY_BUCKETS rows finds the bucket of the cut, one
+    inside that bucket the next, down to a single key.
+    """
     if n <= 0:
         raise ValueError("the sample size must be positive")
-    histogram = (
-        ids.select(_key_bucket(sampling_key(F.col(id_column), seed)).alias("_bucket"))
-        .filter(F.col("_bucket").isNotNull())
-        .groupBy("_bucket")
-        .count()
-        .orderBy("_bucket")
-        .collect()
-    )
-    before = 0
-    for row in histogram:
-        if before + row["count"] >= n:
-            return KeyCut(row["_bucket"], before)
-        before += row["count"]
-    raise ValueError(f"asked for {n} rows, only {before} are there")
+    keys = ids.select(sampling_key(F.col(id_column), seed).alias("_key"))
+    low, size, before = -KEY_MODULUS, 2 * KEY_MODULUS + 1, 0
+    while size > 1:
+        width = -(-size // KEY_BUCKETS)
+        histogram = (
+            keys.filter(F.col("_key").between(low, low + size - 1))
+            .groupBy(F.floor((F.col("_key") - low) / width).cast("int").alias("_bucket"))
+            .count()
+            .orderBy("_bucket")
+            .collect()
+        )
+        for row in histogram:
+            if before + row["count"] >= n:
+                low, size = low + row["_bucket"] * width, width
+                break
+            before += row["count"]
+        else:
+            raise ValueError(f"asked for {n} rows, only {before} are there")
+    return KeyCut(low, before)
 
 
 def up_to_cut(df: DataFrame, id_column: str, cut: KeyCut, seed: int = DEFAULT_SEED) -> DataFrame:
-    """Rows that may be in the sample: a superset that ends with the cut's bucket."""
-    return df.filter(_key_bucket(sampling_key(F.col(id_column), seed)) <= cut.bucket)
+    """Rows that may be in the sample: a superset that ends with the cut's key."""
+    return df.filter(sampling_key(F.col(id_column), seed) <= cut.key)
 
 
 def sample_by_key(
@@ -74,20 +90,16 @@ def sample_by_key(
 ) -> DataFrame:
     """Exactly ``n`` rows: those with the smallest (key, id).
 
-    Buckets below the cut are kept by a filter. Only the bucket the cut falls
-    into is ordered, so neither a global sort nor one big top-n is needed.
+    Keys below the cut are kept by a filter. Only the rows whose key is that of
+    the cut are ordered; these are ids that differ by multiples of the modulus.
     """
     cut = cut or find_cut(df, id_column, n, seed)
-    keyed = df.withColumn("_key", sampling_key(F.col(id_column), seed)).withColumn(
-        "_bucket", _key_bucket(F.col("_key"))
-    )
-    kept = keyed.filter(F.col("_bucket") < cut.bucket)
+    keyed = df.withColumn("_key", sampling_key(F.col(id_column), seed))
+    kept = keyed.filter(F.col("_key") < cut.key)
     edge = (
-        keyed.filter(F.col("_bucket") == cut.bucket)
-        .orderBy("_key", id_column)
-        .limit(n - cut.rows_before)
+        keyed.filter(F.col("_key") == cut.key).orderBy(id_column).limit(n - cut.rows_before)
     )
-    return kept.unionByName(edge).drop("_key", "_bucket")
+    return kept.unionByName(edge).drop("_key")
 
 
 def linspace_rows(
@@ -125,27 +137,30 @@ def dense_row_id(
 ) -> DataFrame:
     """Number all rows 0..n-1 in (key, id) order without a one-task window.
 
-    Rows are range-partitioned and numbered inside each partition; every
-    partition then adds the row counts of those before it. The unique ``_uid``
-    ends the sort key, so a group of equal ids, even of exact copies, is split
-    over partitions like any other rows. The numbered rows are checkpointed:
-    range bounds come from a sample and must not be drawn again after a loss.
-    So is the input, whose ``_uid`` must not change either, unless it is
-    ``stored``: a plain scan of files or a checkpoint, read in a fixed order.
+    Only the sort key is range-partitioned and numbered inside each partition;
+    every partition then adds the row counts of those before it, and the number
+    goes back to its row by the unique ``_uid``. That also ends the sort key, so
+    a group of equal ids, even of exact copies, is split over partitions like
+    any other rows. The numbers are checkpointed: range bounds come from a
+    sample and must not be drawn again after a loss. So is the input, whose
+    ``_uid`` must not change either, unless it is ``stored``: a plain scan of
+    files or a checkpoint, read in a fixed order.
     """
     columns = df.columns
-    keyed = (
-        df.withColumn("_key", sampling_key(F.col(id_column), seed))
-        .withColumn("_tie", F.xxhash64(*columns))
-        .withColumn("_uid", F.monotonically_increasing_id())
-    )
+    rows = df.withColumn("_uid", F.monotonically_increasing_id())
     if not stored:
-        keyed = cut_lineage(keyed)
-    order = ["_key", id_column, "_tie", "_uid"]
+        rows = cut_lineage(rows)
+    order = ["_key", "_id", "_tie", "_uid"]
+    keyed = rows.select(
+        sampling_key(F.col(id_column), seed).alias("_key"),
+        F.col(id_column).alias("_id"),
+        F.xxhash64(*columns).alias("_tie"),
+        "_uid",
+    )
     placed = cut_lineage(
         keyed.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
+        .select("_uid", F.monotonically_increasing_id().alias("_place"))
     ).withColumn("_part", F.shiftright("_place", 33))
     # One row per partition, so this window and the broadcast stay small.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -155,9 +170,10 @@ def dense_row_id(
         .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     )
     inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(starts), "_part").select(
-        (F.col("_start") + inside).alias(name), *columns
+    numbers = placed.join(F.broadcast(starts), "_part").select(
+        "_uid", (F.col("_start") + inside).alias(name)
     )
+    return rows.join(numbers, "_uid").select(name, *columns)
 
 
 def contiguity(df: DataFrame, id_column: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,24 @@ def test_dense_ids_of_copies_are_complete_and_spread(spark):
     assert parts.count() > 1
 
 
+def test_keys_of_huge_and_negative_ids(spark):
+    ids = [0, 7, -1, -7, 2**31, 10**10, 10**12 + 3, 2**63 - 1, -(10**10), -(2**63)]
+    rows = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    for seed in (sampling.DEFAULT_SEED, 0):
+        found = {r.id: r.k for r in rows.select("id", sampling.sampling_key(F.col("id"), seed).alias("k")).collect()}
+        for i in ids:
+            exact = i * sampling.KEY_MULTIPLIER + seed
+            assert found[i] == int(math.copysign(abs(exact) % sampling.KEY_MODULUS, exact))
+
+
+def test_half_of_a_large_table_without_a_large_last_bucket(spark):
+    rows = spark.range(0, 400_000).select((F.col("id") + 10**11).alias("id"))
+    cut = sampling.find_cut(rows, "id", 200_000)
+    edge = rows.filter(sampling.sampling_key(F.col("id")) == cut.key)
+    assert edge.count() <= 2
+    assert sampling.sample_by_key(rows, "id", 200_000).distinct().count() == 200_000
+
+
 @pytest.mark.parametrize("n, m", [(10, 3), (1000, 7), (1000, 999), (12_345, 1000), (5, 9), (50, 1)])
 def test_linspace_equals_numpy(spark, n, m):
     found = sorted(r.id for r in sampling.linspace_rows(spark.range(n), "id", n, m).collect())
