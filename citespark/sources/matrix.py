@@ -1,7 +1,7 @@
 """Raw float32 matrices: fixed-size records without a header, row number = id.
 
-Files are read and written through ``pyarrow.fs``, so a path may be local or a
-URI such as ``hdfs://``. Tasks read byte ranges; no file is read whole.
+Files are read and written through ``pyarrow.fs``, on the file system that Spark
+resolves the path to: local, ``hdfs://`` or ``s3a://``. Tasks read byte ranges; no file is read whole.
 """
 
 from __future__ import annotations
@@ -20,10 +20,24 @@ ROWS_PER_READ = 8_192
 ROWS_PER_TASK = 262_144
 
 
+SUCCESS = "_SUCCESS"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark itself would resolve it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(hadoop).toString()
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path.removeprefix("file:")
+    """File system and inner path of a qualified path."""
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme in ("s3a", "s3n"):
+        path = f"s3:{rest}"
+    return fs.FileSystem.from_uri(path)
 
 
 def _files(path: str) -> list[tuple[str, int]]:
@@ -35,6 +49,8 @@ def _files(path: str) -> list[tuple[str, int]]:
     if info.type == fs.FileType.File:
         return [(info.path, info.size)]
     listed = system.get_file_info(fs.FileSelector(inner))
+    if not any(i.base_name == SUCCESS for i in listed):
+        raise ValueError(f"{path} was not written to its end: it has no {SUCCESS} file")
     return sorted(
         (i.path, i.size)
         for i in listed
@@ -42,10 +58,11 @@ def _files(path: str) -> list[tuple[str, int]]:
     )
 
 
-def matrix_rows(path: str, dimension: int) -> int:
+def matrix_rows(spark: SparkSession, path: str, dimension: int) -> int:
     """Number of vectors, from the file sizes; a partial record is an error."""
     if dimension <= 0:
         raise ValueError("the dimension must be positive")
+    path = qualified(spark, path)
     files = _files(path)
     record = dimension * 4
     if not files or all(size == 0 for _, size in files):
@@ -58,7 +75,8 @@ def matrix_rows(path: str, dimension: int) -> int:
 
 def read_matrix(spark: SparkSession, path: str, dimension: int) -> DataFrame:
     """Read ``(doc_id, embedding)`` from a matrix file or a folder of parts."""
-    matrix_rows(path, dimension)
+    matrix_rows(spark, path, dimension)
+    path = qualified(spark, path)
     record = dimension * 4
     starts, first = [], 0
     for name, size in _files(path):
@@ -91,8 +109,10 @@ def write_matrix(df: DataFrame, path: str, dimension: int) -> None:
     """Write vectors in ``doc_id`` order as a folder of ``part-*.f32`` files.
 
     Part names follow the range partitions, so reading the parts by name gives
-    the order back. A repeated task overwrites its own part.
+    the order back. A repeated task overwrites its own part. A folder counts as
+    written only with the success file that ends the job.
     """
+    path = qualified(df.sparkSession, path)
     system, inner = _open(path)
     if system.get_file_info(inner).type != fs.FileType.NotFound:
         raise FileExistsError(path)
@@ -103,8 +123,8 @@ def write_matrix(df: DataFrame, path: str, dimension: int) -> None:
 
         task = TaskContext.get()
         target, folder = _open(path)
-        final = f"{folder}/part-{task.partitionId():06d}.f32"
-        draft = f"{folder}/.part-{task.partitionId():06d}.{task.taskAttemptId()}"
+        final = f"{folder}/part-{task.partitionId():010d}.f32"
+        draft = f"{folder}/.part-{task.partitionId():010d}.{task.taskAttemptId()}"
         n = 0
         with target.open_output_stream(draft) as sink:
             for batch in batches:
@@ -117,3 +137,5 @@ def write_matrix(df: DataFrame, path: str, dimension: int) -> None:
     ordered = df.select("doc_id", "embedding").repartitionByRange("doc_id")
     written = ordered.sortWithinPartitions("doc_id").mapInArrow(write, "n_rows bigint")
     written.agg(F.sum("n_rows")).collect()
+    with system.open_output_stream(f"{inner}/{SUCCESS}"):
+        pass

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from citespark.operators.encode import TextEncoder, encoded
-from citespark.plans.encode_table import check_settings
+from citespark.plans.encode_table import check_settings, stored_rows, vector_schema
 
 
 def encode_new_files(
@@ -32,7 +32,7 @@ def encode_new_files(
     files_per_trigger: int = 1000,
 ) -> DataFrame:
     """Encode the files not seen before, then return the whole encoded table."""
-    check_settings(spark, f"{output}/settings", model_name, dimension)
+    check_settings(spark, f"{output}/settings", model_name, dimension, source)
     rows = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", file_pattern)
@@ -52,4 +52,7 @@ def encode_new_files(
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{output}/vectors")
+    encoded_schema = vector_schema(schema, id_column)
+    found = stored_rows(spark, f"{output}/vectors", encoded_schema)
+    # Without a file to encode the stream writes no folder.
+    return found if found is not None else spark.createDataFrame([], encoded_schema)
