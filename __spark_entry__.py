@@ -177,7 +177,7 @@ def exact_topk_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cells(spark: SparkSession, sf_dir: str, nprobe: int) -> DataFrame:
     documents = _vectors(spark, sf_dir)
     pivots = ann.sampled_pivots(documents, CELLS)
-    index = ann.assign_cells(documents, pivots)
+    index = cut_lineage(ann.assign_cells(documents, pivots))
     return _ranking(ann.cell_topk(_vector_queries(spark, sf_dir), index, pivots, 10, nprobe))
 
 
@@ -192,7 +192,7 @@ def ivf_topk_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ivf_topk_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _vectors(spark, sf_dir)
     pivots = ann.kmeans_pivots(documents, CELLS)
-    index = ann.assign_cells(documents, pivots)
+    index = cut_lineage(ann.assign_cells(documents, pivots))
     return _ranking(
         ann.cell_topk(_vector_queries(spark, sf_dir), index, pivots, 10, oracles.PROBES)
     )
@@ -368,7 +368,7 @@ def encode_in_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _entries(encode_tfidf(rows, tfidf_model(rows, "text", 256)))
+    return _entries(encode_tfidf(rows, tfidf_model(rows, "text", oracles.TFIDF_DIM)))
 
 
 def incremental_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -599,7 +599,7 @@ def build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = answering.sourced_questions(questions, reranked)
     return rows.select(
         "query_id",
-        F.lit(answers.system_prompt()).alias("system_prompt"),
+        F.lit(oracles.SYSTEM_PROMPT).alias("system_prompt"),
         answers.user_prompt(F.col("query"), F.col("sources")).alias("user_prompt"),
     )
 
@@ -672,6 +672,45 @@ def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def length_generator() -> answers.Generator:
+    """Stand-in for a model: tells the length of the prompt and cites a source."""
+
+    def generate(prompts: list[tuple[str, str]]) -> list[answers.Generation]:
+        return [
+            answers.Generation(
+                f"A prompt of {len(user)} characters. [{9 if len(user) % 3 == 0 else 1}]",
+                prompt_tokens=len(user),
+                output_tokens=5,
+            )
+            for _, user in prompts
+        ]
+
+    return generate
+
+
+def answer_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers by a generator, which sees only the questions that pass the gate."""
+    _, questions, reranked = _sourced(spark, sf_dir)
+    records = answering.answer_questions(
+        questions,
+        reranked,
+        make_generator=length_generator,
+        system_prompt=oracles.SYSTEM_PROMPT,
+    )
+    return records.select(
+        "query_id",
+        "query",
+        "answer",
+        "abstained",
+        "used_fallback",
+        "prompt_tokens",
+        "output_tokens",
+        F.array_join(
+            F.transform("sources", lambda s: s["doc_id"].cast("string")), ","
+        ).alias("source_ids"),
+    )
+
+
 def answer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.answer_summary(_records(spark, sf_dir))
 
@@ -688,18 +727,17 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{_new_folder(spark)}/answers"
     rows = _raw_answers(spark, sf_dir)
     _write_csv(rows, path)
+    # The first line of each part is taken for a header; here it is a broken one too.
     broken = rows.select(F.concat_ws(",", "Id", "ParentId").alias("value"))
-    header = ",".join(raw_csv.ANSWER_FIELDS)
-    broken = spark.range(1).select(F.lit(header).alias("value")).unionByName(broken)
-    broken.coalesce(1).write.mode("append").text(path)
+    broken.write.mode("append").text(path)
     return raw_csv.read_text_csv(spark, path, raw_csv.ANSWER_FIELDS)
 
 
 def corpus_csv_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From raw CSV files to a written corpus, read back."""
     folder = _new_folder(spark)
-    _write_csv(_raw_questions(spark, sf_dir).coalesce(1), f"{folder}/raw/questions.csv")
-    _write_csv(_raw_answers(spark, sf_dir).coalesce(1), f"{folder}/raw/answers.csv")
+    _write_csv(_raw_questions(spark, sf_dir), f"{folder}/raw/questions.csv")
+    _write_csv(_raw_answers(spark, sf_dir), f"{folder}/raw/answers.csv")
     return corpus_from_csv(spark, f"{folder}/raw", f"{folder}/corpus")
 
 
@@ -767,6 +805,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     citation_metrics,
     audit_answers,
     answer_questions,
+    answer_generated,
     answer_summary,
     csv_scan,
     corpus_csv_build,

@@ -5,52 +5,62 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citespark.functions.text import NOT_A_WORD
 from citespark.functions.vectors import UNIT_TOLERANCE, as_arrow
-from citespark.operators.stable import cut_lineage, run_once, spread_few_files
+from citespark.operators.stable import run_once, spread_small_table
 
 # Turns a list of texts into one row of floats per text.
 TextEncoder = Callable[[list[str]], np.ndarray]
 
+# Words whose slots a task remembers.
+KNOWN_WORDS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
 class HashedWordEncoder:
     """Word counts, each word counted in a slot given by its MD5, unit length.
 
-    One constant is added to slot 0 so that a text without words still has a
-    direction. Words are hashed once per batch.
+    Counts may be weighted by slot. One constant is added to slot 0 so that a
+    text without words still has a direction. A task hashes a word once, as long
+    as it is remembered.
     """
 
-    def __init__(self, dimension: int = 256) -> None:
+    def __init__(self, dimension: int = 256, weights: np.ndarray | None = None) -> None:
         if not 0 < dimension <= 65_536:
             raise ValueError("the dimension must be between 1 and 65536")
         self.dimension = dimension
+        self.weights = np.ones(dimension) if weights is None else weights
         self.name = f"hashed-words-{dimension}"
+        self._known: dict[str, int] = {}
+
+    def slots(self, text: str) -> list[int]:
+        """The slot of each word of a text."""
+        known = self._known
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        found = []
+        for word in _WORD.findall(text.lower()):
+            slot = known.get(word)
+            if slot is None:
+                digest = hashlib.md5(word.encode()).hexdigest()
+                slot = known[word] = int(digest[:4], 16) % self.dimension
+            found.append(slot)
+        return found
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         counts = np.zeros((len(texts), self.dimension))
-        counts[:, 0] = 1.0
-        slots: dict[str, int] = {}
         for row, text in enumerate(texts):
-            words = _WORD.findall(text.lower())
-            for word in words:
-                if word not in slots:
-                    digest = hashlib.md5(word.encode()).hexdigest()
-                    slots[word] = int(digest[:4], 16) % self.dimension
-            if words:
-                counts[row] += np.bincount(
-                    [slots[word] for word in words], minlength=self.dimension
-                )
+            slots = self.slots(text)
+            if slots:
+                counts[row] = np.bincount(slots, minlength=self.dimension)
+        counts *= self.weights
+        counts[:, 0] += 1.0
         return counts / np.linalg.norm(counts, axis=1, keepdims=True)
 
 
@@ -101,36 +111,58 @@ def encode_texts(
     batch_size: int = 256,
     into: str = "embedding",
 ) -> DataFrame:
-    return spread_few_files(df).withColumn(
+    return spread_small_table(df).withColumn(
         into, encoded(F.col(text_column), make_encoder, dimension, batch_size)
     )
 
 
-def tfidf_model(df: DataFrame, text_column: str, dimension: int = 1024):
-    """Fit the built-in TF-IDF encoder on a text column."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text_column, outputCol="_words", pattern=NOT_A_WORD),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimension),
-            IDF(inputCol="_counts", outputCol="_weights"),
-            Normalizer(inputCol="_weights", outputCol="_unit"),
-        ]
-    ).fit(spread_few_files(df))
+@dataclass(frozen=True)
+class TfidfModel:
+    """Weights of the word slots: ``ln((documents + 1) / (documents with the slot + 1))``."""
 
+    text_column: str
+    weights: np.ndarray
 
-def encode_tfidf(df: DataFrame, model) -> DataFrame:
-    """Apply a fitted TF-IDF encoder; texts without known words are dropped.
+    def encoder(self) -> TextEncoder:
+        return HashedWordEncoder(len(self.weights), self.weights)
 
-    Such a text has no direction, and a zero vector may not enter a search. The
-    vectors are stored before they are filtered: Spark would otherwise tokenise
-    each text again for the condition.
-    """
-    vectors = cut_lineage(
-        model.transform(spread_few_files(df))
-        .withColumn("embedding", vector_to_array(F.col("_unit"), "float32"))
-        .drop("_words", "_counts", "_weights", "_unit")
+
+def tfidf_model(df: DataFrame, text_column: str, dimension: int = 1024) -> TfidfModel:
+    """Fit the built-in TF-IDF encoder on a text column; NULL counts as the empty text."""
+    slots = HashedWordEncoder(dimension)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros(dimension, dtype=np.int64), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen[np.unique(np.array(slots.slots(text or ""), dtype=np.int64))] += 1
+                rows += 1
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(dimension + 1), pa.int32()),
+                pa.array(np.append(seen, rows), pa.int64()),
+            ],
+            names=["slot", "n"],
+        )
+
+    counted = (
+        spread_small_table(df.select(text_column))
+        .mapInArrow(count, "slot int, n bigint")
+        .groupBy("slot").agg(F.sum("n").alias("n"))
     )
-    return vectors.filter(F.exists("embedding", lambda x: x != 0))
+    seen = np.zeros(dimension + 1)
+    for row in counted.collect():
+        seen[row["slot"]] = row["n"]
+    return TfidfModel(text_column, np.log((seen[-1] + 1) / (seen[:-1] + 1)))
+
+
+def encode_tfidf(df: DataFrame, model: TfidfModel) -> DataFrame:
+    """Add one TF-IDF vector of unit length per text.
+
+    The constant of :class:`HashedWordEncoder` keeps a text without words, or
+    with none but words of all documents, from having no direction.
+    """
+    return encode_texts(df, model.text_column, model.encoder, len(model.weights))
 
 
 def pending_rows(df: DataFrame, done: DataFrame, id_column: str) -> DataFrame:

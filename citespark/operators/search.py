@@ -30,7 +30,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 QUERY_PART_ROWS = 16_384
 DOCUMENT_PART_ROWS = 65_536
 TILE_VALUES = 1 << 22
-LISTED_CELLS = 2_048
+# Of a probed cell: its number in the query's list, and the query in the cell's list.
+CELL_BYTES = 12
 
 # Scores are compared at nine decimals: finer than the float32 vectors carry,
 # and coarse enough that summation order never decides a rank.
@@ -151,7 +152,9 @@ def _rows_by_cell(lists: pa.ChunkedArray) -> dict[int, np.ndarray]:
     return dict(zip(found.tolist(), np.split(rows[order], starts[1:])))
 
 
-def _against_broadcast(queries: DataFrame, documents: DataFrame, k: int, dimension: int):
+def _against_broadcast(
+    queries: DataFrame, documents: DataFrame, k: int, dimension: int, probing: bool
+) -> DataFrame:
     """Stream the documents past a broadcast query matrix; no shuffle of either."""
     held = queries.select("query_id", "embedding", "_cells").toArrow()
     by_cell = _rows_by_cell(held.column("_cells"))
@@ -178,9 +181,11 @@ def _against_broadcast(queries: DataFrame, documents: DataFrame, k: int, dimensi
         yield _batch(*best.result())
 
     wanted = documents.select("_cell", "doc_id", "embedding")
-    if len(by_cell) <= LISTED_CELLS:
-        # Lets an index stored by cell skip the files of all other cells.
-        wanted = wanted.filter(F.col("_cell").isin(sorted(by_cell)))
+    if probing:
+        # Lets an index stored by cell skip the files of all other cells. The
+        # cells are part of the query lists, whose size has been checked.
+        cells = documents.sparkSession.createDataFrame([(c,) for c in by_cell], "_cell int")
+        wanted = wanted.join(F.broadcast(cells), "_cell", "left_semi")
     return wanted.mapInArrow(score, PARTIAL_SCHEMA)
 
 
@@ -254,18 +259,23 @@ def topk_in_cells(
     k: int,
     dimension: int,
     *,
+    cells_per_query: int = 1,
     broadcast_bytes: int = BROADCAST_BYTES,
     query_part_rows: int = QUERY_PART_ROWS,
     document_part_rows: int = DOCUMENT_PART_ROWS,
 ) -> DataFrame:
     """Best k documents per query among those in one of its cells.
 
-    ``queries`` holds the array ``_cells``, ``documents`` the number ``_cell``.
+    ``queries`` holds the array ``_cells`` of at most ``cells_per_query``
+    numbers, ``documents`` the number ``_cell``. A query whose cells hold fewer
+    than k documents gets fewer rows. What a broadcast would carry is counted
+    with its cell lists and the index over them.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    if queries.count() * dimension * 4 <= broadcast_bytes:
-        partial = _against_broadcast(queries, documents, k, dimension)
+    query_bytes = dimension * 4 + cells_per_query * CELL_BYTES
+    if queries.select("query_id").count() * query_bytes <= broadcast_bytes:
+        partial = _against_broadcast(queries, documents, k, dimension, cells_per_query > 1)
     else:
         partial = _on_grid(
             queries, documents, k, dimension, query_part_rows, document_part_rows

@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+SMALL_TABLE_BYTES = 256 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
@@ -34,14 +37,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work on a table that comes in few files.
+def spread_small_table(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work on a small table.
 
-    A Parquet row group is read by one task. A table in more files than the
-    session has cores is left alone, so no big table is shuffled for this.
+    A Parquet row group is read by one task, so a small table may come in fewer
+    tasks than there are cores. Catalyst's size estimate decides, with a fixed
+    bound on what is shuffled; a larger table has row groups enough.
     """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if size <= SMALL_TABLE_BYTES else df
 
 
 def run_once(model_udf):

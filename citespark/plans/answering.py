@@ -11,10 +11,12 @@ from citespark.operators.answers import (
     ANSWER_WORDS,
     ANSWERABILITY_THRESHOLD,
     Generator,
+    GENERATION,
+    answer_gate,
     answer_records,
+    checked_query,
     generated,
     nest_sources,
-    system_prompt,
     user_prompt,
 )
 from citespark.operators.encode import TextEncoder
@@ -51,9 +53,9 @@ def nearest_documents(
     table of ids and not from the search.
     """
     documents = corpus.select("doc_id", F.col("question_body").alias("text"))
-    asked, stored = encoded_sides(
-        questions.select("query_id", "query"), documents, make_encoder, dimension
-    )
+    # An empty question fails here, before anything costly runs.
+    asked = questions.select("query_id", checked_query(F.col("query")).alias("query"))
+    asked, stored = encoded_sides(asked, documents, make_encoder, dimension)
     if projection is not None:
         asked = cut_lineage(project(asked, projection))
         stored = cut_lineage(project(stored, projection))
@@ -115,19 +117,34 @@ def answer_questions(
     make_generator: Callable[[], Generator] | None = None,
     threshold: float = ANSWERABILITY_THRESHOLD,
     maximum_words: int = ANSWER_WORDS,
+    system_prompt: str | None = None,
 ) -> DataFrame:
     """Answer records from a table of drafts or from a generator.
 
     Without either, every answered question gets the extract of its first
-    source.
+    source. A generator needs the caller's ``system_prompt``. It sees only the
+    questions that pass the gate; their records also have the token counts and
+    the time of the generation, null for the others.
     """
-    rows = sourced_questions(questions, reranked)
+    rows = sourced_questions(
+        questions.withColumn("query", checked_query(F.col("query"))), reranked
+    )
     if drafts is not None:
         rows = rows.join(drafts.select("query_id", "answer"), "query_id", "left")
     elif make_generator is not None:
+        if not system_prompt:
+            raise ValueError("a generator needs a system prompt")
+        # Stored: the generator must run once per question that passes the gate.
+        gated = cut_lineage(answer_gate(rows, threshold))
         prompt = user_prompt(F.col("query"), F.col("sources"))
-        rows = rows.withColumn(
-            "answer", generated(F.lit(system_prompt(maximum_words)), prompt, make_generator)
+        asked = gated.filter(~F.col("abstained")).withColumn(
+            "_made", generated(F.lit(system_prompt), prompt, make_generator)
+        )
+        silent = gated.filter("abstained").withColumn("_made", F.lit(None).cast(GENERATION))
+        rows = cut_lineage(
+            asked.unionByName(silent)
+            .select("*", "_made.*")
+            .drop("_made", "abstained", "top_reranker_score")
         )
     else:
         rows = rows.withColumn("answer", F.lit(""))

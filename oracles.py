@@ -9,6 +9,9 @@ from __future__ import annotations
 VECTOR_DIM = 64
 SMALL_VECTOR_DIM = 16
 TEXT_DIM = 256
+TFIDF_DIM = 256
+# The caller's instructions to a generator.
+SYSTEM_PROMPT = "You get a question and a few numbered texts. Reply in prose, numbers in brackets."
 SMALL_TEXT_DIM = 64
 CELLS = 16
 PROBES = 4
@@ -484,6 +487,27 @@ def _function_sql() -> dict[str, str]:
         "encode_in_two_runs": f"""WITH d AS (SELECT doc_id AS id, text FROM documents),
             {encode("ev", "d")}, named AS (SELECT id AS doc_id, e FROM ev)
             {entries("named")}""",
+        "encode_tfidf_documents": f"""WITH
+            words AS (SELECT doc_id, unnest({words("text")}) AS w FROM documents),
+            counts AS (
+                SELECT doc_id, ('0x' || substr(md5(w), 1, 4))::INTEGER % {TFIDF_DIM} AS slot,
+                       count(*) AS tf
+                FROM words GROUP BY ALL),
+            weights AS (
+                SELECT slot, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)::DOUBLE)
+                    AS idf
+                FROM counts GROUP BY slot),
+            every AS (
+                SELECT d.doc_id, r.slot,
+                       coalesce(c.tf * w.idf, 0) + CASE WHEN r.slot = 0 THEN 1 ELSE 0 END AS x
+                FROM documents d CROSS JOIN (SELECT unnest(range({TFIDF_DIM})) AS slot) r
+                LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.slot = r.slot
+                LEFT JOIN weights w ON w.slot = r.slot),
+            unit AS (
+                SELECT doc_id, slot, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x
+                FROM every)
+            SELECT doc_id, slot AS dim, round(x::FLOAT::DOUBLE, 6) AS weight
+            FROM unit WHERE x <> 0""",
         "incremental_pending": """SELECT doc_id, n_chars FROM documents
             WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
         "f32_matrix_scan": f"""WITH numbered AS (
@@ -513,6 +537,13 @@ def _evaluation_sql() -> dict[str, str]:
                         WHERE a.query_id = p.id) AS shared FROM page_queries p))'''
             if base else 'NULL::DOUBLE'
         } AS overlap_at_10,
+        {
+            f'''(SELECT bool_and(n >= 10) FROM (
+                SELECT least((SELECT count(*) FROM {base} a WHERE a.query_id = p.id),
+                             (SELECT count(*) FROM {hits} b WHERE b.query_id = p.id)) AS n
+                FROM page_queries p))'''
+            if base else 'NULL::BOOLEAN'
+        } AS complete,
         round((SELECT count(*) FROM pages) * {dim} * 4 / (1024.0::DOUBLE * 1024.0), 2) AS size_mib
         FROM (SELECT p.id, coalesce((SELECT min(rank) FROM {hits} h
               WHERE h.query_id = p.id AND h.doc_id = p.id), 0) AS rank FROM page_queries p)"""
@@ -565,9 +596,22 @@ def _evaluation_sql() -> dict[str, str]:
 
 
 def _answer_sql() -> dict[str, str]:
-    from citespark.operators.answers import system_prompt
-
-    system = system_prompt().replace("'", "''")
+    system = SYSTEM_PROMPT.replace("'", "''")
+    # A stand-in for a model: it tells the length of its prompt and cites [1], or [9] at times.
+    generated = AUDIT.replace(
+        "drafted AS (",
+        """prompts AS (
+        SELECT query_id, 'Question:' || chr(10) || query || chr(10) || chr(10) || 'Sources:'
+               || chr(10) || context || chr(10) || chr(10) || 'Write the answer.' AS prompt
+        FROM questions JOIN contexts USING (query_id)),
+    prompted AS (
+        SELECT query_id, length(prompt) AS prompt_tokens,
+               'A prompt of ' || length(prompt) || ' characters. ['
+               || CASE WHEN length(prompt) % 3 = 0 THEN '9' ELSE '1' END || ']' AS draft
+        FROM prompts),
+    drafted AS (""",
+        1,
+    ).replace("JOIN drafts d", "JOIN prompted d")
     return {
         "fetch_ranked_documents": f"""WITH {CANDIDATES} SELECT query_id, rank, doc_id,
             vector_similarity, title, question_body, answer, url
@@ -605,6 +649,10 @@ def _answer_sql() -> dict[str, str]:
             round(top_score, 6) AS top_reranker_score, used_fallback,
             round(citation_coverage, 6) AS citation_coverage,
             round(citation_validity, 6) AS citation_validity, source_ids FROM records""",
+        "answer_generated": f"""WITH {generated} SELECT query_id, query, answer, abstained,
+            used_fallback, CASE WHEN NOT abstained THEN prompt_tokens END AS prompt_tokens,
+            CASE WHEN NOT abstained THEN 5::BIGINT END AS output_tokens, source_ids
+            FROM records JOIN prompted USING (query_id)""",
         "answer_summary": f"""WITH {AUDIT} SELECT count(*) AS queries,
             round(avg((in_domain <> abstained)::INTEGER), 6) AS behaviour_accuracy,
             round(avg((NOT abstained)::INTEGER) FILTER (in_domain), 6) AS in_domain_answer_rate,

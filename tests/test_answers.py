@@ -5,6 +5,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from citespark.operators.answers import Generation
 from citespark.operators import answers, rerank
 from citespark.operators.encode import HashedWordEncoder
 from citespark.plans import answering
@@ -104,7 +105,6 @@ def test_context_and_prompt(spark):
     assert text == f"[1]\n{block}\n\n[2]\n{block}"
     prompt = rows.select(answers.user_prompt(F.col("query"), F.col("sources"))).first()[0]
     assert prompt == f"Question:\nhow\n\nSources:\n{text}\n\nWrite the answer."
-    assert "140" in answers.system_prompt()
 
 
 def test_audit_keeps_a_cited_answer(spark):
@@ -157,7 +157,11 @@ def test_summary(spark):
 
 
 def echo_generator():
-    return lambda prompts: [f"Answer for {user.splitlines()[1]}. [1]" for _, user in prompts]
+    def generate(prompts):
+        # A question that the gate turns away never gets here.
+        assert not any("quantum" in user for _, user in prompts)
+        return [Generation(f"Answer for {user.splitlines()[1]}. [1]", 7) for _, user in prompts]
+    return generate
 
 
 def test_answering_end_to_end(spark):
@@ -170,8 +174,17 @@ def test_answering_end_to_end(spark):
     )
     found = {
         r.query_id: r
-        for r in answering.answer_questions(questions, best, make_generator=echo_generator).collect()
+        for r in answering.answer_questions(
+            questions, best, make_generator=echo_generator, system_prompt="Be brief."
+        ).collect()
     }
+    assert (found[1].prompt_tokens, found[1].output_tokens) == (7, None)
+    assert found[1].generation_ms >= 0 and found[2].generation_ms is None
+    with pytest.raises(ValueError, match="system prompt"):
+        answering.answer_questions(questions, best, make_generator=echo_generator)
+    blank = questions.withColumn("query", F.lit(" "))
+    with pytest.raises(Exception, match="must not be empty"):
+        answering.retrieve_and_rerank(blank, corpus(spark), lambda: HashedWordEncoder(64), 64)
     assert found[1].answer == "Answer for sort a list of numbers. [1]"
     assert [s.doc_id for s in found[1].sources][0] == 0
     assert (found[2].abstained, found[2].answer) == (True, answers.ABSTENTION_TEXT)

@@ -20,11 +20,12 @@ def relevance(spark, docs):
     return spark.createDataFrame(list(enumerate(docs)), "query_id bigint, relevant_doc_id bigint")
 
 
-FOUR = [(10, 11, 12), (20, 21, 22), (30, 31, 32), (40, 41, 42)]
+RANKED = [(5, 3, 8), (2, 6, 1), (9, 4, 7), (3, 5, 2)]
+WANTED = [5, 6, 7, 0]
 
 
 def test_ranks_and_metrics(spark):
-    ranks = evaluate.known_item_ranks(ranking(spark, FOUR), relevance(spark, [10, 21, 32, 99]))
+    ranks = evaluate.known_item_ranks(ranking(spark, RANKED), relevance(spark, WANTED))
     assert [r["rank"] for r in ranks.orderBy("query_id").collect()] == [1, 2, 3, 0]
     found = evaluate.known_item_metrics(ranks, recall_ks=(3, 1, 2, 2), metric_cutoff=3).first()
     assert (found.queries, found.recall_at_1, found.recall_at_2, found.recall_at_3) == (
@@ -41,7 +42,7 @@ def test_first_match_wins_and_empty_rankings_count(spark):
 
 
 def test_cutoff_wider_than_ranking(spark):
-    ranks = evaluate.known_item_ranks(ranking(spark, FOUR), relevance(spark, [10, 21, 32, 99]))
+    ranks = evaluate.known_item_ranks(ranking(spark, RANKED), relevance(spark, WANTED))
     found = evaluate.known_item_metrics(ranks, recall_ks=(100,), metric_cutoff=2).first()
     assert found.recall_at_100 == 0.75
     assert found.mrr_at_2 == pytest.approx(1.5 / 4)

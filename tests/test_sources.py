@@ -117,7 +117,7 @@ def test_matrix_round_trip(spark, tmp_path):
     vectors = unit(np.random.default_rng(0).normal(size=(100, 5)))
     path = str(tmp_path / "parts")
     matrix.write_matrix(table(spark, vectors).repartition(6), path, 5)
-    assert matrix.matrix_rows(path, 5) == 100
+    assert matrix.matrix_rows(spark, path, 5) == 100
     found = matrix.read_matrix(spark, path, 5).orderBy("doc_id").collect()
     assert [r.doc_id for r in found] == list(range(100))
     assert np.array_equal(np.array([r.embedding for r in found], dtype=np.float32), vectors)
@@ -125,6 +125,27 @@ def test_matrix_round_trip(spark, tmp_path):
         matrix.write_matrix(table(spark, vectors), path, 5)
 
 
+def test_half_written_matrix_is_refused(spark, tmp_path):
+    path = tmp_path / "parts"
+    matrix.write_matrix(table(spark, unit([[1, 0], [0, 1]])), str(path), 2)
+    (path / "_SUCCESS").rename(path / "other")
+    with pytest.raises(ValueError, match="not written to its end"):
+        matrix.read_matrix(spark, str(path), 2)
+
+
+def test_matrix_paths_resolve_like_spark_paths(spark):
+    assert matrix.qualified(spark, "/a/b") == "file:/a/b"
+    assert matrix._open("file:/a/b")[1] == "/a/b"
+    conf = spark._jsc.hadoopConfiguration()
+    usual = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.other.link./a", "file:///tmp")
+    conf.set("fs.defaultFS", "viewfs://other/")
+    try:
+        assert matrix.qualified(spark, "/a/b") == "viewfs://other/a/b"
+    finally:
+        conf.set("fs.defaultFS", usual)
+
+
 def test_single_matrix_file_is_split(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(matrix, "ROWS_PER_TASK", 3)
     vectors = unit([[1, 0, 0], [0, 1, 0], [0, 0, 1], [1, 1, 0]])
@@ -134,10 +155,10 @@ def test_single_matrix_file_is_split(spark, tmp_path, monkeypatch):
     assert np.array_equal(np.array([r.embedding for r in found], dtype=np.float32), vectors)
     for dimension in (5, 0):
         with pytest.raises(ValueError):
-            matrix.matrix_rows(path, dimension)
+            matrix.matrix_rows(spark, path, dimension)
     (tmp_path / "empty.f32").write_bytes(b"")
     with pytest.raises(ValueError, match="no vectors"):
-        matrix.matrix_rows(str(tmp_path / "empty.f32"), 3)
+        matrix.matrix_rows(spark, str(tmp_path / "empty.f32"), 3)
 
 
 def test_table_schema_check_and_sinks(spark, tmp_path):
@@ -182,10 +203,19 @@ def test_encoder_runs_once_per_row(spark):
 
 def test_tfidf(spark):
     rows = spark.createDataFrame([(0, "red apple"), (1, "green apple"), (2, "!!")], "doc_id bigint, t string")
-    found = {r.doc_id: np.array(r.embedding) for r in encode_tfidf(rows, tfidf_model(rows, "t", 64)).collect()}
-    assert sorted(found) == [0, 1]
-    assert np.linalg.norm(found[0]) == pytest.approx(1, abs=1e-6)
-    assert 0 < found[0] @ found[1] < 0.5
+    model = tfidf_model(rows, "t", 64)
+    found = {r.doc_id: np.array(r.embedding) for r in encode_tfidf(rows, model).collect()}
+    assert sorted(found) == [0, 1, 2]
+    assert all(np.linalg.norm(v) == pytest.approx(1, abs=1e-6) for v in found.values())
+    assert 0 < found[0] @ found[1] < 1
+    assert found[2].tolist() == [1.0] + [0.0] * 63
+
+
+def test_tfidf_gives_every_row_a_vector(spark):
+    """A word of all documents weighs nothing, and a null text has no words."""
+    rows = spark.createDataFrame([(0, "same"), (1, "same"), (2, None)], "doc_id bigint, t string")
+    model = tfidf_model(rows.filter("doc_id < 2"), "t", 16)
+    assert encode_tfidf(rows, model).filter("embedding[0] = 1").count() == 3
 
 
 def test_pending(spark):
@@ -204,6 +234,39 @@ def test_encoding_in_runs(spark, tmp_path):
         encode_pending(rows, output, make, "m", 16)
 
 
+def test_encoding_goes_on_after_a_failed_first_run(spark, tmp_path):
+    rows = spark.range(6).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    output, flag = str(tmp_path / "out"), tmp_path / "fail"
+    flag.touch()
+
+    def make():
+        if flag.exists():
+            raise RuntimeError("no model")
+        return HashedWordEncoder(8)
+
+    with pytest.raises(Exception, match="no model"):
+        encode_pending(rows, output, make, "m", 8, source="a")
+    flag.unlink()
+    found = encode_pending(rows, output, make, "m", 8, source="a")
+    assert sorted(r.doc_id for r in found.collect()) == list(range(6))
+    with pytest.raises(ValueError, match="was encoded with"):
+        encode_pending(rows, output, make, "m", 8, source="b")
+
+
+def test_settings_folder_left_empty(spark, tmp_path):
+    (tmp_path / "out" / "settings").mkdir(parents=True)
+    (tmp_path / "out" / "vectors").mkdir()
+    rows = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    assert encode_pending(rows, str(tmp_path / "out"), lambda: HashedWordEncoder(8), "m", 8).count() == 1
+
+
+def test_stream_without_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = spark.createDataFrame([], "doc_id bigint, text string").schema
+    found = encode_new_files(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), lambda: HashedWordEncoder(8), "m", 8)
+    assert found.count() == 0 and found.columns == ["doc_id", "embedding"]
+
+
 def test_stream_takes_up_only_new_files(spark, tmp_path):
     source, output = str(tmp_path / "in"), str(tmp_path / "out")
     counted = tmp_path / "seen"
