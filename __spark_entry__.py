@@ -15,6 +15,7 @@ from functools import partial
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import numpy as np  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -198,6 +199,14 @@ def ivf_topk_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ivf_kmeans_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-means cells, all of them probed: the exact result."""
+    documents = _vectors(spark, sf_dir)
+    pivots = ann.kmeans_pivots(documents, CELLS)
+    index = cut_lineage(ann.assign_cells(documents, pivots))
+    return _ranking(ann.cell_topk(_vector_queries(spark, sf_dir), index, pivots, 10, CELLS))
+
+
 def ivf_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the cell index partitioned by cell, read it back and search it."""
     documents = _vectors(spark, sf_dir)
@@ -400,6 +409,90 @@ def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.project(_vectors(spark, sf_dir), _pca(spark, sf_dir))
 
 
+def pca_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted projection against the table: mean, variance, orthonormal components."""
+    found = _pca(spark, sf_dir)
+    product = found.components @ found.components.T
+    orthonormal = bool(np.abs(product - np.eye(len(product))).max() < 1e-6)
+    slots = _vectors(spark, sf_dir).select(F.posexplode("embedding").alias("slot", "x"))
+    per_slot = slots.groupBy("slot").agg(
+        F.var_samp(F.col("x").cast("double")).alias("v"), F.avg("x").alias("m")
+    )
+    # The variance along the components, from the vectors themselves.
+    along = _vectors(spark, sf_dir).select(
+        F.posexplode(
+            F.array(
+                *[
+                    F.aggregate(
+                        F.zip_with(
+                            "embedding",
+                            F.array(*[F.lit(float(w)) for w in row]),
+                            lambda x, w: x.cast("double") * w,
+                        ),
+                        F.lit(0.0),
+                        lambda total, x: total + x,
+                    )
+                    for row in found.components
+                ]
+            )
+        ).alias("slot", "y")
+    )
+    kept = along.groupBy("slot").agg(F.var_samp("y").alias("v")).agg(F.sum("v").alias("kept"))
+    return (
+        per_slot.agg(F.sum("v").alias("total"), F.sqrt(F.sum(F.col("m") ** 2)).alias("norm"))
+        .crossJoin(F.broadcast(kept))
+        .crossJoin(F.broadcast(_vectors(spark, sf_dir).agg(F.count("*").alias("n_vectors"))))
+        .select(
+            "n_vectors",
+            F.round("total", 6).alias("total_variance"),
+            F.round("norm", 6).alias("mean_norm"),
+            F.lit(orthonormal).alias("orthonormal"),
+            (F.abs(F.col("kept") / F.col("total") - found.explained_variance) < 1e-5).alias(
+                "variance_as_told"
+            ),
+        )
+    )
+
+
+def pca_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projection with the model saved and loaded, next to the fitted one and plain numbers."""
+    fitted = _pca(spark, sf_dir)
+    path = f"{_new_folder(spark)}/projection"
+    projection.save_projection(spark, fitted, path)
+    loaded = projection.load_projection(spark, path)
+    rows = _vectors(spark, sf_dir).withColumn("original", F.col("embedding"))
+    stored = projection.project(rows, loaded)
+    direct = projection.project(_vectors(spark, sf_dir), fitted).select(
+        "doc_id", F.col("embedding").alias("fitted")
+    )
+    # First number of the centred vector along the first component, before scaling.
+    centred = F.zip_with(
+        "original",
+        F.array(*[F.lit(float(m)) for m in fitted.mean]),
+        lambda x, m: x.cast("double") - m,
+    )
+
+    def along(row):
+        weights = F.array(*[F.lit(float(w)) for w in row])
+        return F.aggregate(
+            F.zip_with("centred", weights, lambda x, w: x * w), F.lit(0.0), lambda t, x: t + x
+        )
+
+    joined = stored.join(direct, "doc_id").withColumn("centred", centred)
+    first, second = along(fitted.components[0]), along(fitted.components[1])
+    unit = F.aggregate(
+        "embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")
+    )
+    # Scaling keeps the ratio of two numbers.
+    crossed = first * F.col("embedding")[1] - second * F.col("embedding")[0]
+    return joined.select(
+        "doc_id",
+        (F.abs(unit - 1) < 1e-5).alias("unit_length"),
+        (F.col("embedding") == F.col("fitted")).alias("as_fitted"),
+        (F.abs(crossed) < 1e-5).alias("as_computed"),
+    )
+
+
 def fold_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = projection.project(
         _vectors(spark, sf_dir), projection.folding(VECTOR_DIM, SMALL_VECTOR_DIM)
@@ -477,6 +570,22 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of metrics written as CSV and read back."""
+    path = f"{_new_folder(spark)}/metrics"
+    metrics = latency_summary(spark, sf_dir)
+    tables.write_metrics_csv(metrics, path)
+    return spark.read.schema(metrics.schema).option("header", True).csv(path)
+
+
+def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of two stages per record, summarised by stage."""
+    records = _table(spark, sf_dir, "events").select(
+        F.col("value").alias("retrieval_ms"), (F.col("value") * 3 + 1).alias("generation_ms")
+    )
+    return evaluate.stage_latency(records, ["retrieval_ms", "generation_ms"])
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
     documents = _table(spark, sf_dir, "documents").select("doc_id", "n_chars")
@@ -747,6 +856,16 @@ def f32_matrix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(matrix.read_matrix(spark, path, VECTOR_DIM))
 
 
+def run_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a run written as JSON and read back."""
+    path = f"{_new_folder(spark)}/summary"
+    summary = corpus.corpus_stats(_corpus(spark, sf_dir)).select(
+        "objects", "title_chars_mean", "question_score_mean"
+    )
+    tables.write_run_json(summary, path)
+    return spark.read.schema(summary.schema).json(path)
+
+
 def write_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{_new_folder(spark)}/corpus"
     tables.write_corpus(_corpus(spark, sf_dir), path)
@@ -759,6 +878,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     ivf_topk,
     ivf_topk_all_cells,
     ivf_topk_kmeans,
+    ivf_kmeans_all_cells,
     ivf_stored_index,
     lsh_topk,
     best_answer,
@@ -784,6 +904,8 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     incremental_pending,
     pca_fit,
     pca_project,
+    pca_report,
+    pca_stored,
     fold_project,
     known_item_ranks,
     known_item_per_query,
@@ -791,6 +913,8 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     ann_overlap,
     compare_retrievers,
     latency_summary,
+    metrics_csv,
+    stage_latency,
     threshold_metrics,
     calibrate_threshold,
     all_thresholds,
@@ -810,6 +934,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     csv_scan,
     corpus_csv_build,
     f32_matrix_scan,
+    run_json,
     write_corpus,
 ]
 

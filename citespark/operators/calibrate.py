@@ -73,7 +73,12 @@ def thresholds(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def best_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
-    """The threshold with the best F1, then accuracy, then the lowest value."""
+    """The threshold with the best F1, then accuracy, then the lowest value.
+
+    A table without a labelled score has none; that is an error.
+    """
+    if _labelled(df, label, score).filter(F.col("_score").isNotNull()).isEmpty():
+        raise ValueError("there is no labelled score to calibrate on")
     row = F.struct("threshold", "accuracy", "precision", "recall", "f1")
     order = F.struct("f1", "accuracy", -F.col("threshold"))
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citespark.operators.encode import TextEncoder, encode_texts
 from citespark.operators.evaluate import known_item_ranks
+from citespark.operators.sampling import DEFAULT_SEED, sample_by_key
 from citespark.operators.search import exact_topk
 from citespark.operators.stable import cut_lineage
 
@@ -39,8 +40,17 @@ def known_item_run(
     make_encoder: Callable[[], TextEncoder],
     dimension: int,
     k: int = 10,
+    sample: int | None = None,
+    seed: int = DEFAULT_SEED,
 ) -> DataFrame:
-    """Rank of the relevant document per query under exact search."""
+    """Rank of the relevant document per query under exact search.
+
+    All queries against all documents is quadratic work; ``sample`` takes
+    exactly that many queries by sampling key, or fails.
+    """
+    if sample is not None:
+        queries = cut_lineage(sample_by_key(queries, "query_id", sample, seed))
+        relevant = relevant.join(queries.select("query_id"), "query_id", "left_semi")
     asked, stored = encoded_sides(queries, documents, make_encoder, dimension)
     rankings = exact_topk(asked, stored, k, dimension)
     return known_item_ranks(rankings, relevant.select("query_id", "relevant_doc_id")).join(

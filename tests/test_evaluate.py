@@ -34,6 +34,17 @@ def test_ranks_and_metrics(spark):
     assert found.ndcg_at_3 == pytest.approx((1 + 1 / math.log2(3) + 1 / 2) / 4, abs=1e-6)
 
 
+def test_mismatched_rankings_and_labels(spark):
+    with pytest.raises(ValueError, match="no labelled query"):
+        evaluate.known_item_ranks(ranking(spark, RANKED), relevance(spark, [5]))
+    twice = relevance(spark, [5, 6]).unionByName(relevance(spark, [6]))
+    with pytest.raises(ValueError, match="more than one relevant"):
+        evaluate.known_item_ranks(ranking(spark, RANKED[:2]), twice)
+    nothing = spark.createDataFrame([], "label int, score double")
+    with pytest.raises(ValueError, match="no labelled score"):
+        calibrate.best_threshold(nothing, "label", "score")
+
+
 def test_first_match_wins_and_empty_rankings_count(spark):
     ranks = evaluate.known_item_ranks(
         ranking(spark, [(5, 7, 7)]), relevance(spark, [7, 8])
