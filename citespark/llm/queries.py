@@ -120,6 +120,7 @@ def oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can express; tests cover the others by brute force."""
     return {
         "op5_exact_dedup": exact_dedup.SQL,
+        "op6_source_mix": source_mix.sql(),
         "op8_url_filter": url_filter.sql(),
         "op9_ngram_join": ngram_join.SQL,
     }

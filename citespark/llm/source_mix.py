@@ -233,3 +233,95 @@ def mixed_documents(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     return repeated.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(
         *[docs[c] for c in docs.columns]
     )
+
+
+def sql(
+    weights: tuple[float, ...] = WEIGHTS,
+    repeats: int = MAX_REPEATS,
+    block_words: int = BLOCK_WORDS,
+    seed: int = 11,
+) -> str:
+    """The same mix in DuckDB, where every quotient is a row."""
+    half = block_words // 2
+    turns = " ".join(f"WHEN {i} THEN {w}::DOUBLE" for i, w in enumerate(weights))
+
+    def blocks(words: str) -> str:
+        return (
+            f"CASE WHEN {words} > 0 THEN greatest(1, ({words} + {half}) // {block_words}) "
+            "ELSE 0 END"
+        )
+
+    return rf"""
+WITH sized AS (
+  SELECT doc_id, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents
+), sources AS (
+  SELECT source, count(*) AS n, sum(size)::BIGINT AS words,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+  FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, CASE rank % {len(weights)} {turns} END AS weight, sum(words) OVER () AS everything
+  FROM sources
+), filling AS (
+  SELECT *, row_number() OVER fill AS pos,
+         everything - coalesce(sum({repeats} * words) OVER before, 0) AS rest,
+         sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS rest_weight
+  FROM weighted
+  WINDOW fill AS (ORDER BY {repeats} * words / weight, rank),
+         before AS (ORDER BY {repeats} * words / weight, rank
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT pos, rest, rest_weight FROM filling
+  WHERE {repeats} * words * rest_weight > rest * weight ORDER BY pos LIMIT 1
+), targets AS (
+  SELECT f.source, f.rank, f.words, f.everything,
+         greatest(1, ceil(sqrt(f.n)))::BIGINT AS shards,
+         CASE WHEN f.pos >= l.pos THEN (l.rest * f.weight) / l.rest_weight
+              ELSE {repeats} * f.words END::DOUBLE AS target
+  FROM filling f LEFT JOIN level l ON true
+), source_quotas AS (
+  SELECT rank, count(*) AS quota FROM (
+    SELECT rank, (everything + {half}) // {block_words} AS seats,
+           row_number() OVER (ORDER BY target / (2 * m + 1) DESC, rank) AS place
+    FROM (SELECT *, unnest(range({repeats} * ({blocks("words")}))) AS m
+          FROM targets WHERE target > 0))
+  WHERE place <= seats GROUP BY rank
+), dealt AS (
+  SELECT s.doc_id, s.size, t.rank, t.words AS source_size, t.target, t.shards,
+         ((coalesce(s.doc_id, -1) % {PRIME} + {PRIME}) % {PRIME} * {FACTOR} + {seed}) % {PRIME}
+           AS mix
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), sharded AS (
+  SELECT *, mix % shards AS shard,
+         (sum(size) OVER (PARTITION BY rank, mix % shards ORDER BY mix, doc_id, size
+                          ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS first_word
+  FROM dealt
+), cells AS (
+  SELECT rank, shard, sum(size)::BIGINT AS words,
+         {blocks("sum(size)::BIGINT")} AS blocks
+  FROM sharded GROUP BY rank, shard
+), shard_quotas AS (
+  SELECT rank, shard, count(*) AS quota FROM (
+    SELECT c.rank, c.shard, q.quota AS seats,
+           row_number() OVER (PARTITION BY c.rank
+                              ORDER BY c.words::DOUBLE / (2 * m + 1) DESC, c.shard) AS place
+    FROM (SELECT *, unnest(range({repeats} * blocks)) AS m FROM cells WHERE words > 0) c
+    JOIN source_quotas q ON c.rank = q.rank)
+  WHERE place <= seats GROUP BY rank, shard
+)
+SELECT s.doc_id, s.size, s.source_size, s.target,
+       CASE WHEN s.size > 0 THEN
+         s.size * (coalesce(q.quota, 0) // c.blocks)
+         + list_sum(list_transform(
+             range(((s.first_word + 1) * c.blocks - 1) // c.words,
+                   ((s.first_word + s.size) * c.blocks - 1) // c.words + 1),
+             lambda j: CASE
+               WHEN (j * {FACTOR} + {seed} + s.shard) % c.blocks < coalesce(q.quota, 0) % c.blocks
+               THEN least(s.first_word + s.size, ((j + 1) * c.words) // c.blocks)
+                    - greatest(s.first_word, (j * c.words) // c.blocks)
+               ELSE 0 END))
+       ELSE 0 END::BIGINT AS taken
+FROM sharded s JOIN cells c ON s.rank = c.rank AND s.shard = c.shard
+LEFT JOIN shard_quotas q ON s.rank = q.rank AND s.shard = q.shard
+"""
