@@ -47,8 +47,8 @@ from citespark.streaming.encode_stream import encode_new_files  # noqa: E402
 
 try:
     from citespark.llm import queries as llm_queries
-except ModuleNotFoundError as missing:  # the subpackage may be left out
-    if missing.name not in ("citespark.llm", "corpus_pipeline"):
+except ImportError as missing:  # the subpackage may be left out
+    if missing.name != "citespark.llm":
         raise
     llm_queries = None
 
