@@ -8,8 +8,10 @@ pass over the texts, and a later read cannot see other rows.
 from __future__ import annotations
 
 import json
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +104,19 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
+def per_worker(key: tuple, make: Callable[[], object]) -> object:
+    """One object per Python worker, kept for the tasks that it runs later.
+
+    Functions travel by value, so what they hold ends with their task. A worker
+    keeps its modules; the objects are put into one of them.
+    """
+    kept = sys.modules.setdefault("_citespark_kept", ModuleType("_citespark_kept")).__dict__
+    name = repr(key)
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def group_bounds(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """First and past-the-last row of each group of equal neighbours."""
     n = len(columns[0])

@@ -22,6 +22,7 @@ stored key.
 from __future__ import annotations
 
 import os
+import string
 import struct
 from collections.abc import Iterator
 
@@ -32,17 +33,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citespark.llm.bpe import spread
+from citespark.llm.staging import per_worker
 
 MAGIC = b"TOKSHRD1"
 HEAD = "<8sBQQQQI"
 #: Text bytes of a shard; its file holds about as many.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 #: Bits per unresolved key on each level.
 ROOM = 2
-CACHED_PIECES = 400_000
-ROWS_AT_ONCE = 1_024
+CACHED_PIECES = 500_000
+ROWS_AT_ONCE = 256
+#: Words that the library gets as one text.
+TOGETHER = 64
 NULL_KEY = (0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D)
 MAX_SHARDS = 1 << 22
+PUNCTUATION = string.punctuation
 
 
 def mix(values: np.ndarray, seed: int) -> np.ndarray:
@@ -204,33 +209,95 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(1 + max(vocabulary.values()), dtype=bool)
+        for name, number in vocabulary.items():
+            self.spaced[number] = name.startswith(space)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cached = cached
-        self._forget()
-
-    def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.tokens = np.zeros(0, dtype=np.int64)
+        self.tokens = np.zeros(0, dtype=np.int32)
         self.first = np.zeros(0, dtype=np.int64)
         self.count = np.zeros(0, dtype=np.int64)
+        self.uses = np.zeros(0, dtype=np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces used most, at most half of what is cached."""
+        least = 2
+        while (self.uses >= least).sum() > self.cached // 2:
+            least *= 2
+        keep = np.flatnonzero(self.uses >= least)
+        names = list(self.number)
+        self.number = {names[i]: at for at, i in enumerate(keep.tolist())}
+        count = self.count[keep]
+        ids = np.maximum(count, 0)
+        self.tokens = self.tokens[spread(self.first[keep], ids)]
+        self.first, self.count = np.cumsum(ids) - ids, count
+        self.uses = self.uses[keep] // 2
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each with a space before it, end to end, and the number of ids of each."""
+        joined = [
+            f" {' '.join(words[at : at + TOGETHER])}" for at in range(0, len(words), TOGETHER)
+        ]
+        flat = self._flat(self._library(joined))
+        # Only the first token of a word starts with its space.
+        first = np.flatnonzero(self.spaced[flat])
+        if len(first) == len(words):
+            return flat, np.diff(np.append(first, len(flat)))
+        found = self._library([f" {w}" for w in words])
+        return self._flat(found), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+
+    @staticmethod
+    def _flat(found: list[list[int]]) -> np.ndarray:
+        parts = [np.array(ids, dtype=np.int64) for ids in found]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
     def _learn(self, pieces: list[str]) -> None:
-        """Names are pieces; one that starts a text has a space before it here and none there."""
-        found = self._library([p[1:] if p[:1] == " " else f" {p}" for p in pieces])
-        count = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for ids in found for i in ids), dtype=np.int64, count=count.sum())
-        self.first = np.append(self.first, np.cumsum(count) - count + len(self.tokens))
-        self.tokens = np.append(self.tokens, flat)
-        plain = np.fromiter(
-            (len(b := p.removeprefix(" ")) > 0 and not (b[0].isspace() or b[-1].isspace())
-             for p in pieces),
-            dtype=bool,
-            count=len(pieces),
-        )
-        self.count = np.append(self.count, np.where(plain, count, -1))
+        """Pieces in front of a text have a space before them here and none there."""
+        words: dict[str, int] = {}
+        others: dict[str, int] = {}
+        parts, sizes, mixed = [], [], []
+        word_number, other_number = words.setdefault, others.setdefault
+        for i, piece in enumerate(pieces):
+            if piece.isalnum():
+                parts.append(word_number(piece, len(words)))
+                sizes.append(1)
+                continue
+            word = piece.rstrip(PUNCTUATION)
+            if word.isalnum() and "<|" not in piece:
+                # Marks behind letters and digits are words of their own.
+                parts.append(word_number(word, len(words)))
+                parts.append(-1 - other_number(piece[len(word) :], len(others)))
+                sizes.append(2)
+                continue
+            mixed.append(i)
+            whole = piece[1:] if piece[:1] == " " else f" {piece}"
+            parts.append(-1 - other_number(whole or " ", len(others)))
+            sizes.append(1)
+        flat, count = self._encode_words(list(words))
+        found = self._library(list(others))
+        flat = np.append(flat, self._flat(found))
+        count = np.append(count, np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        first = np.cumsum(count) - count
+        at = np.array(parts, dtype=np.int64)
+        at = np.where(at < 0, len(words) - 1 - at, at)
+        tokens = flat[spread(first[at], count[at])]
+        bounds = np.concatenate([[0], np.cumsum(count[at])])
+        edges = bounds[np.concatenate([[0], np.cumsum(sizes)])]
+        counts = np.diff(edges)
+        for i in mixed:
+            body = pieces[i].removeprefix(" ")
+            if not body or body[0].isspace() or body[-1].isspace():
+                counts[i] = -1
+        self.first = np.append(self.first, edges[:-1] + len(self.tokens))
+        self.tokens = np.append(self.tokens, tokens.astype(np.int32))
+        self.count = np.append(self.count, counts)
+        self.uses = np.append(self.uses, np.zeros(len(counts), dtype=np.int64))
         self.number.update(zip(pieces, range(len(self.number), len(self.count)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -250,6 +317,7 @@ class LibraryEncoder:
         found = []
         for text, pieces in zip(texts, split, strict=True):
             at = np.fromiter(map(number, pieces), dtype=np.int64, count=len(pieces))
+            self.uses[at] += 1
             if (self.count[at] < 0).any():
                 found.append(np.array(self._library([text])[0], dtype=np.int64))
             else:
@@ -281,7 +349,7 @@ def write_token_shards(
     ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(tokenizer)
+        encoder = per_worker(("LibraryEncoder", tokenizer), lambda: LibraryEncoder(tokenizer))
         kind = f"<u{encoder.width}"
         parts, counts, keys, missing = [], [], [], []
         for whole in batches:
@@ -309,9 +377,10 @@ def write_token_shards(
 
 
 def _shard_files(spark: SparkSession, path: str) -> DataFrame:
-    schema = "path string, modificationTime timestamp, length bigint, content binary, shard int"
-    files = spark.read.format("binaryFile").schema(schema)
-    return files.option("pathGlobFilter", "part-*").load(path).select("shard", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    # Without a shard there is no folder to name one.
+    shard = F.col("shard").cast("int") if "shard" in files.columns else F.lit(0)
+    return files.select(shard.alias("shard"), "content")
 
 
 FOUND = "shard int, doc_id bigint, offset bigint, n_tokens bigint, ids binary"
