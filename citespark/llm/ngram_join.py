@@ -7,7 +7,7 @@ minima of their points. The bound is used at two resolutions:
 * Finest, a group per hash value. Points with a common part of the required
   size meet in one of their first coordinates (rarest first), so documents are
   routed to those and compared nowhere else.
-* Coarse, 64 groups. Inside a route a tree of boxes over these points (its
+* Coarse, 256 groups. Inside a route a tree of boxes over these points (its
   nodes keep the largest counts below them) finds the partners that the bound
   allows; all others are dropped unseen.
 
@@ -35,8 +35,10 @@ from citespark.llm.staging import (
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
-GROUPS = 64
-GROUP_BITS = 6
+GROUPS = 256
+GROUP_BITS = 8
+#: Counts are kept up to this one, which stands for any larger.
+MOST = 65_535
 #: Bytes hashed at once; a longer document is hashed alone.
 CHUNK = 1 << 20
 #: Shingles that are counted together to find frequent ones, and the count that makes one.
@@ -46,9 +48,10 @@ MAX_FREQUENT = 1 << 18
 #: Documents of a route that one group holds; more are compared in pairs of blocks.
 BLOCK = 1_024
 LEAF = 16
-#: Documents whose ids may be broadcast to pick their texts; more are joined by a shuffle.
+#: Pairs and sets whose ids may be broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
-SALTS = 64
+#: Partners of a document that are compared with one copy of its set.
+PARTNERS = 256
 
 U = np.uint64
 
@@ -149,9 +152,14 @@ def needed(n, percent: int = PERCENT):
 
 
 def group_counts(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount(
-        (shingles >> U(64 - GROUP_BITS)).astype(np.int64), minlength=GROUPS
-    )
+    counts = np.bincount((shingles >> U(64 - GROUP_BITS)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, MOST).astype("<u2")
+
+
+def points_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Stored points, one row each."""
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, dtype="<u2").reshape(-1, GROUPS)
 
 
 class Rare:
@@ -195,7 +203,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch(
             [
                 *[pa.nulls(n, pa.int64())] * 4,
-                pa.nulls(n, pa.list_(pa.int32())),
+                pa.nulls(n, pa.binary()),
                 pa.array(values.view(np.int64), pa.int64()),
                 pa.array(times, pa.int64()),
             ],
@@ -209,23 +217,20 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 high.append(int(mixed(found + U(1)).sum(dtype=np.uint64).view(np.int64)))
                 low.append(int(mixed(found ^ U(0x5A5A5A5A5A5A5A5A)).sum(dtype=np.uint64).view(np.int64)))
-            points.append(group_counts(found))
+            points.append(group_counts(found).tobytes())
             held.append(found)
             size += len(found)
             if size >= COUNTED:
                 yield frequent()
                 held, size = [], 0
         n = batch.num_rows
-        flat = np.concatenate(points).astype(np.int32) if points else np.zeros(0, dtype=np.int32)
         yield pa.record_batch(
             [
                 batch.column(0),
                 pa.array(counts, pa.int64()),
                 pa.array(high, pa.int64()),
                 pa.array(low, pa.int64()),
-                pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, GROUPS * n + 1, GROUPS, dtype=np.int32)), pa.array(flat)
-                ),
+                pa.array(points, pa.binary()),
                 pa.nulls(n, pa.int64()),
                 pa.nulls(n, pa.int64()),
             ],
@@ -347,7 +352,7 @@ class CountTree:
             q, n = points[at : at + step], sizes[at : at + step]
             fits = (100 * np.minimum(n[:, None], self.most_size[None, :])
                     >= percent * np.maximum(n[:, None], self.least_size[None, :]))
-            bound = np.minimum(q[:, None, :], self.most[None, :, :]).sum(axis=2)
+            bound = shared_most(q[:, None, :], self.most[None, :, :])
             # An overlap of o means 100 o >= percent (n + m - o).
             fits &= (100 + percent) * bound >= percent * (n[:, None] + self.least_size[None, :])
             query, node = np.nonzero(fits)
@@ -364,12 +369,40 @@ class CountTree:
 
 
 def allowed(p, n, q, m, percent: int) -> np.ndarray:
-    overlap = np.minimum(p, q).sum(axis=1)
-    return (100 + percent) * overlap >= percent * (n + m)
+    return (100 + percent) * shared_most(p, q) >= percent * (n + m)
 
 
-def _search(percent: int):
-    """Pairs of different components in each group that the bound allows."""
+def shared_most(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The most that two sets can share: the summed minima of their points."""
+    least = np.minimum(p, q)
+    total = least.sum(axis=-1, dtype=np.int64)
+    return np.where((least == MOST).any(axis=-1), np.iinfo(np.int32).max, total)
+
+
+def _bounded(percent: int):
+    """Of pairs with sizes and points of both: those that the bound allows, and how alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4_096):
+                batch = whole.slice(at, 4_096)
+                n, m = batch["n"].to_numpy(), batch["m"].to_numpy()
+                shared = shared_most(points_of(batch["p"]), points_of(batch["q"]))
+                keep = pa.array((100 + percent) * shared >= percent * (n + m))
+                yield pa.record_batch(
+                    [batch["a"].filter(keep), batch["b"].filter(keep),
+                     pa.array(shared / (n + m), pa.float64()).filter(keep)],
+                    names=["a", "b", "likeness"],
+                )
+
+    return run
+
+
+def _search(percent: int, likeliest: bool = False):
+    """Pairs of different components in each group that the bound allows.
+
+    With ``likeliest`` only the pair of each document that the bound puts first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["task"]):
@@ -377,8 +410,7 @@ def _search(percent: int):
             rep, n = table["rep"].to_numpy(), table["n"].to_numpy()
             component, block = table["component"].to_numpy(), table["block"].to_numpy()
             same = table["same"].to_numpy()
-            flat = table["point"].chunk(0) if table["point"].num_chunks else None
-            points = flat.flatten().to_numpy().reshape(-1, GROUPS)
+            points = points_of(table["point"])
             starts, ends = group_bounds([table["task"].to_numpy()])
             sizes = ends - starts
             left, right = [], []
@@ -391,17 +423,20 @@ def _search(percent: int):
                     break
                 i, j = _open(i, i + apart, component, block, same)
                 keep = allowed(points[i], n[i], points[j], n[j], percent)
-                left.append(rep[i[keep]])
-                right.append(rep[j[keep]])
+                left.append(i[keep])
+                right.append(j[keep])
             for a, b in zip(starts[sizes > LEAF].tolist(), ends[sizes > LEAF].tolist(), strict=True):
                 tree = CountTree(points[a:b], n[a:b])
                 i, j = tree.partners(points[a:b], n[a:b], percent)
                 i, j = i[i < j] + a, j[i < j] + a
                 i, j = _open(i, j, component, block, same)
-                left.append(rep[i])
-                right.append(rep[j])
+                left.append(i)
+                right.append(j)
             if left:
-                x, y = np.concatenate(left), np.concatenate(right)
+                i, j = np.concatenate(left), np.concatenate(right)
+                if likeliest:
+                    i, j = _likeliest(i, j, points, n)
+                x, y = rep[i], rep[j]
                 pairs = np.stack([np.minimum(x, y), np.maximum(x, y)])
                 pairs = pairs[:, np.lexsort(pairs)]
                 keep, _ = group_bounds([pairs[0], pairs[1]])
@@ -413,16 +448,35 @@ def _search(percent: int):
     return run
 
 
+def _likeliest(i: np.ndarray, j: np.ndarray, points: np.ndarray, n: np.ndarray):
+    """For each row one of its pairs: that with the largest bound for its size."""
+    likeness = np.zeros(len(i))
+    for at in range(0, len(i), 1 << 16):
+        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        likeness[at : at + len(x)] = shared_most(points[x], points[y]) / (n[x] + n[y])
+    row = np.concatenate([i, j])
+    pair = np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((pair, -likeness[pair], row))
+    _, first = np.unique(row[order], return_index=True)
+    kept = np.unique(pair[order[first]])
+    return i[kept], j[kept]
+
+
 def _open(i, j, component, block, same):
     keep = (component[i] != component[j]) & (same[i] | (block[i] != block[j]))
     return i[keep], j[keep]
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, salt, text) with the set in the place of the text."""
     shingles = Shingles()
-    for batch in batches:
-        found = [s.tobytes() for s in shingles.of_column(batch.column(1))]
-        yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "set"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1_000):
+            batch = whole.slice(at, 1_000)
+            found = [s.tobytes() for s in shingles.of_column(batch.column(3))]
+            yield pa.record_batch(
+                [*batch.columns[:3], pa.array(found, pa.binary())], names=["a", "b", "salt", "set"]
+            )
 
 
 def _verify(percent: int):
@@ -453,28 +507,91 @@ def _verify(percent: int):
 
 
 def _links(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links by their full sets."""
-    wanted = stored(
-        pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted"
+    """The pairs (a, b) that are links by their full sets.
+
+    Sets are made where the texts are read and shuffled once, to the first
+    document of their pair. One with many pairs is copied, so that a task never
+    holds more than a batch of its partners.
+    """
+    degrees = stored(pairs.groupBy("a").agg(F.count("*").alias("partners")), "degrees")
+    salted = join_counted(pairs, degrees, "a", "partners", pairs.count(), "inner").select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / PARTNERS)).alias("salt")
+    )
+    members = salted.select(F.col("b").alias("doc_id"), "a", "b", "salt")
+    centres = salted.select("a", "salt").distinct().select(
+        F.col("a").alias("doc_id"), "a", F.lit(None).cast("bigint").alias("b"), "salt"
     )
+    wanted = stored(members.unionByName(centres), "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets, "doc_id bigint, set binary")
-    # A row repeated with its id has one set per id: the first of equal ones, see the class ids.
-    sets = stored(sets.dropDuplicates(["doc_id"]), "sets")
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    members = salted.join(sets, F.col("b") == F.col("doc_id")).select("a", "b", "set", "salt")
-    centres = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("doc_id"))
-    centres = centres.select("a", F.lit(None).cast("bigint").alias("b"), "set", "salt")
-    together = centres.unionByName(members).repartition("a", "salt")
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id")
+    sets = texts.select("a", "b", "salt", "text").mapInArrow(
+        _sets, "a bigint, b bigint, salt bigint, set binary"
+    )
     return stored(
-        together.sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        sets.repartition("a", "salt")
+        .sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         .select("a", "b", "set")
         .mapInArrow(_verify(percent), "a bigint, b bigint"),
         "links",
     )
 
 
+def _open_cells(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of the routes that several components share: shingle, rep, component, in_cell."""
+    labelled = stored(
+        cells.join(known, "rep", "left")
+        .select("shingle", "rep", F.coalesce("component", "rep").alias("component")),
+        "labelled",
+    )
+    several = stored(
+        labelled.groupBy("shingle")
+        .agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.count("*").alias("in_cell"),
+        )
+        .filter("low <> high").select("shingle", "in_cell"),
+        "open",
+    )
+    return join_counted(labelled, several, "shingle", "in_cell", labelled.count(), "inner")
+
+
+def _found_in(
+    inside: DataFrame, points: DataFrame, percent: int, likeliest: bool = False
+) -> DataFrame:
+    """Pairs that the tree finds in each route, large routes in pairs of blocks."""
+    blocks = F.ceil(F.col("in_cell") / BLOCK)
+    dealt = inside.withColumn("blocks", blocks).withColumn(
+        "block", F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    ).select(
+        "shingle",
+        "rep",
+        "component",
+        "block",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
+                lambda other: F.struct(
+                    F.least("block", other).alias("a"), F.greatest("block", other).alias("b")
+                ),
+            )
+        ).alias("pair"),
+    ).select(
+        F.xxhash64("shingle", "pair.a", "pair.b").alias("task"),
+        "rep",
+        "component",
+        "block",
+        (F.col("pair.a") == F.col("pair.b")).alias("same"),
+    )
+    return (
+        dealt.join(points, "rep")
+        .select("task", "rep", "component", "block", "same", "n", "point")
+        .repartition("task").sortWithinPartitions("task", "n", "rep")
+        .mapInArrow(_search(percent, likeliest), "a bigint, b bigint")
+        .distinct()
+    )
+
+
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -500,7 +617,7 @@ def jaccard_components(
     profiled = stored(
         rows.mapInArrow(
             _profile,
-            "doc_id bigint, n bigint, high bigint, low bigint, point array<int>, "
+            "doc_id bigint, n bigint, high bigint, low bigint, point binary, "
             "shingle bigint, times bigint",
         ),
         "profiles",
@@ -537,68 +654,56 @@ def jaccard_components(
     met = stored(routed.mapInArrow(_stars(percent), "a bigint, b bigint, shingle bigint"), "met")
 
     pairs = met.filter(F.col("a").isNotNull()).select("a", "b").distinct()
-    pairs = _by_class(pairs, named, points)
-    overlap = F.aggregate(
-        F.zip_with("p", "q", lambda x, y: F.least(x, y)), F.lit(0), lambda sum_, x: sum_ + x
-    )
+    pairs = _by_class(pairs, named, points).select("a", "b", "n", "m", "p", "q")
     pairs = stored(
-        pairs.filter((100 + percent) * overlap >= percent * (F.col("n") + F.col("m")))
-        .select("a", "b"),
-        "pairs",
+        pairs.mapInArrow(_bounded(percent), "a bigint, b bigint, likeness double"), "pairs"
+    )
+    # First each document with its likeliest partner: that joins most groups at little cost.
+    best = F.max(F.struct("likeness", (-F.col("a")).alias("a")))["a"]
+    first = stored(pairs.groupBy("b").agg((-best).alias("a")).select("a", "b"), "first")
+    links = _links(rows, first, percent)
+    known = stored(
+        components(links, "a", "b").select(F.col("node").alias("rep"), "component"), "known"
     )
-    links = _links(rows, pairs, percent)
-    known = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
-    known = stored(known, "known")
 
-    cells = (
+    cells = stored(
         met.filter(F.col("shingle").isNotNull())
         .select("shingle", F.col("b").alias("doc_id"))
-        .join(named, "doc_id").select("shingle", "rep").distinct()
-        .join(known, "rep", "left")
-        .select("shingle", "rep", F.coalesce("component", "rep").alias("component"))
+        .join(named, "doc_id").select("shingle", "rep").distinct(),
+        "cells",
     )
-    cells = stored(cells, "cells")
-    open_cells = stored(
-        cells.groupBy("shingle")
-        .agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.count("*").alias("in_cell"),
-        )
-        .filter("low <> high").select("shingle", "in_cell"),
-        "open",
+    # Then each document with its likeliest partner in two of its open routes.
+    # A group of copies of one text is joined here by way of that text.
+    homes = (
+        _open_cells(cells, known).groupBy("rep", "component")
+        .agg(F.array(F.min("shingle"), F.max("shingle")).alias("homes"))
+        .select("rep", "component", F.explode(F.array_distinct("homes")).alias("shingle"))
     )
-    inside = join_counted(cells, open_cells, "shingle", "in_cell", cells.count(), "inner")
-    blocks = F.ceil(F.col("in_cell") / BLOCK)
-    dealt = inside.withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    ).select(
-        "shingle",
-        "rep",
-        "component",
-        "block",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
-                lambda other: F.struct(
-                    F.least("block", other).alias("a"), F.greatest("block", other).alias("b")
-                ),
-            )
-        ).alias("pair"),
-    ).select(
-        F.xxhash64("shingle", "pair.a", "pair.b").alias("task"),
-        "rep",
-        "component",
-        "block",
-        (F.col("pair.a") == F.col("pair.b")).alias("same"),
+    homes = stored(
+        homes.join(homes.groupBy("shingle").agg(F.count("*").alias("in_cell")), "shingle"), "homes"
     )
-    searched = (
-        dealt.join(points, "rep")
-        .select("task", "rep", "component", "block", "same", "n", "point")
-        .repartition("task").sortWithinPartitions("task", "n", "rep")
-        .mapInArrow(_search(percent), "a bigint, b bigint")
+    likely = _found_in(homes, points, percent, likeliest=True)
+    likely = stored(likely.join(first, ["a", "b"], "left_anti"), "likely")
+    forest = known.filter("rep <> component").select(
+        F.col("rep").alias("a"), F.col("component").alias("b")
+    )
+    forest = forest.unionByName(_links(rows, likely, percent))
+    known = stored(
+        components(forest, "a", "b").select(F.col("node").alias("rep"), "component"), "known"
+    )
+
+    # What is open now is compared in full.
+    searched = _found_in(_open_cells(cells, known), points, percent)
+    open_pairs = (
+        pairs.join(known.select(F.col("rep").alias("a"), F.col("component").alias("of_a")), "a", "left")
+        .join(known.select(F.col("rep").alias("b"), F.col("component").alias("of_b")), "b", "left")
+        .filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+        .select("a", "b")
+    )
+    tried = first.unionByName(likely)
+    more = stored(
+        searched.unionByName(open_pairs).distinct().join(tried, ["a", "b"], "left_anti"), "more"
     )
-    more = stored(searched.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         again = _links(rows, more, percent)
         forest = known.filter("rep <> component").select(
