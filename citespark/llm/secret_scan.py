@@ -1,12 +1,13 @@
 """Secret scan: fixed patterns, and a battery of randomness tests.
 
 Long tokens are read in the smallest alphabet that has all their characters.
-A token passes as random when the uniformity of its symbols (chi-squared), its
-runs above and below the middle and its lag-one correlation do not speak
-against it. Its symbols must also repeat less than those of ordinary words of
-the corpus would at that length. Which of these findings are kept is decided
-for each alphabet and length class by false-discovery control over all tokens
-of the corpus.
+The evidence that a token is random is a likelihood ratio: uniform symbols of
+its alphabet, weighted by the uniformity of its symbols (chi-squared), its runs
+above and below the middle and its lag-one correlation, against a chain with
+the letter pairs of the corpus. An ordinary token reaches a ratio of ``r`` with
+a probability of at most ``1 / r``. Which findings are kept is decided on these
+probabilities for each alphabet and length class, by false-discovery control
+over all tokens of the corpus.
 """
 
 from __future__ import annotations
@@ -54,6 +55,16 @@ LEAST_TOKEN = 16
 LENGTHS = (20, 28, 40, 64, 128)
 #: A token is not random if the battery's probability is below this.
 NOT_RANDOM = 0.01
+#: What the chain of ordinary words tells apart: letters of either case, digits, all else.
+DIGIT, OTHER, FOLDED = 26, 27, 28
+FOLD = np.full(256, OTHER, dtype=np.int64)
+for _at, _pair in enumerate(zip(LOWER, UPPER, strict=True)):
+    FOLD[[ord(c) for c in _pair]] = _at
+FOLD[[ord(c) for c in DIGITS]] = DIGIT
+#: Letters that the share of all letters counts for, after each symbol.
+PRIOR_LETTERS = 32.0
+#: Share of changes between letters, digits and others that the corpus does not explain.
+ANY_CHANGE = 0.1
 #: Share of false findings that the control allows.
 FALSE_SHARE = 0.01
 #: Probabilities are counted in this many bins per factor ten, down to 1e-30.
@@ -107,26 +118,43 @@ def normal_tail(z: np.ndarray) -> np.ndarray:
     return 0.5 * _erfc(z / math.sqrt(2))
 
 
+def pair_odds(pair_counts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """log10 of an ordinary word's probability of each symbol after each, over that of a random one.
+
+    Both are those of tokens in the alphabet of ``codes``. Case is no evidence,
+    and neither is which digit or sign it is; so words in capitals, joined
+    words and paths count as words.
+    """
+    uniform = np.bincount(FOLD[codes], minlength=FOLDED) / len(codes)
+    used = uniform > 0
+    counts = pair_counts.astype(np.float64) * used
+    kinds = np.maximum(np.arange(FOLDED) - DIGIT + 1, 0)
+    change = np.zeros((3, 3))
+    np.add.at(change, (kinds[:, None], kinds[None, :]), counts)
+    there = np.bincount(kinds[used], minlength=3) > 0
+    change = (change + there) / (change + there).sum(axis=1, keepdims=True)
+    change = (1 - ANY_CHANGE) * change + ANY_CHANGE * there / there.sum()
+    ordinary = change[kinds][:, kinds]
+    letters = np.flatnonzero(used[:DIGIT])
+    if len(letters):
+        after = counts[:, letters]
+        share = after.sum(axis=0) + 1
+        after = after + PRIOR_LETTERS * share / share.sum()
+        ordinary[:, letters] *= after / after.sum(axis=1, keepdims=True)
+    return np.log10(np.where(used, ordinary, 1.0) / np.where(used, uniform, 1.0))
+
+
 class Battery:
     """The tests, for many tokens at once."""
 
-    def __init__(self, symbol_counts: np.ndarray):
+    def __init__(self, pair_counts: np.ndarray):
         self.place = np.full((len(ALPHABETS), 256), -1, dtype=np.int64)
         self.size = np.array([len(a) for a in ALPHABETS], dtype=np.float64)
-        self.squares = np.zeros(len(ALPHABETS))
-        self.cubes = np.zeros(len(ALPHABETS))
+        self.odds = np.zeros((len(ALPHABETS), FOLDED, FOLDED))
         for i, alphabet in enumerate(ALPHABETS):
             codes = np.frombuffer(alphabet.encode(), dtype=np.uint8)
             self.place[i, codes] = np.arange(len(codes))
-            # How often the corpus has these symbols; one more of each, as it may have none.
-            seen = symbol_counts.astype(np.float64)
-            if not set(alphabet) & set(LOWER):
-                # Words in capitals have the letters of any word.
-                small = np.frombuffer(LOWER.encode(), dtype=np.uint8)
-                seen[small - 32] += seen[small]
-            share = seen[codes] + 1
-            share /= share.sum()
-            self.squares[i], self.cubes[i] = (share**2).sum(), (share**3).sum()
+            self.odds[i] = pair_odds(pair_counts, codes)
         self.members = self.place >= 0
 
     def alphabets(self, codes, owner, n: int) -> np.ndarray:
@@ -178,13 +206,17 @@ class Battery:
         # All three together.
         each = np.clip(np.stack([uniform, by_runs, by_serial]), 1e-300, 1)
         random = upper_tail(-2 * np.log(each).sum(axis=0), np.full(n, 6.0))
-        # Ordinary words repeat symbols as often as the corpus makes them.
-        p2, p3 = self.squares[kind], self.cubes[kind]
-        usual = m * (m - 1) * p2
-        varies = 4 * m * (m - 1) * (m - 2) * (p3 - p2**2) + 2 * m * (m - 1) * (p2 - p2**2)
-        ordinary = normal_tail((usual - repeats) / np.sqrt(np.maximum(varies, 1e-9)))
+        # Ordinary words have the pairs of the corpus.
+        folded = FOLD[codes]
+        before = np.concatenate([[OTHER], folded[:-1]])
+        before[np.cumsum(length) - length] = OTHER
+        odds = np.bincount(owner, weights=self.odds[kind[owner], before, folded], minlength=n)
+        # Of random tokens the battery's probability is uniform; twice it is a density.
+        passed = random >= NOT_RANDOM
+        odds -= np.log10(2 * np.where(passed, random, 0.5))
+        ordinary = 10.0 ** np.clip(odds, -300, 0)
         stratum = kind * (len(LENGTHS) + 1) + np.searchsorted(LENGTHS, length)
-        return stratum, np.where(random < NOT_RANDOM, 1.0, ordinary)
+        return stratum, np.where(passed, ordinary, 1.0)
 
 
 def probability_bins(p: np.ndarray) -> np.ndarray:
@@ -198,31 +230,33 @@ def bin_top(number: int) -> float:
     return 10.0 ** ((number - DECADES * PER_DECADE) / PER_DECADE)
 
 
-def count_symbols(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often each byte occurs in all texts."""
+def count_pairs(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """How often each folded symbol follows each in all texts; texts begin and end with others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, dtype=np.int64)
+        total = np.zeros(FOLDED**2, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0):
                 if text.is_valid:
+                    folded = FOLD[np.frombuffer(text.as_buffer(), dtype=np.uint8)]
+                    folded = np.concatenate([[OTHER], folded, [OTHER]])
                     total += np.bincount(
-                        np.frombuffer(text.as_buffer(), dtype=np.uint8), minlength=256
+                        folded[:-1] * FOLDED + folded[1:], minlength=FOLDED**2
                     )
         yield pa.record_batch(
-            [pa.array(np.arange(256), pa.int32()), pa.array(total, pa.int64())],
-            names=["symbol", "times"],
+            [pa.array(np.arange(FOLDED**2), pa.int32()), pa.array(total, pa.int64())],
+            names=["pair", "times"],
         )
 
     counted = (
         docs.select(F.col(text_col).alias("text"))
-        .mapInArrow(run, "symbol int, times bigint")
-        .groupBy("symbol").agg(F.sum("times").alias("times"))
+        .mapInArrow(run, "pair int, times bigint")
+        .groupBy("pair").agg(F.sum("times").alias("times"))
     )
-    counts = np.zeros(256, dtype=np.int64)
+    counts = np.zeros(FOLDED**2, dtype=np.int64)
     for row in counted.collect():
-        counts[row["symbol"]] = row["times"]
-    return counts
+        counts[row["pair"]] = row["times"]
+    return counts.reshape(FOLDED, FOLDED)
 
 
 def thresholds(tests: list[tuple[int, int, int]], share: float = FALSE_SHARE) -> dict[int, int]:
@@ -256,17 +290,17 @@ def scan_secrets(
     Kinds are numbers into :data:`KINDS`; positions count code points, ends are
     exclusive. The first three kinds are the fixed patterns; ``random`` are the
     tokens of the battery that lie in none of their spans. Texts are read
-    whole, twice: for the symbol counts and for the scan. A null text is an
+    whole, twice: for the pair counts and for the scan. A null text is an
     empty one. Null and repeated ids are rows like others, an empty table gives
     an empty result, other columns are ignored.
 
-    The driver sees counts per byte, stratum and bin. What is stored of a text
+    The driver sees counts per pair of symbols, and per stratum and bin. What is stored of a text
     are its spans and candidates.
     """
-    symbols = count_symbols(docs, text_col)
+    pairs = count_pairs(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        battery = Battery(symbols)
+        battery = Battery(pairs)
         patterns = base_patterns()
         token = re.compile(TOKEN % LEAST_TOKEN)
         schema = pa.schema(
