@@ -289,7 +289,7 @@ def scan_secrets(
 
     Kinds are numbers into :data:`KINDS`; positions count code points, ends are
     exclusive. The first three kinds are the fixed patterns; ``random`` are the
-    tokens of the battery that lie in none of their spans. Texts are read
+    tokens of the battery that reach beyond each of their spans. Texts are read
     whole, twice: for the pair counts and for the scan. A null text is an
     empty one. Null and repeated ids are rows like others, an empty table gives
     an empty result, other columns are ignored.
@@ -332,8 +332,7 @@ def scan_secrets(
 
     def keep(x):
         inside = F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
-        overlaps = F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return (x["bin"] <= F.try_element_at(last, x["stratum"])) & ~inside & ~overlaps
+        return (x["bin"] <= F.try_element_at(last, x["stratum"])) & ~inside
 
     random = F.transform(
         F.filter("tokens", keep) if kept else F.slice("tokens", 1, 0),

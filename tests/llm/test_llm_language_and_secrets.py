@@ -167,3 +167,17 @@ def test_short_secrets_among_many_words(spark):
     secrets = {t for t, planted in tokens if planted}
     assert len(found & secrets) >= len(secrets) - 1
     assert len(found - secrets) <= 1
+
+
+def test_a_secret_with_a_base_span_inside_is_whole(spark):
+    rows = secret_rows()
+    draw = random.Random(13)
+    around = ["".join(draw.choice(string.ascii_letters) for _ in range(22)) for _ in range(2)]
+    secret = f"{around[0]}G9f86d081884c7d65T{around[1]}"
+    inner = (secret.index("9f86"), secret.index("9f86") + 16)
+    docs = [r[:2] for r in rows] + [(5000, f"of {secret} and"), (5001, f"token={secret}")]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.scan_secrets(docs).collect()}
+    assert found[5000] == [(3, 3, 3 + len(secret)), (3 + inner[0], 2, 3 + inner[1])]
+    # What lies inside a base span is not reported again.
+    assert found[5001] == base(f"token={secret}")
