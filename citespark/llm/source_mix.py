@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from citespark.llm.staging import local_rows, stored
 
@@ -109,14 +112,22 @@ def mix_sources(
     documents, so that neither a shard nor the list of shards of a hot source
     is large.
     """
-    rows = stored(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-        ),
-        "sizes",
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        word_count(F.col(text_col)).alias("size"),
     )
+    return _mixed(rows, weights, repeats, block_words, seed).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
+def _mixed(
+    rows: DataFrame, weights: tuple[float, ...], repeats: int, block_words: int, seed: int
+) -> DataFrame:
+    """``rows`` (doc_id, source, size and others) with source "" and missing for null ones,
+    rank, source_size, target, mix, shard and taken."""
+    rows = stored(rows, "sizes")
     sources = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     found = sources.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -131,7 +142,7 @@ def mix_sources(
         targets, [repeats * b for b in blocks], (sum(sizes) + block_words // 2) // block_words
     )
     plan = local_rows(
-        docs.sparkSession,
+        rows.sparkSession,
         [
             (r["source"], i, *more)
             for i, (r, *more) in enumerate(
@@ -189,9 +200,7 @@ def mix_sources(
         F.col("size") * F.expr("quota div greatest(blocks, 1)")
         + F.when(F.expr("quota % greatest(blocks, 1)") > 0, more).otherwise(0),
     ).otherwise(0)
-    return placed.select(
-        "doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken")
-    )
+    return placed.withColumn("taken", taken.cast("bigint"))
 
 
 def _blocks(words: int, block_words: int) -> int:
@@ -217,22 +226,96 @@ def _shard_quotas(group: pd.DataFrame, repeats: int, block_words: int) -> pd.Dat
     )
 
 
-def mixed_documents(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    repeats: int = MAX_REPEATS,
+    block_words: int = BLOCK_WORDS,
+    seed: int = 11,
+) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them.
 
-    A document appears ``taken / size`` times, the fraction rounded up or down
-    by a seeded draw, so that repeats add up to the quotas.
+    A document appears ``taken / size`` times, the fraction rounded up or down:
+    up when half of it is covered by the words that are taken but not given yet.
+    Documents longer than the mean shard of their source, at most one for each
+    shard, are rounded together, longest first. What they leave is dealt over
+    the shards, which go on from it, longest first again. So the repeats of a
+    source add up to its quota within about one short document a shard. Copies
+    with one id in a source are rounded as one document.
     """
-    mixed = mix_sources(docs, seed=seed, **options).filter("taken > 0")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    times = mixed.groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).alias("share"))
-    times = times.select(
-        F.col("doc_id").alias("mixed_id"), F.floor(F.col("share") + draw).cast("int").alias("times")
-    ).filter("times > 0")
-    repeated = docs.join(times, docs["doc_id"].eqNullSafe(times["mixed_id"]))
-    return repeated.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(
-        *[docs[c] for c in docs.columns]
+    digest = F.xxhash64(F.col(text_col))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        word_count(F.col(text_col)).alias("size"),
+        digest.alias("digest"),
     )
+    alike = (
+        _mixed(rows, weights, repeats, block_words, seed)
+        .filter("taken > 0")
+        .groupBy(
+            "rank", "shard", "shards", "source_size", "mix", "doc_id", "source", "missing", "digest"
+        )
+        .agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+        .withColumn("long", F.expr("size > source_size / shards"))
+    )
+    alike = stored(alike, "alike")
+    long = alike.filter("long").withColumn("shard", F.lit(-1).cast("bigint"))
+    long = stored(_rounded(long.withColumn("start", F.lit(0).cast("bigint"))), "long")
+    left = long.groupBy("rank").agg(F.sum(F.expr("taken - times * size")).alias("left"))
+    short = alike.filter("NOT long").join(left, "rank", "left").fillna(0, ["left"])
+    start = "(left * (shard + 1)) div shards - (left * shard) div shards"
+    short = _rounded(short.withColumn("start", F.expr(start)).drop("left"))
+    names = ["doc_id", "source", "missing", "digest", "times"]
+    times = short.unionByName(long).filter("times > 0")
+    times = stored(times.select(*[F.col(c).alias(f"mixed_{c}") for c in names]), "times")
+    repeated = docs.join(
+        times,
+        docs[id_col].eqNullSafe(times["mixed_doc_id"])
+        & (F.coalesce(docs[source_col], F.lit("")) == times["mixed_source"])
+        & (docs[source_col].isNull() == times["mixed_missing"])
+        & (F.xxhash64(docs[text_col]) == times["mixed_digest"]),
+    )
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), times["mixed_times"]))
+    return repeated.select(*[docs[c] for c in docs.columns], copies.alias("mixed_copy")).drop(
+        "mixed_copy"
+    )
+
+
+def _rounded(alike: DataFrame) -> DataFrame:
+    """``alike`` with ``times``, rounded along each (rank, shard) from ``start`` words on.
+
+    Rows are streamed, so a shard may have any number of them.
+    """
+    alike = alike.repartition("rank", "shard").sortWithinPartitions(
+        "rank", "shard", F.desc("size"), "mix", "doc_id", "digest"
+    )
+    schema = StructType([*alike.schema.fields, StructField("times", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rest = None, 0
+        for batch in batches:
+            times = []
+            columns = (
+                batch.column(batch.schema.get_field_index(c)).to_pylist()
+                for c in ("rank", "shard", "start", "size", "taken")
+            )
+            for rank, shard, start, size, taken in zip(*columns, strict=True):
+                if (rank, shard) != at:
+                    at, rest = (rank, shard), start
+                whole, part = divmod(taken, size)
+                rest += part
+                more = part > 0 and 2 * rest >= size
+                rest -= size * more
+                times.append(whole + more)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(times, pa.int64())], names=schema.names
+            )
+
+    return alike.mapInArrow(run, schema)
 
 
 def sql(

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +53,28 @@ def test_a_query_for_each_operator():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_repeats_of_each_source_meet_its_target(spark):
+    """Few long documents hold most words; ids repeat, and some are null."""
+    draw = random.Random(6)
+    rows = []
+    for n, source in enumerate(["a", "b", "c", "d", None]):
+        for i in range(250):
+            size = draw.choice([3_000, 6_000]) if i % 50 == 0 else draw.randrange(1, 120)
+            doc_id = None if i % 40 == 7 else 1000 * n + i - (i % 30 == 11)
+            rows.append((doc_id, " ".join(["w", f"x{i}"] * size)[: 3 * size], "en", source, 0))
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame(rows, columns).selectExpr("*", "1 AS times").repartition(5)
+    words = source_mix.word_count(F.col("text"))
+    mixed = source_mix.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    given = {r.source: r.words for r in mixed.groupBy("source").agg(F.sum(words).alias("words")).collect()}
+    sizes = {r.source: r.words for r in docs.groupBy("source").agg(F.sum(words).alias("words")).collect()}
+    order = ["a", "b", "c", "d", None]
+    turns = [source_mix.WEIGHTS[i % 3] for i in range(5)]
+    targets = source_mix.water_fill([sizes[s] for s in order], turns)
+    for source, target in zip(order, targets, strict=True):
+        assert given[source] == pytest.approx(target, rel=0.03), source
+    most = mixed.groupBy("doc_id", "source", "text").count().agg(F.max("count")).first()[0]
+    assert most <= source_mix.MAX_REPEATS
