@@ -181,6 +181,7 @@ def _mixed(
         "first_word",
         F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"),
     ).join(cells, ["rank", "shard"], "left")
+    # The prime factor deals out all blocks unless it divides their number.
     # Block j has the words floor(j * words / blocks) up to the next block's first.
     more = F.expr(
         f"""
@@ -189,7 +190,8 @@ def _mixed(
                    ((first_word + greatest(size, 1)) * blocks - 1) div greatest(shard_words, 1)),
           0L,
           (sum, j) -> sum + if(
-            pmod(j * {FACTOR} + {seed} + shard, greatest(blocks, 1)) < quota % greatest(blocks, 1),
+            pmod(j * ({FACTOR} + if(blocks % {FACTOR} = 0, 1, 0)) + {seed} + shard,
+                 greatest(blocks, 1)) < quota % greatest(blocks, 1),
             least(first_word + size, ((j + 1) * shard_words) div greatest(blocks, 1))
               - greatest(first_word, (j * shard_words) div greatest(blocks, 1)),
             0L))

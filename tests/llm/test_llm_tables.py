@@ -201,3 +201,14 @@ def test_components_of_a_chain_and_a_star(spark):
     found = staging.components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b")
     wanted = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(60)}
     assert {r.node: r.component for r in found.collect()} == wanted
+
+
+def test_a_shard_of_as_many_blocks_as_the_factor_meets_its_quota(spark):
+    """Blocks of one word: the first source has one shard of 48,271 blocks."""
+    rows = [(1, source_mix.FACTOR, "a"), (2, 10 * source_mix.FACTOR, "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, n int, source string")
+    docs = docs.selectExpr("doc_id", "repeat('w ', n) AS text", "source")
+    # Of 11 parts, "a" is to have 11 / 7.5.
+    found = {r.doc_id: r for r in source_mix.mix_sources(docs, weights=(1.0, 6.5), block_words=1).collect()}
+    assert abs(found[1].taken - found[1].target) <= 1
+    assert abs(found[2].taken - found[2].target) <= 1
