@@ -21,10 +21,13 @@ stored key.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import string
 import struct
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,12 @@ TOGETHER = 64
 NULL_KEY = (0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D)
 MAX_SHARDS = 1 << 22
 PUNCTUATION = string.punctuation
+#: Words whose letter classes are the same in all libraries.
+LATIN = re.compile("[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Fixed value: the word pattern of the byte-level pre-tokenizer.
+PIECES = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
 
 
 def mix(values: np.ndarray, seed: int) -> np.ndarray:
@@ -194,12 +203,47 @@ class Shard:
         return start, self.ids[start : int(self.ends[number])]
 
 
+def rank_merger(path: str) -> object | None:
+    """A faster merger with the ranks of a tokenizer file, or none if they don't fit it.
+
+    It takes a vocabulary numbered in the order of the merges, which are then
+    ranks, and the byte-level alphabet without settings of its own.
+    """
+    import tiktoken
+    from tokenizers import pre_tokenizers
+
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    model = parts["model"]
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    names = sorted(model["vocab"], key=model["vocab"].get)
+    letters = len(pre_tokenizers.ByteLevel.alphabet())
+    if (
+        parts["normalizer"] is not None
+        or not plain.items() <= (parts["pre_tokenizer"] or {}).items()
+        or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges"))
+        or model.get("end_of_word_suffix")
+        or [a + b for a, b in pairs] != names[letters : letters + len(pairs)]
+        or [model["vocab"][n] for n in names] != list(range(len(names)))
+    ):
+        return None
+    # The alphabet: printable Latin-1 bytes stand for themselves, others follow in order.
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    ranks = {bytes(byte[c] for c in n): r for r, n in enumerate(names[: letters + len(pairs)])}
+    return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+
 class LibraryEncoder:
     """Texts through a tokenizer file, each piece between single spaces once while cached.
 
     A byte-level pre-tokenizer starts a new word at a space between two other
     characters, so the pieces can be encoded apart. A text with other white
-    space next to a space is encoded whole.
+    space next to a space is encoded whole. Words of basic and extended Latin
+    letters and digits go to :func:`rank_merger`, which gives the same ids in a
+    quarter of the time; everything else goes to the tokenizer library.
     """
 
     def __init__(self, path: str, cached: int = CACHED_PIECES):
@@ -209,6 +253,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merger = rank_merger(path)
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(1 + max(vocabulary.values()), dtype=bool)
@@ -239,12 +284,17 @@ class LibraryEncoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_words(self, words: list[str], latin: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, each with a space before it, end to end, and the number of ids of each."""
-        joined = [
-            f" {' '.join(words[at : at + TOGETHER])}" for at in range(0, len(words), TOGETHER)
-        ]
-        flat = self._flat(self._library(joined))
+        if not words:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if self.merger is not None and latin:
+            flat = np.array(self.merger.encode_ordinary(f" {' '.join(words)}"), dtype=np.int64)
+        else:
+            joined = [
+                f" {' '.join(words[at : at + TOGETHER])}" for at in range(0, len(words), TOGETHER)
+            ]
+            flat = self._flat(self._library(joined))
         # Only the first token of a word starts with its space.
         first = np.flatnonzero(self.spaced[flat])
         if len(first) == len(words):
@@ -259,30 +309,37 @@ class LibraryEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Pieces in front of a text have a space before them here and none there."""
-        words: dict[str, int] = {}
+        bare = [piece.rstrip(PUNCTUATION) for piece in pieces]
+        # Marks behind letters and digits are words of their own.
+        plain = [
+            word.isalnum() and (len(word) == len(piece) or "<|" not in piece)
+            for word, piece in zip(bare, pieces, strict=True)
+        ]
+        distinct = {w for w, p in zip(bare, plain, strict=True) if p}
+        latin = list(filter(LATIN.fullmatch, distinct))
+        foreign = list(distinct.difference(latin))
+        words = {w: i for i, w in enumerate(latin + foreign)}
         others: dict[str, int] = {}
         parts, sizes, mixed = [], [], []
-        word_number, other_number = words.setdefault, others.setdefault
-        for i, piece in enumerate(pieces):
-            if piece.isalnum():
-                parts.append(word_number(piece, len(words)))
+        other_number = others.setdefault
+        for i, (piece, word, is_plain) in enumerate(zip(pieces, bare, plain, strict=True)):
+            if not is_plain:
+                mixed.append(i)
+                whole = piece[1:] if piece[:1] == " " else f" {piece}"
+                parts.append(-1 - other_number(whole or " ", len(others)))
                 sizes.append(1)
-                continue
-            word = piece.rstrip(PUNCTUATION)
-            if word.isalnum() and "<|" not in piece:
-                # Marks behind letters and digits are words of their own.
-                parts.append(word_number(word, len(words)))
+            elif len(word) == len(piece):
+                parts.append(words[word])
+                sizes.append(1)
+            else:
+                parts.append(words[word])
                 parts.append(-1 - other_number(piece[len(word) :], len(others)))
                 sizes.append(2)
-                continue
-            mixed.append(i)
-            whole = piece[1:] if piece[:1] == " " else f" {piece}"
-            parts.append(-1 - other_number(whole or " ", len(others)))
-            sizes.append(1)
-        flat, count = self._encode_words(list(words))
         found = self._library(list(others))
-        flat = np.append(flat, self._flat(found))
-        count = np.append(count, np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        last = self._flat(found), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        encoded = [self._encode_words(latin, True), self._encode_words(foreign, False), last]
+        flat = np.concatenate([ids for ids, _ in encoded])
+        count = np.concatenate([n for _, n in encoded])
         first = np.cumsum(count) - count
         at = np.array(parts, dtype=np.int64)
         at = np.where(at < 0, len(words) - 1 - at, at)
@@ -300,29 +357,52 @@ class LibraryEncoder:
         self.uses = np.append(self.uses, np.zeros(len(counts), dtype=np.int64))
         self.number.update(zip(pieces, range(len(self.number), len(self.count)), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = []
-        for text in texts:
-            pieces = text.split(" ") if text else []
-            if pieces:
-                pieces[0] = f" {pieces[0]}"
-            split.append(pieces)
-        missing = set().union(*split).difference(self.number)
-        if missing and len(self.number) + len(missing) > self.cached:
-            self._forget()
-            missing = set().union(*split).difference(self.number)
-        if missing:
-            self._learn(list(missing))
-        number = self.number.__getitem__
-        found = []
-        for text, pieces in zip(texts, split, strict=True):
-            at = np.fromiter(map(number, pieces), dtype=np.int64, count=len(pieces))
-            self.uses[at] += 1
-            if (self.count[at] < 0).any():
-                found.append(np.array(self._library([text])[0], dtype=np.int64))
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the number of ids of each."""
+        pieces: list[str] = []
+        ends = np.zeros(len(texts), dtype=np.int64)
+        for i, text in enumerate(texts):
+            if text:
+                here = text.split(" ")
+                here[0] = f" {here[0]}"
+                pieces += here
+            ends[i] = len(pieces)
+        def look_up(wanted: list[str]) -> np.ndarray:
+            found = map(self.number.get, wanted, repeat(-1))
+            return np.fromiter(found, dtype=np.int64, count=len(wanted))
+
+        at = look_up(pieces)
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            missing = {pieces[i] for i in unknown}
+            if len(self.number) + len(missing) > self.cached:
+                self._forget()
+                self._learn(list(set(pieces).difference(self.number)))
+                at = look_up(pieces)
             else:
-                found.append(self.tokens[spread(self.first[at], self.count[at])])
-        return found
+                self._learn(list(missing))
+                at[unknown] = look_up([pieces[i] for i in unknown])
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        count = self.count[at]
+        tokens = self.tokens[spread(self.first[at], np.maximum(count, 0))]
+        held = np.concatenate([[0], np.cumsum(np.maximum(count, 0))])
+        starts = np.append(0, ends[:-1])
+        sizes = held[ends] - held[starts]
+        unsafe = np.concatenate([[0], np.cumsum(count < 0)])
+        whole = np.flatnonzero(unsafe[ends] > unsafe[starts])
+        if len(whole):
+            # Texts with other white space next to a space.
+            parts = np.split(tokens, held[ends[:-1]])
+            for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+                parts[i] = np.array(ids, dtype=np.int32)
+                sizes[i] = len(ids)
+            tokens = np.concatenate(parts)
+        return tokens, sizes
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        tokens, sizes = self.encode_flat(texts)
+        return np.split(tokens, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 def write_token_shards(
