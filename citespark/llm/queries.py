@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from citespark.llm import (
     bpe,
+    conversation_repair,
     embedding_dedup,
     exact_dedup,
+    importance,
     language_id,
     ngram_join,
+    packing,
     secret_scan,
     sharding,
     source_mix,
@@ -91,6 +94,37 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after damage."""
+    turns = _table(spark, sf_dir, "conversations")
+    pieces = conversation_repair.repair_conversations(conversation_repair.damage(turns))
+    found = conversation_repair.with_digests(pieces).withColumnRenamed("conv_id", "found_id")
+    ids = turns.select("conv_id").distinct()
+    # Ids are unique on both sides.
+    every = ids.join(found, ids["conv_id"].eqNullSafe(found["found_id"]), "left")
+    zeros = {name: 0 for name in found.columns[1:-2]}
+    return every.drop("found_id").fillna({**zeros, "audit": ""}).withColumn(
+        "repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))
+    )
+
+
+def op12_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document towards the benchmark, and rank of those drawn."""
+    return importance.importance_sample(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    ).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 2,048 ids along a Hilbert curve."""
+    docs = _table(spark, sf_dir, "documents")
+    pieces = packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over the documents."""
     import corpus_pipeline
@@ -109,6 +143,9 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op8_url_filter,
     op9_ngram_join,
     op10_embedding_dedup,
+    op11_conversation_repair,
+    op12_importance_sample,
+    op13_curve_packing,
 ]
 
 
@@ -123,4 +160,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_source_mix": source_mix.sql(),
         "op8_url_filter": url_filter.sql(),
         "op9_ngram_join": ngram_join.SQL,
+        "op11_conversation_repair": conversation_repair.sql(),
+        "op12_importance_sample": importance.sql(),
     }
