@@ -230,10 +230,10 @@ def pack_documents(
     if length < 1:
         raise ValueError("length must be positive")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    encoded = stored(_encoded(rows, tokenizer, end_id), "encoded")
+    encoded = stored(_encoded(rows, tokenizer, end_id), "encoded", "zstd")
     sums = encoded.agg(F.sum("n_tokens"), F.sum(F.octet_length("ids"))).first()
     total, total_bytes = sums[0] or 0, sums[1] or 0
-    laid = stored(_laid_out(_with_keys(encoded), total_bytes), "laid-out")
+    laid = stored(_laid_out(_with_keys(encoded), total_bytes), "laid-out", "zstd")
     # One row per range of RANGE_BYTES.
     before = F.sum("ids_in").over(
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
