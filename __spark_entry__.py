@@ -27,6 +27,7 @@ from citespark.functions.citations import (  # noqa: E402
 )
 from citespark.functions.vectors import l2_normalize  # noqa: E402
 from citespark.operators import ann, answers, calibrate, corpus, evaluate  # noqa: E402
+from citespark.operators import lsh, quantized  # noqa: E402
 from citespark.operators import project as projection  # noqa: E402
 from citespark.operators import sampling, search  # noqa: E402
 from citespark.operators.checks import vector_report  # noqa: E402
@@ -226,6 +227,48 @@ def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _quantized(spark: SparkSession, sf_dir: str) -> quantized.QuantizedIndex:
+    """An index written, and opened again from nothing but its folder."""
+    path = f"{_new_folder(spark)}/quantized"
+    documents = _vectors(spark, sf_dir)
+    quantized.write_index(documents, path)
+    return quantized.open_index(spark, path, rows=documents.count(), dimension=VECTOR_DIM)
+
+
+def quantized_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product-quantised search, probes chosen for a recall of 0.95."""
+    index = _quantized(spark, sf_dir)
+    return _ranking(quantized.quantized_topk(_vector_queries(spark, sf_dir), index, 10))
+
+
+def quantized_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells, and every document on the shortlist: the exact result."""
+    index = _quantized(spark, sf_dir)
+    queries = _vector_queries(spark, sf_dir)
+    every = -(-index.about["rows"] // 10)
+    return _ranking(quantized.quantized_topk(queries, index, 10, index.model.cells, every))
+
+
+def lsh_tables_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign codes in several tables, sized for a recall of 0.95."""
+    documents = _vectors(spark, sf_dir)
+    plan, _ = lsh.fit_tables(documents, VECTOR_DIM)
+    return _ranking(lsh.lsh_tables_topk(_vector_queries(spark, sf_dir), documents, plan, 10))
+
+
+def lsh_tables_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All buckets of two tables: the exact result."""
+    plan = lsh.sign_tables(2, 4, VECTOR_DIM, probes=32)
+    queries, documents = _vector_queries(spark, sf_dir), _vectors(spark, sf_dir)
+    return _ranking(lsh.lsh_tables_topk(queries, documents, plan, 10))
+
+
+def lsh_rows_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each query's probed buckets hold; all buckets of two tables hold all, twice."""
+    plan = lsh.sign_tables(2, 4, VECTOR_DIM, probes=32)
+    return lsh.rows_read(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir), plan)
+
+
 # --- corpus ---------------------------------------------------------------
 
 
@@ -881,6 +924,11 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     ivf_kmeans_all_cells,
     ivf_stored_index,
     lsh_topk,
+    quantized_topk,
+    quantized_topk_all,
+    lsh_tables_topk,
+    lsh_tables_all,
+    lsh_rows_read,
     best_answer,
     best_line_per_order,
     build_corpus,

@@ -397,6 +397,10 @@ def _search_sql() -> dict[str, str]:
         "ivf_stored_index": probed(PROBES),
         "ivf_kmeans_all_cells": exact,
         "lsh_topk": lsh,
+        "quantized_topk_all": exact,
+        "lsh_tables_all": exact,
+        "lsh_rows_read": """SELECT vec_id AS query_id, 32 AS buckets,
+            2 * count(*) OVER () AS rows_read FROM embeddings""",
     }
 
 
