@@ -27,7 +27,7 @@ from citespark.functions.citations import (  # noqa: E402
 )
 from citespark.functions.vectors import l2_normalize  # noqa: E402
 from citespark.operators import ann, answers, calibrate, corpus, evaluate  # noqa: E402
-from citespark.operators import lsh, quantized  # noqa: E402
+from citespark.operators import lsh, pruned, quantized  # noqa: E402
 from citespark.operators import project as projection  # noqa: E402
 from citespark.operators import sampling, search  # noqa: E402
 from citespark.operators.checks import vector_report  # noqa: E402
@@ -43,7 +43,7 @@ from citespark.operators.stable import cut_lineage, shared_folder  # noqa: E402
 from citespark.plans import answering, compare, known_item  # noqa: E402
 from citespark.plans.encode_table import encode_pending  # noqa: E402
 from citespark.plans.make_corpus import corpus_from_csv  # noqa: E402
-from citespark.sources import matrix, raw_csv, tables  # noqa: E402
+from citespark.sources import matrix, ranged, raw_csv, split_csv, tables  # noqa: E402
 from citespark.streaming.encode_stream import encode_new_files  # noqa: E402
 
 try:
@@ -227,6 +227,15 @@ def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact search that skips blocks by the triangle inequality."""
+    documents = _vectors(spark, sf_dir)
+    pivots = ann.sampled_pivots(documents, CELLS)
+    index = cut_lineage(ann.assign_cells(documents, pivots))
+    found, _ = pruned.pruned_topk(_vector_queries(spark, sf_dir), index, pivots, 10)
+    return _ranking(found)
+
+
 def _quantized(spark: SparkSession, sf_dir: str) -> quantized.QuantizedIndex:
     """An index written, and opened again from nothing but its folder."""
     path = f"{_new_folder(spark)}/quantized"
@@ -711,6 +720,24 @@ def fetch_ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fetch_from_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same look-up in a corpus stored in ranges of ids: other ranges are not read."""
+    rows = cut_lineage(_corpus(spark, sf_dir))
+    questions = _questions(spark, sf_dir, rows)
+    nearest = answering.nearest_documents(questions, rows, make_encoder, TEXT_DIM)
+    stored = ranged.write_ranged(rows, f"{_new_folder(spark)}/ranged", rows_per_range=100)
+    return answering.with_texts(nearest, questions, stored).select(
+        "query_id",
+        F.col("rank").cast("bigint").alias("rank"),
+        "doc_id",
+        "vector_similarity",
+        "title",
+        "question_body",
+        "answer",
+        "url",
+    )
+
+
 def score_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_pairs(_candidates(spark, sf_dir)).select(
         "query_id", "doc_id", F.round("reranker_score", 6).alias("reranker_score")
@@ -885,6 +912,16 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_csv.read_text_csv(spark, path, raw_csv.ANSWER_FIELDS)
 
 
+def csv_split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files by byte ranges, so that one large file is read by many tasks."""
+    path = f"{_new_folder(spark)}/answers"
+    rows = _raw_answers(spark, sf_dir)
+    _write_csv(rows, path)
+    broken = rows.select(F.concat_ws(",", "Id", "ParentId").alias("value"))
+    broken.write.mode("append").text(path)
+    return split_csv.read_split_csv(spark, path, raw_csv.ANSWER_FIELDS, range_bytes=1 << 20)
+
+
 def corpus_csv_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From raw CSV files to a written corpus, read back."""
     folder = _new_folder(spark)
@@ -924,6 +961,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     ivf_kmeans_all_cells,
     ivf_stored_index,
     lsh_topk,
+    pruned_topk,
     quantized_topk,
     quantized_topk_all,
     lsh_tables_topk,
@@ -967,6 +1005,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     calibrate_threshold,
     all_thresholds,
     fetch_ranked_documents,
+    fetch_from_ranges,
     score_candidate_pairs,
     retrieve_rerank,
     rerank_candidates,
@@ -980,6 +1019,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     answer_generated,
     answer_summary,
     csv_scan,
+    csv_split_scan,
     corpus_csv_build,
     f32_matrix_scan,
     run_json,

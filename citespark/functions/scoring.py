@@ -13,8 +13,12 @@ ANSWER_SCORE_WEIGHT = 0.03
 
 def shared_word_score(query: Column, document: Column) -> Column:
     """Share of the query's distinct words found in the document, 0 to 1."""
-    query_words = word_set(query)
-    shared = F.size(F.array_intersect(query_words, word_set(document)))
+    return shared_share(word_set(query), word_set(document))
+
+
+def shared_share(query_words: Column, document_words: Column) -> Column:
+    """Share of the first word set that the second one holds."""
+    shared = F.size(F.array_intersect(query_words, document_words))
     return F.when(
         F.size(query_words) > 0, shared.cast("double") / F.size(query_words)
     ).otherwise(F.lit(0.0))

@@ -9,10 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citespark.functions.scoring import ANSWER_SCORE_WEIGHT, final_score, shared_word_score
-from citespark.functions.text import clean_text
+from citespark.functions.scoring import (
+    ANSWER_SCORE_WEIGHT,
+    final_score,
+    shared_share,
+    shared_word_score,
+)
+from citespark.functions.text import clean_text, word_set
 from citespark.operators.joins import ROWS_PER_COPY, join_to_unique, rows_per_key
 from citespark.operators.stable import require_columns, run_once
+from citespark.sources.ranged import RangedTable
 
 # Candidates retrieved per query and sources kept.
 CANDIDATES = 40
@@ -26,14 +32,21 @@ PairScorer = Callable[[list[tuple[str, str]]], np.ndarray]
 
 
 def fetch_documents(
-    results: DataFrame, corpus: DataFrame, rows_per_copy: int = ROWS_PER_COPY
+    results: DataFrame,
+    corpus: DataFrame | RangedTable,
+    rows_per_copy: int = ROWS_PER_COPY,
+    with_words: bool = False,
 ) -> DataFrame:
     """Join ranked ids to their documents and clean the texts.
 
     The corpus is first cut down to the documents asked for, so each text is
     cleaned once however often it was retrieved. Up to BROADCAST_IDS distinct
-    ids, found by counting, that filter needs no shuffle of the corpus. Pass
-    ``results`` as a stored table, since it is read for the ids as well.
+    ids, found by counting, that filter needs no shuffle of the corpus. A corpus
+    stored in ranges of ids is read only where the ids lie. Pass ``results`` as
+    a stored table, since it is read for the ids as well.
+
+    ``with_words`` adds ``_document_words``, the distinct words that pairs are
+    scored by, found once per document and not once per pair.
 
     An id that the corpus lacks fails the job. A document that very many
     queries retrieved is copied, so that its rows spread over many tasks.
@@ -41,14 +54,21 @@ def fetch_documents(
     require_columns(corpus, ["doc_id", "title", "question_body", "answer"], "the corpus")
     counts = rows_per_key(results, "doc_id")
     asked = counts.select("doc_id")
-    if asked.count() <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
-    known = corpus.join(asked, "doc_id", "left_semi").withColumns(
+    if isinstance(corpus, RangedTable):
+        found = corpus.look_up(asked, BROADCAST_IDS)
+    else:
+        if asked.count() <= BROADCAST_IDS:
+            asked = F.broadcast(asked)
+        found = corpus.join(asked, "doc_id", "left_semi")
+    known = found.withColumns(
         {
             **{t: clean_text(F.col(t)) for t in ("title", "question_body", "answer")},
             "_known": F.lit(True),
         }
     )
+    if with_words:
+        document = pair_document(F.col("title"), F.col("question_body"))
+        known = known.withColumn("_document_words", word_set(document))
     checked = F.when(F.col("_known"), F.col("doc_id")).otherwise(
         F.raise_error(F.concat(F.lit("no document with id "), F.col("doc_id").cast("string")))
     )
@@ -93,14 +113,19 @@ def score_pairs(
     make_scorer: Callable[[], PairScorer] | None = None,
     batch_size: int = 32,
 ) -> DataFrame:
-    """Add ``reranker_score``: the model's, or the share of shared words."""
+    """Add ``reranker_score``: the model's, or the share of shared words.
+
+    Word sets that came with the documents are used and dropped.
+    """
     require_columns(candidates, ["query", "title", "question_body"], "the candidate table")
     document = pair_document(F.col("title"), F.col("question_body"))
-    if make_scorer is None:
-        score = shared_word_score(F.col("query"), document)
-    else:
+    if make_scorer is not None:
         score = model_score(F.col("query"), document, make_scorer, batch_size)
-    return candidates.withColumn("reranker_score", score)
+    elif "_document_words" in candidates.columns:
+        score = shared_share(word_set(F.col("query")), F.col("_document_words"))
+    else:
+        score = shared_word_score(F.col("query"), document)
+    return candidates.withColumn("reranker_score", score).drop("_document_words")
 
 
 def score_candidates(

@@ -71,7 +71,7 @@ def with_texts(nearest: DataFrame, questions: DataFrame, corpus: DataFrame) -> D
     not shuffled again.
     """
     asked = nearest.join(questions.select("query_id", "query"), "query_id")
-    return fetch_documents(cut_lineage(asked), corpus)
+    return fetch_documents(cut_lineage(asked), corpus, with_words=True)
 
 
 def retrieve_and_rerank(

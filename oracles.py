@@ -397,6 +397,7 @@ def _search_sql() -> dict[str, str]:
         "ivf_stored_index": probed(PROBES),
         "ivf_kmeans_all_cells": exact,
         "lsh_topk": lsh,
+        "pruned_topk": exact,
         "quantized_topk_all": exact,
         "lsh_tables_all": exact,
         "lsh_rows_read": """SELECT vec_id AS query_id, 32 AS buckets,
@@ -455,6 +456,10 @@ def _corpus_sql() -> dict[str, str]:
             conv_id::VARCHAR AS "ParentId", (length(text) % 7)::VARCHAR AS "Score",
             '<p>' || replace(text, chr(10), '</p>' || chr(10) || '<p>') || '</p>' AS "Body"
             FROM conversations WHERE role = 'assistant'""",
+        "csv_split_scan": """SELECT (conv_id * 1000 + turn)::VARCHAR AS "Id",
+            conv_id::VARCHAR AS "ParentId", (length(text) % 7)::VARCHAR AS "Score",
+            '<p>' || replace(text, chr(10), '</p>' || chr(10) || '<p>') || '</p>' AS "Body"
+            FROM conversations WHERE role = 'assistant'""",
     }
 
 
@@ -642,6 +647,9 @@ def _answer_sql() -> dict[str, str]:
         "fetch_ranked_documents": f"""WITH {CANDIDATES} SELECT query_id, rank, doc_id,
             vector_similarity, title, question_body, answer, url
             FROM candidates""",
+        "fetch_from_ranges": f"""WITH {CANDIDATES} SELECT query_id, rank, doc_id,
+            vector_similarity, title, question_body, answer, url
+            FROM candidates""",
         "score_candidate_pairs": f"""WITH {CANDIDATES} SELECT query_id, doc_id,
             round(reranker_score, 6) AS reranker_score FROM scored""",
         "retrieve_rerank": f"""WITH {SOURCED} SELECT query_id, source_rank, doc_id,
