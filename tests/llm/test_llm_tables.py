@@ -192,6 +192,108 @@ def test_a_template_of_blocked_pages_is_rejected(spark):
     assert all(found[1000 + i].verdict == "allow" for i in range(60))
 
 
+def slow_purity(urls, rules, table):
+    """Purity of every url, walking down one host's tree at a time in plain Python."""
+    import re
+    from collections import defaultdict
+
+    def label(host, path):
+        fits = [
+            (len(h + p), verdict) for h, p, verdict in rules
+            if (host == h or host.endswith(f".{h}")) and path.startswith(p)
+        ]
+        return max(fits)[1] if fits else None
+
+    pages = []
+    for url in urls:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        pages.append((host, [x for x in path.split("/") if x], label(host, path), url))
+    labels = [x for _, _, x, _ in pages if x]
+    found = {}
+
+    def grow(node, level, above):
+        labelled = [x for _, _, x, _ in node if x]
+        here = (labelled.count("block") + 4.0 * above) / (len(labelled) + 4.0)
+        branches = defaultdict(list)
+        for page in node:
+            if 0 < len(labelled) < len(node) and len(page[1]) > level:
+                branches[re.sub("[0-9]+", "{n}", page[1][level])].append(page)
+            else:
+                found[page[3]] = here
+        inner = [x for b in branches.values() for _, _, x, _ in b if x]
+        rate = (inner.count("block") + 1.0) / (len(inner) + 2.0)
+        n_pages = sum(map(len, branches.values()))
+        kinds = defaultdict(list)
+        for name, branch in branches.items():
+            own = [x for _, _, x, _ in branch if x]
+            usual = len(own) * rate
+            off = own.count("block") - usual
+            if len(branches) > url_filter.MANY and len(branches) > n_pages * url_filter.PER_PAGE:
+                kind = "*"
+            elif not own:
+                kind = "unlabelled"
+            elif off * off <= url_filter.DIFFERS * usual * (1 - rate):
+                kind = "usual"
+            else:
+                kind = "blocked" if off > 0 else "allowed"
+            kinds[kind] += branch
+        for branch in kinds.values():
+            grow(branch, level + 1, here)
+
+    hosts = defaultdict(list)
+    for page in pages:
+        hosts[page[0]].append(page)
+    for node in hosts.values():
+        grow(node, 0, (labels.count("block") + 1.0) / (len(labels) + 2.0))
+    return found
+
+
+def test_purity_equals_a_walk_in_python(spark):
+    import random
+
+    draw = random.Random(8)
+    urls, rules = set(), [("b.org", "/s1/", "block"), ("b.org", "/s2/t1/", "allow")]
+    rules += [("d.org", f"/x{i}y/", draw.choice(["allow", "block"])) for i in range(30)]
+    for _ in range(600):
+        host = draw.choice(["a.org", "b.org", "www.b.org", "c.net", "d.org"])
+        first = f"x{draw.randrange(60)}y" if host == "d.org" else f"s{draw.randrange(4)}"
+        deep = [f"t{draw.choice('abc')}{draw.randrange(3)}" for _ in range(draw.randrange(9))]
+        urls.add(f"http://{host}/" + "/".join([first, *deep]) + draw.choice(["", "/", "?q=1"]))
+    rules += [("b.org", "/s3/ta1/tb", "block")]
+    rows = list(enumerate(sorted(urls)))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    found = url_filter.filter_urls(pages, rules=tuple(rules)).collect()
+    want = slow_purity(sorted(urls), rules, rows)
+    assert len(found) == len(rows)
+    assert {r.page_id: round(r.purity, 9) for r in found} == {
+        i: round(want[u], 9) for i, u in rows
+    }
+
+
+def test_the_contract_rules_tell_unruled_pages_apart(spark):
+    """Pages without a rule take the purity of their host where that has ruled pages."""
+    urls = [f"http://n.net/es/{i}" for i in range(30)] + [f"http://n.net/en/{i}" for i in range(5)]
+    urls += [f"http://c.com/{i}" for i in range(20)] + ["http://o.org/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    found = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    assert all(found[30 + i].rule is None and found[30 + i].verdict == "block" for i in range(5))
+    assert found[55].verdict == "allow" and found[55].purity < found[30].purity
+
+
+def test_paths_differ_beyond_six_segments(spark):
+    deep = "/a/b/c/d/e/f/g"
+    urls = [f"http://h.org{deep}/bad/{i}" for i in range(40)]
+    urls += [f"http://h.org{deep}/good/{i}" for i in range(40)]
+    rules = [("h.org", f"{deep}/bad/{i}", "block") for i in range(10, 40)]
+    rules += [("h.org", f"{deep}/good/{i}", "allow") for i in range(10, 40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    found = {r.page_id: r for r in url_filter.filter_urls(pages, rules=tuple(rules)).collect()}
+    assert all(found[i].verdict == "block" and found[i].rule is None for i in range(1))
+    assert all(found[40 + i].verdict == "allow" and found[40 + i].rule is None for i in range(1))
+
+
 def test_no_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
 
