@@ -7,12 +7,15 @@ laid end to end in that order, are cut every ``length`` ids. What remains at
 the end is cut into sequences whose lengths are powers of two, so no sequence
 needs padding.
 
-Ids travel once, in the range sort. Only one row per range reaches the driver's
-plan: the number of ids in the ranges before it.
+Only narrow rows (key, id, number of ids) are range-sorted. Their running sum
+tells where the ids of a document begin, and so where to divide the order into
+ranges of equal numbers of ids. The ids themselves travel once, to their range.
+One row per range reaches the driver: its first document and its first place.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +34,10 @@ DIMENSIONS = 4
 BITS = 15
 #: Coordinates further from the mean than this many deviations share the last cell.
 REACH = 3.0
-ROWS_AT_ONCE = 256
-#: Bytes of ids in a range of the sort.
-RANGE_BYTES = 32 << 20
+ROWS_AT_ONCE = 1_024
+#: Ids in a range, and documents in a range of the narrow sort.
+RANGE_TOKENS = 16 << 20
+SORT_ROWS = 1_000_000
 PIECE = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, " \
     "sequence_id bigint, offset bigint"
 
@@ -50,7 +54,8 @@ def coordinates(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     don't drown the others.
     """
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    bucket = (mix(tokens, 5) % np.uint64(BUCKETS)).astype(np.int64)
+    known = np.arange(1 + (int(tokens.max()) if len(tokens) else 0))
+    bucket = (mix(known, 5) % np.uint64(BUCKETS)).astype(np.int64)[tokens]
     counts = np.bincount(owner * BUCKETS + bucket, minlength=len(sizes) * BUCKETS)
     shares = counts.reshape(len(sizes), BUCKETS) / np.maximum(sizes, 1)[:, None]
     return np.sqrt(shares) @ projection()
@@ -84,11 +89,15 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _encoded(rows: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, point, n_tokens, ids (in the width of the vocabulary, with the end id)."""
+    """doc_id, uid, point, n_tokens, ids (in the width of the vocabulary, with the end id).
+
+    ``uid`` numbers the rows, the same for every attempt of a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(("LibraryEncoder", tokenizer), lambda: LibraryEncoder(tokenizer))
         kind = f"<u{encoder.width}"
+        uid = TaskContext.get().partitionId() << 33
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
@@ -108,16 +117,20 @@ def _encoded(rows: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 yield pa.record_batch(
                     [
                         batch.column(0),
+                        pa.array(np.arange(uid, uid + len(sizes))),
                         pa.FixedSizeListArray.from_arrays(
                             pa.array(points.ravel()), DIMENSIONS
                         ).cast(pa.list_(pa.float64())),
                         pa.array(sizes + 1),
                         ids.cast(pa.binary()),
                     ],
-                    names=["doc_id", "point", "n_tokens", "ids"],
+                    names=["doc_id", "uid", "point", "n_tokens", "ids"],
                 )
+                uid += len(sizes)
 
-    return rows.mapInArrow(run, "doc_id bigint, point array<double>, n_tokens bigint, ids binary")
+    return rows.mapInArrow(
+        run, "doc_id bigint, uid bigint, point array<double>, n_tokens bigint, ids binary"
+    )
 
 
 def _with_keys(encoded: DataFrame) -> DataFrame:
@@ -136,36 +149,109 @@ def _with_keys(encoded: DataFrame) -> DataFrame:
         cells = np.clip(np.floor(spread_out), 0, (1 << BITS) - 1).astype(np.int64)
         return pa.array(hilbert_keys(cells, BITS))
 
-    return encoded.select("doc_id", key("point").alias("key"), "n_tokens", "ids")
+    return encoded.withColumn("key", key("point")).drop("point")
+
 
+def _ranges(keyed: DataFrame, documents: int) -> list:
+    """Ranges of the order along the curve: part, first (key, doc_id, uid), ids before it.
 
-def _laid_out(keyed: DataFrame, total_bytes: int) -> DataFrame:
-    """Rows of range-sorted ``keyed`` with their range and the ids before them in it."""
-    ranges = max(1, -(-total_bytes // RANGE_BYTES))
-    # A group of copies has one key; ids and contents divide it further.
-    order = ["key", "doc_id", "tie", "uid"]
+    A group of copies has one key; ids and row numbers divide it further.
+    """
+    order = ["key", F.asc_nulls_first("doc_id"), "uid"]
     ranged = (
-        keyed.withColumn("tie", F.xxhash64("ids"))
-        .withColumn("uid", F.monotonically_increasing_id())
-        .repartitionByRange(ranges, *order)
+        keyed.select("key", "doc_id", "uid", "n_tokens")
+        .repartitionByRange(max(1, -(-documents // SORT_ROWS)), *order)
         .sortWithinPartitions(*order)
-        .select("doc_id", "n_tokens", "ids")
     )
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         before = 0
         for batch in batches:
-            sizes = batch.column(1).to_numpy()
+            sizes = batch.column(3).to_numpy()
             inside = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
             yield pa.record_batch(
-                [pa.array(np.full(len(sizes), part)), pa.array(inside), *batch.columns],
-                names=["part", "inside", *batch.schema.names],
+                [pa.array(np.full(len(sizes), task)), pa.array(inside), *batch.columns],
+                names=["task", "inside", *batch.schema.names],
             )
 
-    return ranged.mapInArrow(
-        number, "part bigint, inside bigint, doc_id bigint, n_tokens bigint, ids binary"
+    placed = stored(
+        ranged.mapInArrow(
+            number,
+            "task bigint, inside bigint, key bigint, doc_id bigint, uid bigint, n_tokens bigint",
+        ),
+        "order",
+    )
+    # One row per range of SORT_ROWS documents.
+    before = F.sum("ids_in").over(
+        Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = (
+        placed.groupBy("task").agg(F.sum("n_tokens").alias("ids_in"))
+        .select("task", F.coalesce(before, F.lit(0)).alias("task_start"))
+    )
+    at = F.col("task_start") + F.col("inside")
+    return (
+        placed.join(F.broadcast(starts), "task")
+        .select("key", "doc_id", "uid", at.alias("at"))
+        .groupBy(F.floor(F.col("at") / RANGE_TOKENS).alias("part"))
+        .agg(F.min(F.struct("key", "doc_id", "uid")).alias("first"), F.min("at").alias("at"))
+        .orderBy("part").collect()
+    )
+
+
+def _dealt(keyed: DataFrame, ranges: list) -> DataFrame:
+    """Rows in the order along the curve, with the ids before each: doc_id, at, n_tokens, ids."""
+    spark = keyed.sparkSession
+    # Nulls come first: a flag before the id keeps tuples comparable.
+    firsts = [
+        (r["first"]["key"], r["first"]["doc_id"] is not None, r["first"]["doc_id"] or 0,
+         r["first"]["uid"])
+        for r in ranges
+    ]
+    shared = spark.sparkContext.broadcast((firsts, [r["at"] for r in ranges]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, _ = shared.value
+        for batch in batches:
+            keys, docs, uids = (batch[c].to_pylist() for c in ("key", "doc_id", "uid"))
+            parts = [
+                bisect.bisect_right(firsts, (k, d is not None, d or 0, u)) - 1
+                for k, d, u in zip(keys, docs, uids, strict=True)
+            ]
+            yield pa.record_batch(
+                [pa.array(parts, pa.int32()), *batch.columns],
+                names=["part", *batch.schema.names],
+            )
+
+    dealt = keyed.select("key", "doc_id", "uid", "n_tokens", "ids").mapInArrow(
+        deal, "part int, key bigint, doc_id bigint, uid bigint, n_tokens bigint, ids binary"
+    )
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, starts = shared.value
+        last, at = None, 0
+        for batch in batches:
+            parts, sizes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            places = np.zeros(len(sizes), dtype=np.int64)
+            cuts = np.append(0, np.flatnonzero(parts[1:] != parts[:-1]) + 1)
+            for a, b in zip(cuts, [*cuts[1:], len(parts)]):
+                if parts[a : a + 1].tolist() != [last]:
+                    last = int(parts[a])
+                    at = starts[last]
+                places[a:b] = at + np.cumsum(sizes[a:b]) - sizes[a:b]
+                at += int(sizes[a:b].sum())
+            yield pa.record_batch(
+                [batch.column(1), pa.array(places), *batch.columns[2:]],
+                names=["doc_id", "at", "n_tokens", "ids"],
+            )
+
+    return (
+        dealt.repartition(max(1, len(ranges)), "part")
+        .sortWithinPartitions("part", "key", F.asc_nulls_first("doc_id"), "uid")
+        .select("part", "doc_id", "n_tokens", "ids")
+        .mapInArrow(place, "doc_id bigint, at bigint, n_tokens bigint, ids binary")
     )
 
 
@@ -223,28 +309,16 @@ def pack_documents(
 
     A null or empty text has the end id only. Null ids are documents like
     others, first among equal keys; rows that repeat an id are documents of
-    their own, ordered by content. A long text spans many sequences. Other
-    columns are ignored; an empty table gives no piece. Ids and the sorted order
-    are stored, so a lost executor changes neither.
+    their own. A long text spans many sequences. Other columns are ignored; an
+    empty table gives no piece. Ids and the order are stored, so a lost executor
+    changes neither.
     """
     if length < 1:
         raise ValueError("length must be positive")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    encoded = stored(_encoded(rows, tokenizer, end_id), "encoded", "zstd")
-    sums = encoded.agg(F.sum("n_tokens"), F.sum(F.octet_length("ids"))).first()
-    total, total_bytes = sums[0] or 0, sums[1] or 0
-    laid = stored(_laid_out(_with_keys(encoded), total_bytes), "laid-out", "zstd")
-    # One row per range of RANGE_BYTES.
-    before = F.sum("ids_in").over(
-        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = (
-        laid.groupBy("part").agg(F.sum("n_tokens").alias("ids_in"))
-        .select("part", F.coalesce(before, F.lit(0)).alias("part_start"))
-    )
-    placed = laid.join(F.broadcast(starts), "part").select(
-        "doc_id", (F.col("part_start") + F.col("inside")).alias("at"), "n_tokens", "ids"
-    )
+    keyed = _with_keys(stored(_encoded(rows, tokenizer, end_id), "encoded"))
+    documents, total = keyed.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    placed = _dealt(keyed, _ranges(keyed, documents))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
