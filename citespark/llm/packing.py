@@ -8,14 +8,12 @@ the end is cut into sequences whose lengths are powers of two, so no sequence
 needs padding.
 
 Only narrow rows (key, id, number of ids) are range-sorted. Their running sum
-tells where the ids of a document begin, and so where to divide the order into
-ranges of equal numbers of ids. The ids themselves travel once, to their range.
-One row per range reaches the driver: its first document and its first place.
+tells where the ids of a document begin, and with that a document is cut on its
+own: its ids meet their place in one join on a unique row number.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +33,7 @@ BITS = 15
 #: Coordinates further from the mean than this many deviations share the last cell.
 REACH = 3.0
 ROWS_AT_ONCE = 1_024
-#: Ids in a range, and documents in a range of the narrow sort.
-RANGE_TOKENS = 16 << 20
+#: Documents in a range of the narrow sort.
 SORT_ROWS = 1_000_000
 PIECE = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, " \
     "sequence_id bigint, offset bigint"
@@ -152,8 +149,8 @@ def _with_keys(encoded: DataFrame) -> DataFrame:
     return encoded.withColumn("key", key("point")).drop("point")
 
 
-def _ranges(keyed: DataFrame, documents: int) -> list:
-    """Ranges of the order along the curve: part, first (key, doc_id, uid), ids before it.
+def _places(keyed: DataFrame, documents: int) -> DataFrame:
+    """uid, and the ids before the document in the order along the curve.
 
     A group of copies has one key; ids and row numbers divide it further.
     """
@@ -191,67 +188,8 @@ def _ranges(keyed: DataFrame, documents: int) -> list:
         placed.groupBy("task").agg(F.sum("n_tokens").alias("ids_in"))
         .select("task", F.coalesce(before, F.lit(0)).alias("task_start"))
     )
-    at = F.col("task_start") + F.col("inside")
-    return (
-        placed.join(F.broadcast(starts), "task")
-        .select("key", "doc_id", "uid", at.alias("at"))
-        .groupBy(F.floor(F.col("at") / RANGE_TOKENS).alias("part"))
-        .agg(F.min(F.struct("key", "doc_id", "uid")).alias("first"), F.min("at").alias("at"))
-        .orderBy("part").collect()
-    )
-
-
-def _dealt(keyed: DataFrame, ranges: list) -> DataFrame:
-    """Rows in the order along the curve, with the ids before each: doc_id, at, n_tokens, ids."""
-    spark = keyed.sparkSession
-    # Nulls come first: a flag before the id keeps tuples comparable.
-    firsts = [
-        (r["first"]["key"], r["first"]["doc_id"] is not None, r["first"]["doc_id"] or 0,
-         r["first"]["uid"])
-        for r in ranges
-    ]
-    shared = spark.sparkContext.broadcast((firsts, [r["at"] for r in ranges]))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, _ = shared.value
-        for batch in batches:
-            keys, docs, uids = (batch[c].to_pylist() for c in ("key", "doc_id", "uid"))
-            parts = [
-                bisect.bisect_right(firsts, (k, d is not None, d or 0, u)) - 1
-                for k, d, u in zip(keys, docs, uids, strict=True)
-            ]
-            yield pa.record_batch(
-                [pa.array(parts, pa.int32()), *batch.columns],
-                names=["part", *batch.schema.names],
-            )
-
-    dealt = keyed.select("key", "doc_id", "uid", "n_tokens", "ids").mapInArrow(
-        deal, "part int, key bigint, doc_id bigint, uid bigint, n_tokens bigint, ids binary"
-    )
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, starts = shared.value
-        last, at = None, 0
-        for batch in batches:
-            parts, sizes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            places = np.zeros(len(sizes), dtype=np.int64)
-            cuts = np.append(0, np.flatnonzero(parts[1:] != parts[:-1]) + 1)
-            for a, b in zip(cuts, [*cuts[1:], len(parts)]):
-                if parts[a : a + 1].tolist() != [last]:
-                    last = int(parts[a])
-                    at = starts[last]
-                places[a:b] = at + np.cumsum(sizes[a:b]) - sizes[a:b]
-                at += int(sizes[a:b].sum())
-            yield pa.record_batch(
-                [batch.column(1), pa.array(places), *batch.columns[2:]],
-                names=["doc_id", "at", "n_tokens", "ids"],
-            )
-
-    return (
-        dealt.repartition(max(1, len(ranges)), "part")
-        .sortWithinPartitions("part", "key", F.asc_nulls_first("doc_id"), "uid")
-        .select("part", "doc_id", "n_tokens", "ids")
-        .mapInArrow(place, "doc_id bigint, at bigint, n_tokens bigint, ids binary")
+    return placed.join(F.broadcast(starts), "task").select(
+        "uid", (F.col("task_start") + F.col("inside")).alias("at")
     )
 
 
@@ -316,9 +254,12 @@ def pack_documents(
     if length < 1:
         raise ValueError("length must be positive")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = _with_keys(stored(_encoded(rows, tokenizer, end_id), "encoded"))
+    encoded = stored(_encoded(rows, tokenizer, end_id), "encoded")
+    keyed = _with_keys(encoded)
     documents, total = keyed.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    placed = _dealt(keyed, _ranges(keyed, documents))
+    # Row numbers are unique on both sides, so no key is hot.
+    placed = encoded.join(_places(keyed, documents), "uid")
+    placed = placed.select("doc_id", "at", "n_tokens", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -57,7 +57,6 @@ def test_no_rows(spark, none):
 
 
 def test_documents_in_many_ranges(spark, documents, monkeypatch):
-    monkeypatch.setattr(packing, "RANGE_TOKENS", 5_000)
     monkeypatch.setattr(packing, "SORT_ROWS", 30)
     rows = packing.pack_documents(documents, FILE).collect()
     docs = [(r.doc_id, r.text) for r in documents.collect()]
