@@ -55,7 +55,8 @@ def coordinates(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     bucket = (mix(known, 5) % np.uint64(BUCKETS)).astype(np.int64)[tokens]
     counts = np.bincount(owner * BUCKETS + bucket, minlength=len(sizes) * BUCKETS)
     shares = counts.reshape(len(sizes), BUCKETS) / np.maximum(sizes, 1)[:, None]
-    return np.sqrt(shares) @ projection()
+    # Without the matrix library, whose threads would spin beside the other tasks.
+    return np.einsum("db,bk->dk", np.sqrt(shares), projection())
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:

@@ -236,6 +236,29 @@ def rank_merger(path: str) -> object | None:
     return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
+class Growing:
+    """An array that is extended in place, with room for what comes."""
+
+    def __init__(self, kind: type, values: np.ndarray | None = None):
+        self.held = np.zeros(1 << 12, dtype=kind)
+        self.size = 0
+        if values is not None:
+            self.extend(values)
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.held):
+            wider = np.zeros(max(end, 2 * len(self.held)), dtype=self.held.dtype)
+            wider[: self.size] = self.held[: self.size]
+            self.held = wider
+        self.held[self.size : end] = values
+        self.size = end
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.held[: self.size]
+
+
 class LibraryEncoder:
     """Texts through a tokenizer file, each piece between single spaces once while cached.
 
@@ -262,24 +285,27 @@ class LibraryEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cached = cached
         self.number: dict[str, int] = {}
-        self.tokens = np.zeros(0, dtype=np.int32)
-        self.first = np.zeros(0, dtype=np.int64)
-        self.count = np.zeros(0, dtype=np.int64)
-        self.uses = np.zeros(0, dtype=np.int64)
+        self.tokens = Growing(np.int32)
+        self.first = Growing(np.int64)
+        self.count = Growing(np.int64)
+        self.uses = Growing(np.int64)
 
     def _forget(self) -> None:
         """Keep the pieces used most, at most half of what is cached."""
+        uses = self.uses.values
         least = 2
-        while (self.uses >= least).sum() > self.cached // 2:
+        while (uses >= least).sum() > self.cached // 2:
             least *= 2
-        keep = np.flatnonzero(self.uses >= least)
+        keep = np.flatnonzero(uses >= least)
         names = list(self.number)
         self.number = {names[i]: at for at, i in enumerate(keep.tolist())}
-        count = self.count[keep]
+        count = self.count.values[keep]
         ids = np.maximum(count, 0)
-        self.tokens = self.tokens[spread(self.first[keep], ids)]
-        self.first, self.count = np.cumsum(ids) - ids, count
-        self.uses = self.uses[keep] // 2
+        tokens = self.tokens.values[spread(self.first.values[keep], ids)]
+        self.tokens = Growing(np.int32, tokens)
+        self.first = Growing(np.int64, np.cumsum(ids) - ids)
+        self.count = Growing(np.int64, count)
+        self.uses = Growing(np.int64, uses[keep] // 2)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -351,11 +377,11 @@ class LibraryEncoder:
             body = pieces[i].removeprefix(" ")
             if not body or body[0].isspace() or body[-1].isspace():
                 counts[i] = -1
-        self.first = np.append(self.first, edges[:-1] + len(self.tokens))
-        self.tokens = np.append(self.tokens, tokens.astype(np.int32))
-        self.count = np.append(self.count, counts)
-        self.uses = np.append(self.uses, np.zeros(len(counts), dtype=np.int64))
-        self.number.update(zip(pieces, range(len(self.number), len(self.count)), strict=True))
+        self.first.extend(edges[:-1] + self.tokens.size)
+        self.tokens.extend(tokens)
+        self.count.extend(counts)
+        self.uses.extend(np.zeros(len(counts), dtype=np.int64))
+        self.number.update(zip(pieces, range(len(self.number), self.count.size), strict=True))
 
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each."""
@@ -382,9 +408,9 @@ class LibraryEncoder:
             else:
                 self._learn(list(missing))
                 at[unknown] = look_up([pieces[i] for i in unknown])
-        self.uses += np.bincount(at, minlength=len(self.uses))
-        count = self.count[at]
-        tokens = self.tokens[spread(self.first[at], np.maximum(count, 0))]
+        self.uses.values[:] += np.bincount(at, minlength=self.uses.size)
+        count = self.count.values[at]
+        tokens = self.tokens.values[spread(self.first.values[at], np.maximum(count, 0))]
         held = np.concatenate([[0], np.cumsum(np.maximum(count, 0))])
         starts = np.append(0, ends[:-1])
         sizes = held[ends] - held[starts]
