@@ -41,6 +41,7 @@ from citespark.operators.encode import (  # noqa: E402
 from citespark.operators.rerank import rerank, score_pairs  # noqa: E402
 from citespark.operators.stable import cut_lineage, shared_folder  # noqa: E402
 from citespark.plans import answering, compare, known_item  # noqa: E402
+from citespark.plans.encode_changes import encode_changes  # noqa: E402
 from citespark.plans.encode_table import encode_pending  # noqa: E402
 from citespark.plans.make_corpus import corpus_from_csv  # noqa: E402
 from citespark.sources import matrix, ranged, raw_csv, split_csv, tables  # noqa: E402
@@ -427,6 +428,29 @@ def encode_in_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(run(rows))
 
 
+def encode_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode other texts for labelled documents and some more ids, then the documents as they are.
+
+    The second run finds changed, new and removed texts by their digests.
+    """
+    path = f"{_new_folder(spark)}/changing"
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = _table(spark, sf_dir, "labels").select("doc_id").distinct()
+    other = rows.join(labelled, "doc_id", "left_semi").withColumn("text", F.reverse("text"))
+    gone = _table(spark, sf_dir, "benchmark").select(
+        (-1 - F.col("item_id")).alias("doc_id"), "text"
+    )
+    run = partial(
+        encode_changes,
+        path=path,
+        make_encoder=make_encoder,
+        model_name=make_encoder().name,
+        dimension=TEXT_DIM,
+    )
+    run(other.unionByName(gone))
+    return _entries(run(rows))
+
+
 def encode_tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return _entries(encode_tfidf(rows, tfidf_model(rows, "text", oracles.TFIDF_DIM)))
@@ -867,6 +891,18 @@ def length_generator() -> answers.Generator:
     return generate
 
 
+def failing_generator() -> answers.Generator:
+    """The same model, down at every fifth length of a prompt."""
+    generate = length_generator()
+
+    def fail(prompts: list[tuple[str, str]]) -> list[answers.Generation]:
+        if any(len(user) % 5 == 0 for _, user in prompts):
+            raise RuntimeError("the model is down")
+        return generate(prompts)
+
+    return fail
+
+
 def answer_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers by a generator, which sees only the questions that pass the gate."""
     _, questions, reranked = _sourced(spark, sf_dir)
@@ -890,6 +926,40 @@ def answer_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def answer_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers over two runs: the first one's generator fails at long prompts."""
+    _, questions, reranked = _sourced(spark, sf_dir)
+    store = f"{_new_folder(spark)}/answers"
+
+    def run(make_generator) -> DataFrame:
+        return answering.answer_questions(
+            questions,
+            reranked,
+            make_generator=make_generator,
+            system_prompt=oracles.SYSTEM_PROMPT,
+            store=store,
+            model_name="length",
+        )
+
+    try:
+        run(failing_generator)
+    except RuntimeError:
+        pass  # what it did answer is in the store
+    records = run(length_generator)
+    return records.select(
+        "query_id",
+        "query",
+        "answer",
+        "abstained",
+        "used_fallback",
+        "prompt_tokens",
+        "output_tokens",
+        F.array_join(
+            F.transform("sources", lambda s: s["doc_id"].cast("string")), ","
+        ).alias("source_ids"),
+    )
+
+
 def answer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.answer_summary(_records(spark, sf_dir))
 
@@ -986,6 +1056,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     encode_documents,
     encode_stream,
     encode_in_two_runs,
+    encode_changed,
     encode_tfidf_documents,
     incremental_pending,
     pca_fit,
@@ -1017,6 +1088,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     audit_answers,
     answer_questions,
     answer_generated,
+    answer_resumed,
     answer_summary,
     csv_scan,
     csv_split_scan,

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citespark.functions.text import NOT_A_WORD
 from citespark.functions.vectors import UNIT_TOLERANCE, as_arrow
 from citespark.operators.stable import run_once, spread_small_table
 
@@ -127,28 +128,52 @@ class TfidfModel:
         return HashedWordEncoder(len(self.weights), self.weights)
 
 
-def tfidf_model(df: DataFrame, text_column: str, dimension: int = 1024) -> TfidfModel:
-    """Fit the built-in TF-IDF encoder on a text column; NULL counts as the empty text."""
-    slots = HashedWordEncoder(dimension)
+def word_slots(text: Column, dimension: int) -> Column:
+    """Slot of each word of a text, as :class:`HashedWordEncoder` numbers them, in the JVM."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_A_WORD), "")
+    return F.transform(
+        words,
+        lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % dimension),
+    )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = np.zeros(dimension, dtype=np.int64), 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen[np.unique(np.array(slots.slots(text or ""), dtype=np.int64))] += 1
-                rows += 1
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.arange(dimension + 1), pa.int32()),
-                pa.array(np.append(seen, rows), pa.int64()),
-            ],
-            names=["slot", "n"],
+
+def counted_slots(slots: Column, weights: np.ndarray) -> Column:
+    """Unit vectors of weighted slot counts, a batch of texts at a time."""
+    dimension = len(weights)
+
+    @F.arrow_udf("array<float>")
+    def count(column: pa.Array) -> pa.Array:
+        rows = np.repeat(
+            np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False)
         )
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        counts = np.bincount(rows * dimension + flat, minlength=len(column) * dimension)
+        vectors = counts.reshape(len(column), dimension) * weights
+        vectors[:, 0] += 1.0
+        return as_arrow(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+
+    return run_once(count)(slots)
 
+
+def encode_hashed(
+    df: DataFrame, text_column: str, weights: np.ndarray, into: str = "embedding"
+) -> DataFrame:
+    """The vectors of :class:`HashedWordEncoder` without a Python loop over texts or words."""
+    slots = word_slots(F.col(text_column), len(weights))
+    return spread_small_table(df).withColumn(into, counted_slots(slots, weights))
+
+
+def tfidf_model(df: DataFrame, text_column: str, dimension: int = 1024) -> TfidfModel:
+    """Fit the built-in TF-IDF encoder on a text column; NULL counts as the empty text.
+
+    A text adds one to each of its slots and to the number of texts. Sums are
+    combined in the tasks, so at most ``dimension`` + 1 rows a task are shuffled.
+    """
+    slots = F.array_distinct(word_slots(F.col(text_column), dimension))
     counted = (
         spread_small_table(df.select(text_column))
-        .mapInArrow(count, "slot int, n bigint")
-        .groupBy("slot").agg(F.sum("n").alias("n"))
+        .select(F.explode(F.array_append(slots, F.lit(dimension))).alias("slot"))
+        .groupBy("slot").agg(F.count("*").alias("n"))
     )
     seen = np.zeros(dimension + 1)
     for row in counted.collect():
@@ -162,7 +187,7 @@ def encode_tfidf(df: DataFrame, model: TfidfModel) -> DataFrame:
     The constant of :class:`HashedWordEncoder` keeps a text without words, or
     with none but words of all documents, from having no direction.
     """
-    return encode_texts(df, model.text_column, model.encoder, len(model.weights))
+    return encode_hashed(df, model.text_column, model.weights)
 
 
 def pending_rows(df: DataFrame, done: DataFrame, id_column: str) -> DataFrame:

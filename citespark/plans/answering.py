@@ -20,6 +20,7 @@ from citespark.operators.answers import (
     user_prompt,
 )
 from citespark.operators.encode import TextEncoder
+from citespark.operators.joins import join_to_unique
 from citespark.operators.project import Projection, project
 from citespark.operators.rerank import (
     CANDIDATES,
@@ -31,6 +32,7 @@ from citespark.operators.rerank import (
 )
 from citespark.operators.search import exact_topk
 from citespark.operators.stable import cut_lineage
+from citespark.plans.answer_store import answers_from_store, prompt_digest
 from citespark.plans.known_item import encoded_sides
 
 
@@ -118,13 +120,17 @@ def answer_questions(
     threshold: float = ANSWERABILITY_THRESHOLD,
     maximum_words: int = ANSWER_WORDS,
     system_prompt: str | None = None,
+    store: str | None = None,
+    model_name: str = "generator",
 ) -> DataFrame:
     """Answer records from a table of drafts or from a generator.
 
     Without either, every answered question gets the extract of its first
     source. A generator needs the caller's ``system_prompt``. It sees only the
     questions that pass the gate; their records also have the token counts and
-    the time of the generation, null for the others.
+    the time of the generation, null for the others. With a ``store`` folder
+    answers are kept under a digest of ``model_name`` and prompt, so a run that
+    failed is taken up and no prompt is asked twice.
     """
     rows = sourced_questions(
         questions.withColumn("query", checked_query(F.col("query"))), reranked
@@ -137,9 +143,21 @@ def answer_questions(
         # Stored: the generator must run once per question that passes the gate.
         gated = cut_lineage(answer_gate(rows, threshold))
         prompt = user_prompt(F.col("query"), F.col("sources"))
-        asked = gated.filter(~F.col("abstained")).withColumn(
-            "_made", generated(F.lit(system_prompt), prompt, make_generator)
-        )
+        asked = gated.filter(~F.col("abstained"))
+        if store is None:
+            asked = asked.withColumn(
+                "_made", generated(F.lit(system_prompt), prompt, make_generator)
+            )
+        else:
+            system = F.lit(system_prompt)
+            asked = asked.withColumn("_digest", prompt_digest(model_name, system, prompt))
+            prompts = asked.select(
+                F.col("_digest").alias("digest"), system.alias("system"), prompt.alias("user")
+            )
+            found = answers_from_store(prompts, store, make_generator, model_name)
+            made = F.struct("answer", "prompt_tokens", "output_tokens", "generation_ms")
+            found = found.select(F.col("digest").alias("_digest"), made.cast(GENERATION).alias("_made"))
+            asked = join_to_unique(asked, found, "_digest").drop("_digest")
         silent = gated.filter("abstained").withColumn("_made", F.lit(None).cast(GENERATION))
         rows = cut_lineage(
             asked.unionByName(silent)

@@ -500,6 +500,9 @@ def _function_sql() -> dict[str, str]:
         "encode_in_two_runs": f"""WITH d AS (SELECT doc_id AS id, text FROM documents),
             {encode("ev", "d")}, named AS (SELECT id AS doc_id, e FROM ev)
             {entries("named")}""",
+        "encode_changed": f"""WITH d AS (SELECT doc_id AS id, text FROM documents),
+            {encode("ev", "d")}, named AS (SELECT id AS doc_id, e FROM ev)
+            {entries("named")}""",
         "encode_tfidf_documents": f"""WITH
             words AS (SELECT doc_id, unnest({words("text")}) AS w FROM documents),
             counts AS (
@@ -687,6 +690,10 @@ def _answer_sql() -> dict[str, str]:
             used_fallback, CASE WHEN NOT abstained THEN prompt_tokens END AS prompt_tokens,
             CASE WHEN NOT abstained THEN 5::BIGINT END AS output_tokens, source_ids
             FROM records JOIN prompted USING (query_id)""",
+        "answer_resumed": f"""WITH {generated} SELECT query_id, query, answer, abstained,
+            used_fallback, CASE WHEN NOT abstained THEN prompt_tokens END AS prompt_tokens,
+            CASE WHEN NOT abstained THEN 5::BIGINT END AS output_tokens, source_ids
+            FROM records JOIN prompted USING (query_id)""",
         "answer_summary": f"""WITH {AUDIT} SELECT count(*) AS queries,
             round(avg((in_domain <> abstained)::INTEGER), 6) AS behaviour_accuracy,
             round(avg((NOT abstained)::INTEGER) FILTER (in_domain), 6) AS in_domain_answer_rate,
