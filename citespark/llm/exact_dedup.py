@@ -7,6 +7,7 @@ has the whole normalised text among its keys, so a digest alone never decides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -125,28 +126,30 @@ def exact_dedup(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names."""
+    tag = uuid.uuid4().hex
+    mark, stays, many = f"own_{tag}", f"stays_{tag}", f"repeated_{tag}"
     found = exact_dedup(docs, id_col, text_col).filter("kept")
-    found = found.select(F.struct("doc_id", "text_sha256").alias("stays"))
+    found = found.select(F.struct("doc_id", "text_sha256").alias(stays))
     own = F.struct(
         F.col(id_col).alias("doc_id"),
         F.lower(F.hex(sha256(normalised(F.col(text_col))))).alias("text_sha256"),
     )
-    kept = docs.withColumn("_own", own).join(
-        found, F.col("_own").eqNullSafe(F.col("stays")), "left_semi"
+    kept = docs.withColumn(mark, own).join(
+        found, F.col(mark).eqNullSafe(F.col(stays)), "left_semi"
     )
     repeated = stored(
-        docs.groupBy(F.col(id_col).alias("repeated")).agg(F.count("*").alias("n"))
-        .filter("n > 1").select("repeated"),
+        docs.groupBy(F.col(id_col).alias(many)).agg(F.count("*").alias("n"))
+        .filter("n > 1").select(many),
         "repeated-ids",
     )
     if repeated.isEmpty():
-        return kept.drop("_own")
+        return kept.drop(mark)
     # Rows that repeat an id with one text are one document: any of them stands for all.
-    again = F.col(id_col).eqNullSafe(F.col("repeated"))
+    again = F.col(id_col).eqNullSafe(F.col(many))
     single = kept.join(repeated, again, "left_anti")
-    several = kept.join(repeated, again, "left_semi").dropDuplicates(["_own"])
-    return single.unionByName(several).drop("_own")
+    several = kept.join(repeated, again, "left_semi").dropDuplicates([mark])
+    return single.unionByName(several).drop(mark)
 
 
 def _combine(keyed: DataFrame, salts: int) -> DataFrame:

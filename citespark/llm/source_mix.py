@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -282,9 +283,8 @@ def mixed_documents(
         & (F.xxhash64(docs[text_col]) == times["mixed_digest"]),
     )
     copies = F.explode(F.sequence(F.lit(1).cast("bigint"), times["mixed_times"]))
-    return repeated.select(*[docs[c] for c in docs.columns], copies.alias("mixed_copy")).drop(
-        "mixed_copy"
-    )
+    number = f"copy_{uuid.uuid4().hex}"
+    return repeated.select(*[docs[c] for c in docs.columns], copies.alias(number)).drop(number)
 
 
 def _rounded(alike: DataFrame) -> DataFrame:

@@ -50,6 +50,7 @@ def odd(spark, odd_rows):
     """The odd rows with more columns, named like those that operators make."""
     docs = spark.createDataFrame(odd_rows, COLUMNS)
     more = "key size norm digest shard label rep n row_id cell start taken host template".split()
+    more += "repeated stays _own mixed_copy".split()
     return docs.selectExpr("*", *[f"'x' AS {name}" for name in more])
 
 

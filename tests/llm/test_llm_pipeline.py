@@ -51,7 +51,7 @@ def test_pipeline_of_odd_rows(spark, odd, odd_rows, none):
 
 def test_a_query_for_each_operator():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     assert set(queries.oracle_sql()) <= set(names)
 
 
@@ -78,3 +78,14 @@ def test_repeats_of_each_source_meet_its_target(spark):
         assert given[source] == pytest.approx(target, rel=0.03), source
     most = mixed.groupBy("doc_id", "source", "text").count().agg(F.max("count")).first()[0]
     assert most <= source_mix.MAX_REPEATS
+
+
+def test_stages_keep_columns_of_any_name(odd):
+    """Repeated ids, and columns named like those that the stages make."""
+    from citespark.llm import exact_dedup, source_mix
+
+    assert exact_dedup.drop_exact_copies(odd).columns == odd.columns
+    assert exact_dedup.drop_exact_copies(odd).count() > 0
+    mixed = source_mix.mixed_documents(odd)
+    assert mixed.columns == odd.columns
+    assert {r.mixed_copy for r in mixed.collect()} == {"x"}
