@@ -2,17 +2,22 @@
 
 Shingles are hashed, and the hashes of a document are counted in groups. The
 counts are a point; two documents share at most the sum of the coordinate-wise
-minima of their points. The bound is used at two resolutions:
+minima of their points. The bound is used at three resolutions:
 
 * Finest, a group per hash value. Points with a common part of the required
   size meet in one of their first coordinates (rarest first), so documents are
   routed to those and compared nowhere else.
 * Coarse, 256 groups. Inside a route a tree of boxes over these points (its
   nodes keep the largest counts below them) finds the partners that the bound
-  allows; all others are dropped unseen.
-
-Survivors are verified on their full shingle sets. Documents that are linked
-already, or have equal sets, are not compared again.
+  allows. Of these pairs only a spanning forest leaves the task: it tells which
+  documents belong to one cluster of candidates.
+* Middle, about a group per four shingles. Each cluster meets once with its full
+  sets, in blocks; a tree over these points finds the pairs, which are verified
+  there, and again only a spanning forest of the links leaves the task.
+
+So no table holds more pairs than there are documents in routes, however many
+pairs a group of near copies has. Documents that are linked already, or have
+equal sets, are not compared again.
 """
 
 from __future__ import annotations
@@ -52,6 +57,9 @@ LEAF = 16
 BROADCAST_IDS = 1 << 20
 #: Partners of a document that are compared with one copy of its set.
 PARTNERS = 256
+#: Shingles of a cluster that one block holds, on average; and the most bits of a group's number.
+BLOCK_SHINGLES = 1 << 21
+MOST_BITS = 14
 
 U = np.uint64
 
@@ -151,8 +159,8 @@ def needed(n, percent: int = PERCENT):
     return (percent * n + 99) // 100
 
 
-def group_counts(shingles: np.ndarray) -> np.ndarray:
-    counts = np.bincount((shingles >> U(64 - GROUP_BITS)).astype(np.int64), minlength=GROUPS)
+def group_counts(shingles: np.ndarray, bits: int = GROUP_BITS) -> np.ndarray:
+    counts = np.bincount((shingles >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(counts, MOST).astype("<u2")
 
 
@@ -330,43 +338,66 @@ def _stars(percent: int):
 
 
 class CountTree:
-    """Points of one group in boxes: each node has the largest counts and the sizes below it."""
+    """Points in boxes and boxes of boxes: each has the largest counts and the sizes below it.
+
+    Rows of the same ``component`` are no partners; a box knows whether all its
+    rows are of one.
+    """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
+    def __init__(
+        self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray, leaf: int | None = None
+    ):
         # Slabs of similar size, in a slab by the coordinate that varies most.
         widest = int(points.var(axis=0).argmax()) if len(points) else 0
         slab = np.floor(np.log(np.maximum(sizes, 1)) / np.log(1.12)).astype(np.int64)
         self.order = np.lexsort((points[:, widest], slab))
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        cuts = np.arange(0, len(points), leaf)
-        self.leaf = leaf
-        self.most = np.maximum.reduceat(self.points, cuts, axis=0)
-        self.least_size = np.minimum.reduceat(self.sizes, cuts)
-        self.most_size = np.maximum.reduceat(self.sizes, cuts)
-
-    def partners(self, points: np.ndarray, sizes: np.ndarray, percent: int):
-        """Pairs (query, row) that the bound allows, sizes and minima considered."""
+        self.leaf = leaf or LEAF
+        part = self.order
+        # From the rows up: largest counts, smallest and largest size, lowest and highest component.
+        self.levels = [(points[part], sizes[part], sizes[part], component[part], component[part])]
+        while len(self.levels[-1][0]) > self.leaf:
+            most, least, largest, low, high = self.levels[-1]
+            cuts = np.arange(0, len(most), self.leaf)
+            self.levels.append((
+                np.maximum.reduceat(most, cuts, axis=0),
+                np.minimum.reduceat(least, cuts),
+                np.maximum.reduceat(largest, cuts),
+                np.minimum.reduceat(low, cuts),
+                np.maximum.reduceat(high, cuts),
+            ))
+
+    def partners(self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int):
+        """Pairs (query, row) that the bound allows, sizes, minima and components considered."""
         found_q, found_r = [], []
-        step = max(1, (1 << 22) // (len(self.most) * points.shape[1]))
-        for at in range(0, len(points), step):
-            q, n = points[at : at + step], sizes[at : at + step]
-            fits = (100 * np.minimum(n[:, None], self.most_size[None, :])
-                    >= percent * np.maximum(n[:, None], self.least_size[None, :]))
-            bound = shared_most(q[:, None, :], self.most[None, :, :])
-            # An overlap of o means 100 o >= percent (n + m - o).
-            fits &= (100 + percent) * bound >= percent * (n[:, None] + self.least_size[None, :])
-            query, node = np.nonzero(fits)
-            row = (node[:, None] * self.leaf + np.arange(self.leaf)[None, :]).ravel()
-            query = np.repeat(query, self.leaf)
-            inside = row < len(self.points)
-            query, row = query[inside], row[inside]
-            for b in range(0, len(query), 1 << 16):
-                x, y = query[b : b + (1 << 16)], row[b : b + (1 << 16)]
-                keep = allowed(q[x], n[x], self.points[y], self.sizes[y], percent)
-                found_q.append(x[keep] + at)
-                found_r.append(self.order[y[keep]])
+        for at in range(0, len(points), 1_024):
+            n = min(1_024, len(points) - at)
+            nodes = len(self.levels[-1][0])
+            query, node = np.repeat(np.arange(at, at + n), nodes), np.tile(np.arange(nodes), n)
+            for depth in range(len(self.levels) - 1, -1, -1):
+                query, node = self._kept(depth, query, node, points, sizes, component, percent)
+                if depth:
+                    below = len(self.levels[depth - 1][0])
+                    node = (node[:, None] * self.leaf + np.arange(self.leaf)[None, :]).ravel()
+                    query = np.repeat(query, self.leaf)
+                    query, node = query[node < below], node[node < below]
+            found_q.append(query)
+            found_r.append(self.order[node])
         return np.concatenate(found_q), np.concatenate(found_r)
 
+    def _kept(self, depth, query, node, points, sizes, component, percent):
+        most, least, largest, low, high = self.levels[depth]
+        n = sizes[query]
+        keep = (low[node] != component[query]) | (high[node] != component[query])
+        keep &= 100 * np.minimum(n, largest[node]) >= percent * np.maximum(n, least[node])
+        query, node = query[keep], node[keep]
+        step = max(1, (1 << 23) // max(1, points.shape[1]))
+        kept = [np.zeros(0, dtype=bool)]
+        for at in range(0, len(query), step):
+            q, r = query[at : at + step], node[at : at + step]
+            kept.append(allowed(points[q], sizes[q], most[r], least[r], percent))
+        keep = np.concatenate(kept)
+        return query[keep], node[keep]
+
 
 def allowed(p, n, q, m, percent: int) -> np.ndarray:
     return (100 + percent) * shared_most(p, q) >= percent * (n + m)
@@ -398,11 +429,57 @@ def _bounded(percent: int):
     return run
 
 
-def _search(percent: int, likeliest: bool = False):
-    """Pairs of different components in each group that the bound allows.
+def forest(i: np.ndarray, j: np.ndarray, nodes: int) -> np.ndarray:
+    """Which pairs connect of ``nodes`` nodes all that the pairs (i, j) connect: less than ``nodes``."""
+    label = np.arange(nodes)
+    pair, kept = np.arange(len(i)), [np.zeros(0, dtype=np.int64)]
+    while True:
+        a, b = label[i[pair]], label[j[pair]]
+        apart = a != b
+        pair, a, b = pair[apart], a[apart], b[apart]
+        if not len(pair):
+            return np.concatenate(kept)
+        # Each tree with a neighbour of a smaller name joins the smallest of these.
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        order = np.lexsort((low, high))
+        chosen = order[group_bounds([high[order]])[0]]
+        kept.append(pair[chosen])
+        above = np.arange(nodes)
+        above[high[chosen]] = low[chosen]
+        while True:
+            further = above[above]
+            if (further == above).all():
+                break
+            above = further
+        label = above[label]
+
+
+def _pairs_of(rep: np.ndarray, left: list, right: list) -> pa.RecordBatch:
+    """A spanning forest of the pairs of rows, as pairs of ids."""
+    i = np.concatenate([np.zeros(0, dtype=np.int64), *left])
+    j = np.concatenate([np.zeros(0, dtype=np.int64), *right])
+    ids, node = np.unique(rep, return_inverse=True)
+    kept = forest(node[i], node[j], len(ids))
+    x, y = rep[i[kept]], rep[j[kept]]
+    return pa.record_batch(
+        [pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())],
+        names=["a", "b"],
+    )
+
+
+def _in_small(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the groups of at most :data:`LEAF` rows, by their distance."""
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    small = sizes[group] <= LEAF
+    for apart in range(1, LEAF):
+        i = np.flatnonzero(small[:-apart] & (group[:-apart] == group[apart:]))
+        if not len(i):
+            return
+        yield i, i + apart
 
-    With ``likeliest`` only the pair of each document that the bound puts first.
-    """
+
+def _candidates(percent: int):
+    """What the pairs of different components that the bound allows connect, as a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["task"]):
@@ -414,52 +491,82 @@ def _search(percent: int, likeliest: bool = False):
             starts, ends = group_bounds([table["task"].to_numpy()])
             sizes = ends - starts
             left, right = [], []
-            # Small groups all at once: pairs at distance 1, 2, ... in a group.
-            group = np.repeat(np.arange(len(starts)), sizes)
-            small = sizes[group] <= LEAF
-            for apart in range(1, LEAF):
-                i = np.flatnonzero(small[:-apart] & (group[:-apart] == group[apart:]))
-                if not len(i):
-                    break
-                i, j = _open(i, i + apart, component, block, same)
+            for i, j in _in_small(sizes):
+                i, j = _open(i, j, component, block, same)
                 keep = allowed(points[i], n[i], points[j], n[j], percent)
                 left.append(i[keep])
                 right.append(j[keep])
             for a, b in zip(starts[sizes > LEAF].tolist(), ends[sizes > LEAF].tolist(), strict=True):
-                tree = CountTree(points[a:b], n[a:b])
-                i, j = tree.partners(points[a:b], n[a:b], percent)
-                i, j = i[i < j] + a, j[i < j] + a
+                at = slice(a, b)
+                tree = CountTree(points[at], n[at], component[at])
+                i, j = tree.partners(points[at], n[at], component[at], percent)
+                i, j = _open(i[i < j] + a, j[i < j] + a, component, block, same)
+                kept = forest(i - a, j - a, b - a)
+                left.append(i[kept])
+                right.append(j[kept])
+            yield _pairs_of(rep, left, right)
+
+    return run
+
+
+def _linked(percent: int):
+    """What the links between different components of each group connect, as a forest.
+
+    Rows hold full sets and are sorted by task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["task"]):
+            table = table.combine_chunks()
+            rep, component = table["rep"].to_numpy(), table["component"].to_numpy()
+            block, same = table["block"].to_numpy(), table["same"].to_numpy()
+            raw = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table["set"]]
+            n = np.array([len(x) for x in raw], dtype=np.int64)
+            # Small numbers stand for the shingles of these rows.
+            names, number = np.unique(np.concatenate(raw), return_inverse=True)
+            numbers = np.split(number, np.cumsum(n)[:-1])
+            flags = np.zeros(len(names), dtype=np.uint8)
+            starts, ends = group_bounds([table["task"].to_numpy()])
+            sizes = ends - starts
+            left, right = [], []
+            for i, j in _in_small(sizes):
                 i, j = _open(i, j, component, block, same)
+                i, j = verified(i, j, n, numbers, flags, percent)
                 left.append(i)
                 right.append(j)
-            if left:
-                i, j = np.concatenate(left), np.concatenate(right)
-                if likeliest:
-                    i, j = _likeliest(i, j, points, n)
-                x, y = rep[i], rep[j]
-                pairs = np.stack([np.minimum(x, y), np.maximum(x, y)])
-                pairs = pairs[:, np.lexsort(pairs)]
-                keep, _ = group_bounds([pairs[0], pairs[1]])
-                yield pa.record_batch(
-                    [pa.array(pairs[0][keep], pa.int64()), pa.array(pairs[1][keep], pa.int64())],
-                    names=["a", "b"],
-                )
+            for a, b in zip(starts[sizes > LEAF].tolist(), ends[sizes > LEAF].tolist(), strict=True):
+                at = slice(a, b)
+                bits = int(np.clip(np.ceil(np.log2(n[at].max() / 4)), GROUP_BITS, MOST_BITS))
+                points = np.stack([group_counts(x, bits) for x in raw[at]])
+                tree = CountTree(points, n[at], component[at])
+                i, j = tree.partners(points, n[at], component[at], percent)
+                i, j = _open(i[i < j] + a, j[i < j] + a, component, block, same)
+                i, j = verified(i, j, n, numbers, flags, percent)
+                kept = forest(i - a, j - a, b - a)
+                left.append(i[kept])
+                right.append(j[kept])
+            yield _pairs_of(rep, left, right)
 
     return run
 
 
-def _likeliest(i: np.ndarray, j: np.ndarray, points: np.ndarray, n: np.ndarray):
-    """For each row one of its pairs: that with the largest bound for its size."""
-    likeness = np.zeros(len(i))
-    for at in range(0, len(i), 1 << 16):
-        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        likeness[at : at + len(x)] = shared_most(points[x], points[y]) / (n[x] + n[y])
-    row = np.concatenate([i, j])
-    pair = np.tile(np.arange(len(i)), 2)
-    order = np.lexsort((pair, -likeness[pair], row))
-    _, first = np.unique(row[order], return_index=True)
-    kept = np.unique(pair[order[first]])
-    return i[kept], j[kept]
+def verified(i, j, n, numbers: list[np.ndarray], flags: np.ndarray, percent: int):
+    """The pairs of rows (i, j) whose sets are alike enough."""
+    keep = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    i, j = i[keep], j[keep]
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    alike = np.zeros(len(i), dtype=bool)
+    for a, b in zip(*(x.tolist() for x in group_bounds([i])), strict=True):
+        own = numbers[i[a]]
+        flags[own] = 1
+        partners = j[a:b]
+        hits = flags[np.concatenate([numbers[x] for x in partners.tolist()])]
+        ends = np.cumsum(n[partners])
+        shared = np.add.reduceat(hits, ends - n[partners], dtype=np.int64)
+        alike[a:b] = (100 + percent) * shared >= percent * (n[partners] + len(own))
+        flags[own] = 0
+    return i[alike], j[alike]
 
 
 def _open(i, j, component, block, same):
@@ -468,17 +575,30 @@ def _open(i, j, component, block, same):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, salt, text) with the set in the place of the text."""
+    """Rows with the set in the place of the text, their last column."""
     shingles = Shingles()
     for whole in batches:
         for at in range(0, whole.num_rows, 1_000):
             batch = whole.slice(at, 1_000)
-            found = [s.tobytes() for s in shingles.of_column(batch.column(3))]
+            found = [s.tobytes() for s in shingles.of_column(batch.column(batch.num_columns - 1))]
             yield pa.record_batch(
-                [*batch.columns[:3], pa.array(found, pa.binary())], names=["a", "b", "salt", "set"]
+                [*batch.columns[:-1], pa.array(found, pa.binary())],
+                names=[*batch.schema.names[:-1], "set"],
             )
 
 
+def _sets_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As :func:`_sets`; a row that repeats id (first column) and set in its task is left out."""
+    seen: set[tuple[int, int]] = set()
+    for batch in _sets(batches):
+        keep = []
+        for rep, raw in zip(batch.column(0).to_pylist(), batch["set"], strict=True):
+            row = rep, int(np.frombuffer(raw.as_buffer(), dtype=np.uint64).sum())
+            keep.append(row not in seen)
+            seen.add(row)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _verify(percent: int):
     """Rows sorted by (a, salt, b), the set of ``a`` itself first with ``b`` null."""
 
@@ -556,18 +676,13 @@ def _open_cells(cells: DataFrame, known: DataFrame) -> DataFrame:
     return join_counted(labelled, several, "shingle", "in_cell", labelled.count(), "inner")
 
 
-def _found_in(
-    inside: DataFrame, points: DataFrame, percent: int, likeliest: bool = False
-) -> DataFrame:
-    """Pairs that the tree finds in each route, large routes in pairs of blocks."""
-    blocks = F.ceil(F.col("in_cell") / BLOCK)
-    dealt = inside.withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    ).select(
-        "shingle",
-        "rep",
-        "component",
+def _dealt(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Rows of a ``key`` in tasks: one, or one for each pair of its ``blocks`` blocks."""
+    number = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    return rows.withColumn("block", number).select(
+        key,
         "block",
+        *columns,
         F.explode(
             F.transform(
                 F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
@@ -577,21 +692,67 @@ def _found_in(
             )
         ).alias("pair"),
     ).select(
-        F.xxhash64("shingle", "pair.a", "pair.b").alias("task"),
-        "rep",
-        "component",
+        F.xxhash64(key, "pair.a", "pair.b").alias("task"),
         "block",
         (F.col("pair.a") == F.col("pair.b")).alias("same"),
+        *columns,
+    )
+
+
+def _connected(inside: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that connect what the bound allows in any route, large routes in blocks."""
+    dealt = _dealt(
+        inside.withColumn("blocks", F.ceil(F.col("in_cell") / BLOCK)), "shingle", "rep", "component"
     )
     return (
         dealt.join(points, "rep")
         .select("task", "rep", "component", "block", "same", "n", "point")
         .repartition("task").sortWithinPartitions("task", "n", "rep")
-        .mapInArrow(_search(percent, likeliest), "a bigint, b bigint")
+        .mapInArrow(_candidates(percent), "a bigint, b bigint")
         .distinct()
     )
 
 
+def _links_in_clusters(
+    rows: DataFrame, candidates: DataFrame, known: DataFrame, points: DataFrame, percent: int
+) -> DataFrame:
+    """Pairs (a, b) that connect all links inside the clusters that candidates form.
+
+    Any pair that may be a link and is not known lies in one cluster, so each
+    set travels to that cluster only; to one task, or to one per other block.
+    """
+    clusters = components(candidates, "a", "b").select(
+        F.col("node").alias("rep"), F.col("component").alias("cluster")
+    )
+    members = stored(
+        clusters.join(points.select("rep", "n"), "rep").join(known, "rep", "left")
+        .select("rep", "cluster", "n", F.coalesce("component", "rep").alias("component")),
+        "clusters",
+    )
+    sizes = members.groupBy("cluster").agg(
+        F.count("*").alias("members"),
+        F.ceil(
+            F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+        ).alias("blocks"),
+    )
+    total = members.count()
+    members = stored(
+        join_counted(members, stored(sizes, "sizes"), "cluster", "members", total, "inner")
+        .select(F.col("rep").alias("doc_id"), "rep", "cluster", "component", "blocks"),
+        "members",
+    )
+    texts = rows.join(F.broadcast(members) if total <= BROADCAST_IDS else members, "doc_id")
+    sets = texts.select("rep", "cluster", "component", "blocks", "text").mapInArrow(
+        _sets_once, "rep bigint, cluster bigint, component bigint, blocks bigint, set binary"
+    )
+    return stored(
+        _dealt(sets, "cluster", "rep", "component", "set")
+        .repartition("task").sortWithinPartitions("task", "rep")
+        .mapInArrow(_linked(percent), "a bigint, b bigint"),
+        "linked",
+    )
+
+
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -672,45 +833,25 @@ def jaccard_components(
         .join(named, "doc_id").select("shingle", "rep").distinct(),
         "cells",
     )
-    # Then each document with its likeliest partner in two of its open routes.
-    # A group of copies of one text is joined here by way of that text.
-    homes = (
-        _open_cells(cells, known).groupBy("rep", "component")
-        .agg(F.array(F.min("shingle"), F.max("shingle")).alias("homes"))
-        .select("rep", "component", F.explode(F.array_distinct("homes")).alias("shingle"))
-    )
-    homes = stored(
-        homes.join(homes.groupBy("shingle").agg(F.count("*").alias("in_cell")), "shingle"), "homes"
-    )
-    likely = _found_in(homes, points, percent, likeliest=True)
-    likely = stored(likely.join(first, ["a", "b"], "left_anti"), "likely")
-    forest = known.filter("rep <> component").select(
-        F.col("rep").alias("a"), F.col("component").alias("b")
-    )
-    forest = forest.unionByName(_links(rows, likely, percent))
-    known = stored(
-        components(forest, "a", "b").select(F.col("node").alias("rep"), "component"), "known"
-    )
-
-    # What is open now is compared in full.
-    searched = _found_in(_open_cells(cells, known), points, percent)
+    # What is open now is compared in full, in the clusters that it forms.
     open_pairs = (
         pairs.join(known.select(F.col("rep").alias("a"), F.col("component").alias("of_a")), "a", "left")
         .join(known.select(F.col("rep").alias("b"), F.col("component").alias("of_b")), "b", "left")
         .filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
         .select("a", "b")
+        .join(first, ["a", "b"], "left_anti")
     )
-    tried = first.unionByName(likely)
-    more = stored(
-        searched.unionByName(open_pairs).distinct().join(tried, ["a", "b"], "left_anti"), "more"
-    )
-    if not more.isEmpty():
-        again = _links(rows, more, percent)
-        forest = known.filter("rep <> component").select(
+    connected = _connected(_open_cells(cells, known), points, percent)
+    candidates = stored(connected.unionByName(open_pairs), "candidates")
+    if not candidates.isEmpty():
+        again = _links_in_clusters(rows, candidates, known, points, percent)
+        links = known.filter("rep <> component").select(
             F.col("rep").alias("a"), F.col("component").alias("b")
         )
-        known = components(forest.unionByName(again), "a", "b").select(
-            F.col("node").alias("rep"), "component"
+        known = stored(
+            components(links.unionByName(again), "a", "b")
+            .select(F.col("node").alias("rep"), "component"),
+            "known",
         )
     reach = known.join(named.groupBy("rep").agg(F.count("*").alias("copies")), "rep")
     by_doc = (

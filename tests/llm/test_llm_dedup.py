@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from citespark.llm import exact_dedup, ngram_join
@@ -110,6 +112,85 @@ def test_small_blocks_and_boxes_change_no_result(spark, prose_rows, monkeypatch)
     assert sorted((tuple(r) for r in found), key=str) == components(prose_rows)
 
 
+def near_misses():
+    """Texts of one base with edits, so that many pairs lie on both sides of the threshold."""
+    draw = random.Random(31)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for number in range(70):
+        text = list(base)
+        for at in draw.sample(range(200), draw.choice([1, 2, 3, 5])):
+            text[at] = f"x{number}_{at}"
+        rows.append((number * 3, " ".join(text), "en", "s", 0))
+    # Far from the base, alike in pairs.
+    for number in range(20):
+        text = list(base)
+        for at in range(0, 200, 9):
+            text[at] = f"y{number // 2}_{at}"
+        rows.append((1_000 - number, " ".join([*text, f"z{number}"]), "en", "s", 0))
+    return rows
+
+
+def test_near_misses_of_one_text(spark, monkeypatch):
+    rows = near_misses()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, l string, s string, n int")
+    expected = components(rows)
+    assert len({c for _, _, c in expected}) > 10
+    for block, leaf in ((1_024, 16), (20, 4)):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "LEAF", leaf)
+        found = ngram_join.jaccard_components(docs).collect()
+        assert sorted((tuple(r) for r in found), key=str) == expected
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rows = near_misses()
+    again = [(rows[0][0], *rows[1][1:])] * 5 + rows
+    docs = spark.createDataFrame(again, "doc_id bigint, text string, l string, s string, n int")
+    found = ngram_join.jaccard_components(docs).collect()
+    assert len(found) == len(again)
+    assert {r.component_id for r in found if r.doc_id in (rows[0][0], rows[1][0])} == {0}
+
+
+def test_tree_finds_all_that_the_bound_allows():
+    draw = np.random.default_rng(5)
+    sets = [np.unique(draw.integers(0, 1 << 64, n, dtype=np.uint64)) for n in draw.integers(1, 900, 60)]
+    for _ in range(140):
+        near = sets[draw.integers(0, 60)]
+        near = near[draw.random(len(near)) < draw.choice([0.8, 0.9, 1.0])]
+        sets.append(near if len(near) else sets[0])
+    sizes = np.array([len(x) for x in sets])
+    component = draw.integers(0, 30, len(sets))
+    points = np.stack([ngram_join.group_counts(x) for x in sets])
+    for leaf in (2, 16, 300):
+        tree = ngram_join.CountTree(points, sizes, component, leaf)
+        q, r = tree.partners(points, sizes, component, 80)
+        i, j = np.nonzero(component[:, None] != component[None, :])
+        like = 100 * np.minimum(sizes[i], sizes[j]) >= 80 * np.maximum(sizes[i], sizes[j])
+        like &= ngram_join.allowed(points[i], sizes[i], points[j], sizes[j], 80)
+        assert set(zip(q, r)) == set(zip(i[like], j[like])) and like.sum() > 20
+
+
+def test_a_forest_connects_the_same():
+    draw = np.random.default_rng(6)
+    for nodes, edges in ((1, 0), (50, 20), (200, 150), (300, 5_000)):
+        i, j = draw.integers(0, nodes, (2, edges))
+        kept = ngram_join.forest(i, j, nodes)
+        def label(pairs):
+            name = list(range(nodes))
+            for _ in range(nodes):
+                before = list(name)
+                for a, b in pairs:
+                    name[a] = name[b] = min(name[a], name[b])
+                if name == before:
+                    return name
+            return name
+
+        every = label(list(zip(i.tolist(), j.tolist())))
+        assert label(list(zip(i[kept].tolist(), j[kept].tolist()))) == every
+        assert len(kept) == nodes - len(set(every))
+
+
 def test_jaccard_of_odd_rows(odd, odd_rows):
     found = ngram_join.jaccard_components(odd).collect()
     assert sorted((tuple(r) for r in found), key=str) == components(odd_rows)
