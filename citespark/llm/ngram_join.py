@@ -553,6 +553,8 @@ def _linked(percent: int):
 def verified(i, j, n, numbers: list[np.ndarray], flags: np.ndarray, percent: int):
     """The pairs of rows (i, j) whose sets are alike enough."""
     keep = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    if not keep.any():
+        return i[keep], j[keep]
     i, j = i[keep], j[keep]
     order = np.lexsort((j, i))
     i, j = i[order], j[order]

@@ -171,6 +171,20 @@ def test_tree_finds_all_that_the_bound_allows():
         assert set(zip(q, r)) == set(zip(i[like], j[like])) and like.sum() > 20
 
 
+def test_pairs_are_verified_on_their_sets():
+    sets = [np.arange(10), np.arange(9), np.arange(5, 15), np.arange(11)]
+    n = np.array([len(x) for x in sets])
+    flags = np.zeros(15, dtype=np.uint8)
+    i, j = ngram_join.verified(
+        np.array([3, 0, 0, 1]), np.array([0, 1, 2, 2]), n, sets, flags, 80
+    )
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 1), (3, 0)]
+    none = np.zeros(0, dtype=np.int64)
+    for i, j in ((none, none), (np.array([0]), np.array([2]))):
+        i, j = ngram_join.verified(i, j, n, sets, flags, 95)
+        assert len(i) == len(j) == 0
+
+
 def test_a_forest_connects_the_same():
     draw = np.random.default_rng(6)
     for nodes, edges in ((1, 0), (50, 20), (200, 150), (300, 5_000)):
