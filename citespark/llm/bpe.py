@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -18,6 +20,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from citespark.llm.staging import per_worker
 
 WORD_END = 256
 CACHED_PIECES = 400_000
@@ -337,10 +342,67 @@ def _split_pattern(spec: dict) -> str:
     raise ValueError("the tokenizer has no splitting pattern")
 
 
+#: The settings that this module implements; fixed values of the file format.
+NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+SPLITTERS = [
+    {"type": "Split", "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def check_settings(spec: dict) -> None:
+    """Refuse a tokenizer whose texts are not normalised, split and decoded as here."""
+    found = (spec["normalizer"] or {}).get("normalizers")
+    if found != NORMALIZERS:
+        raise ValueError(f"the tokenizer has another normaliser: {spec['normalizer']}")
+    found = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    found = [{k: v for k, v in part.items() if k != "pattern"} for part in found]
+    if found != SPLITTERS:
+        raise ValueError(f"the tokenizer splits otherwise: {spec['pre_tokenizer']}")
+    if spec["decoder"] is not None:
+        raise ValueError(f"the tokenizer has a decoder: {spec['decoder']}")
+
+
+def unlike(library: Tokenizer) -> re.Pattern:
+    """A character that Python's Unicode tables may treat unlike the library's.
+
+    Those that Python does not know, and marks and composed letters that the
+    library, of another Unicode version, orders or composes otherwise.
+    """
+    other = np.zeros(sys.maxunicode + 1, dtype=bool)
+    for code in range(len(other)):
+        c = chr(code)
+        if unicodedata.category(c) == "Cn":
+            other[code] = True
+        elif unicodedata.combining(c) or unicodedata.decomposition(c):
+            # Between marks of the lowest and the highest class, and taken apart.
+            probes = f"a{c}\u0334", f"a\u0345{c}", f"a\u0301{c}", unicodedata.normalize("NFD", c)
+            other[code] = any(
+                library.normalizer.normalize_str(probe)
+                != re.sub(r"\s+", " ", unicodedata.normalize("NFC", probe)).lower()
+                for probe in probes
+            )
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], other, [False]]).astype(np.int8)))
+    ranges = zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True)
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
 class TextBpe:
-    """Whole texts by way of their white-space pieces, each encoded once while cached."""
+    """Whole texts by way of their white-space pieces, each encoded once while cached.
+
+    Texts with characters of :func:`unlike` are normalised, and their pieces
+    split, by the library: its tables decide about case, letters and marks.
+    """
 
     def __init__(self, path: str, cached: int = CACHED_PIECES):
+        with open(path, encoding="utf-8") as file:
+            check_settings(json.load(file))
+        self.library = per_worker(("library", path), lambda: Tokenizer.from_file(path))
+        self.unlike = per_worker(("unlike", path), lambda: unlike(self.library))
         self.model = WordBpe(path)
         self.cached = cached
         self._forget()
@@ -361,6 +423,8 @@ class TextBpe:
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
+            if self.unlike.search(text):
+                return [p for p in self.library.normalizer.normalize_str(text).split(" ") if p]
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             # Letter by letter: no final form of sigma.
@@ -385,7 +449,11 @@ class TextBpe:
                 words.append(numbers.setdefault(piece, len(numbers)))
                 sizes.append(1)
             else:
-                found = self.model.words.findall(piece)
+                if piece.isascii() or not self.unlike.search(piece):
+                    found = self.model.words.findall(piece)
+                else:
+                    split = self.library.pre_tokenizer.pre_tokenize_str(piece)
+                    found = [piece[a:b] for _, (a, b) in split]
                 words += [numbers.setdefault(w, len(numbers)) for w in found]
                 sizes.append(len(found))
         tokens, ends = self.model.encode_words([w.encode() for w in numbers])
@@ -434,7 +502,8 @@ def bpe_round_trip(
     tokenizer library's without added special tokens; special tokens written in
     a text are found as such. ``decoded`` is the library's decoding: token
     names joined by a space. A null or empty text has no tokens and decodes to
-    an empty string. Null and repeated ids are rows like others, an empty table
+    an empty string. A file with other settings than those implemented here
+    (:func:`check_settings`) is refused. Null and repeated ids are rows like others, an empty table
     gives an empty result, other columns are ignored.
 
     ``tokenizer`` is the path of a tokenizer file on the executors. Rows stay

@@ -1,5 +1,7 @@
 import hashlib
+import json
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -43,6 +45,39 @@ def test_words_as_the_library_encodes_them():
         assert decoded == known.decode(wanted, skip_special_tokens=False)
 
 
+def test_all_kinds_of_characters_as_the_library_encodes_them():
+    # Marks, letters with another case or form, and code points without a character.
+    points = [
+        c for c in range(0x20000)
+        if unicodedata.combining(chr(c)) or unicodedata.decomposition(chr(c))
+        or chr(c).lower() != chr(c)
+        or unicodedata.category(chr(c)) == "Cn" and (c % 256 < 4 or c < 0x3000)
+    ]
+    texts = [f"aB{chr(c)}b e{chr(c)}\u0301 {chr(c)}" for c in points]
+    known, encoder = library(WORD), bpe.TextBpe(public.path(WORD))
+    found = encoder.encode(texts)
+    wanted = known.encode_batch(texts, add_special_tokens=False)
+    unlike = [
+        hex(c) for c, (ids, _), own in zip(points, found, wanted, strict=True)
+        if np.frombuffer(ids, "<u4").tolist() != own.ids
+    ]
+    assert len(points) > 7_000 and not unlike
+
+
+def test_other_settings_are_refused():
+    with open(public.path(WORD), encoding="utf-8") as file:
+        spec = json.load(file)
+    bpe.check_settings(spec)
+    for key, value in (
+        ("normalizer", None),
+        ("normalizer", {"type": "Sequence", "normalizers": bpe.NORMALIZERS[:2]}),
+        ("pre_tokenizer", {"type": "Sequence", "pretokenizers": []}),
+        ("decoder", {"type": "BPEDecoder", "suffix": "</w>"}),
+    ):
+        with pytest.raises(ValueError):
+            bpe.check_settings({**spec, key: value})
+
+
 def test_both_ways_of_merging_agree():
     model = bpe.WordBpe(public.path(WORD))
     draw = random.Random(5)
