@@ -38,6 +38,12 @@ from citespark.operators.encode import (  # noqa: E402
     pending_rows,
     tfidf_model,
 )
+from citespark.operators.lexical import (  # noqa: E402
+    LexicalIndex,
+    open_lexical_index,
+    write_lexical_index,
+)
+from citespark.operators.lexical import lexical_topk as search_words  # noqa: E402
 from citespark.operators.rerank import rerank, score_pairs  # noqa: E402
 from citespark.operators.stable import cut_lineage, shared_folder  # noqa: E402
 from citespark.plans import answering, compare, known_item  # noqa: E402
@@ -625,6 +631,31 @@ def ann_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.ranking_overlap(full, small, 10)
 
 
+def _lexical_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    folder = f"{_new_folder(spark)}/lexical"
+    write_lexical_index(_page_documents(spark, sf_dir), folder)
+    return open_lexical_index(spark, folder)
+
+
+def _lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = search_words(
+        _page_queries(spark, sf_dir), _lexical_index(spark, sf_dir), 10
+    )
+    return found
+
+
+def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's title against the words of all pages, by a stored index."""
+    return _ranking(_lexical_hits(spark, sf_dir))
+
+
+def known_item_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut_lineage(_lexical_hits(spark, sf_dir))
+    return evaluate.known_item_metrics(
+        evaluate.known_item_ranks(found, _page_relevance(spark, sf_dir))
+    )
+
+
 def compare_retrievers(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, stored = known_item.encoded_sides(
         _page_queries(spark, sf_dir), _page_documents(spark, sf_dir), make_encoder, TEXT_DIM
@@ -637,6 +668,7 @@ def compare_retrievers(spark: SparkSession, sf_dir: str) -> DataFrame:
         projection.folding(TEXT_DIM, SMALL_TEXT_DIM),
         CELLS,
         oracles.COMPARED_PROBES,
+        others={"lexical": _lexical_hits(spark, sf_dir)},
     )
 
 
@@ -1067,6 +1099,8 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     known_item_ranks,
     known_item_per_query,
     known_item_metrics,
+    lexical_topk,
+    known_item_lexical,
     ann_overlap,
     compare_retrievers,
     latency_summary,

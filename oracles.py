@@ -226,6 +226,30 @@ QUALITY = """
     round(avg(CASE WHEN rank BETWEEN 1 AND 10 THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END), 6)
         AS ndcg_at_10"""
 
+LEXICAL = f"""
+    split_pages AS (SELECT id, {words("text")} AS ws FROM page_documents),
+    pages_held AS (SELECT count(*)::DOUBLE AS n, avg(len(ws)) AS mean FROM split_pages),
+    counted_words AS (
+        SELECT id, word, size, count(*) AS tf
+        FROM (SELECT id, unnest(ws) AS word, len(ws) AS size FROM split_pages)
+        GROUP BY id, word, size),
+    holders AS (SELECT word, count(*)::DOUBLE AS df FROM counted_words GROUP BY word),
+    impacts AS (
+        SELECT id, word, floor(
+            ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE
+            / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)) * 1000000
+        )::BIGINT AS impact
+        FROM counted_words JOIN holders USING (word) CROSS JOIN pages_held),
+    asked_words AS (
+        SELECT id AS query_id, unnest({word_set("text")}) AS word FROM page_queries),
+    {best_k(
+        "lexical_hits",
+        """SELECT query_id, id AS doc_id, sum(impact)::DOUBLE / 1000000 AS score
+           FROM asked_words JOIN impacts USING (word)
+           GROUP BY query_id, id HAVING sum(impact) > 0""",
+        10,
+    )}"""
+
 LABELLED = "labelled AS (SELECT quality, n_chars FROM labels JOIN documents USING (doc_id))"
 
 QUESTION_SET = f"""
@@ -556,7 +580,7 @@ def _evaluation_sql() -> dict[str, str]:
     ] + [
         (f"cells_probe_{n}", f"hits_{n}", "small_hits", SMALL_TEXT_DIM)
         for n in COMPARED_PROBES
-    ]
+    ] + [("lexical", "lexical_hits", "hits", "NULL::DOUBLE")]
     probed = ", ".join(
         cell_topk(f"hits_{n}", "c", "sq", "sd", n, 10) for n in COMPARED_PROBES
     )
@@ -601,7 +625,12 @@ def _evaluation_sql() -> dict[str, str]:
         "compare_retrievers": f"""WITH {PAGES}, {fold("sq", "pq", TEXT_DIM, SMALL_TEXT_DIM)},
             {fold("sd", "pd", TEXT_DIM, SMALL_TEXT_DIM)}, {topk("hits", "pq", "pd", 10)},
             {topk("small_hits", "sq", "sd", 10)}, {cells("c", "sd")},
-            {query_cells("c", "sq")}, {probed} {rows}""",
+            {query_cells("c", "sq")}, {probed}, {LEXICAL} {rows}""",
+        "lexical_topk": f"""WITH {PAGES}, {LEXICAL}
+            SELECT query_id, rank, doc_id, round(score, 6) AS score FROM lexical_hits""",
+        "known_item_lexical": f"""WITH {PAGES}, {LEXICAL} SELECT {QUALITY} FROM (
+            SELECT p.id, coalesce((SELECT min(rank) FROM lexical_hits h
+                WHERE h.query_id = p.id AND h.doc_id = p.id), 0) AS rank FROM page_queries p)""",
         "metrics_csv": LATENCY,
         "stage_latency": """SELECT stage, count(ms) AS n, round(avg(ms), 3) AS mean,
             round(quantile_cont(ms, 0.5), 3) AS p50, round(quantile_cont(ms, 0.95), 3) AS p95
