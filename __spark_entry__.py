@@ -656,7 +656,9 @@ def known_item_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def compare_retrievers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _comparison(
+    spark: SparkSession, sf_dir: str, others: dict[str, DataFrame] | None = None
+) -> DataFrame:
     asked, stored = known_item.encoded_sides(
         _page_queries(spark, sf_dir), _page_documents(spark, sf_dir), make_encoder, TEXT_DIM
     )
@@ -668,10 +670,19 @@ def compare_retrievers(spark: SparkSession, sf_dir: str) -> DataFrame:
         projection.folding(TEXT_DIM, SMALL_TEXT_DIM),
         CELLS,
         oracles.COMPARED_PROBES,
-        others={"lexical": _lexical_hits(spark, sf_dir)},
+        others=others,
     )
 
 
+def compare_retrievers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _comparison(spark, sf_dir)
+
+
+def compare_with_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same comparison with a row for the lexical search."""
+    return _comparison(spark, sf_dir, {"lexical": _lexical_hits(spark, sf_dir)})
+
+
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.quantile_summary(
         _table(spark, sf_dir, "events"), "value", by=("event_type",), decimals=6
@@ -1103,6 +1114,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     known_item_lexical,
     ann_overlap,
     compare_retrievers,
+    compare_with_lexical,
     latency_summary,
     metrics_csv,
     stage_latency,

@@ -580,11 +580,12 @@ def _evaluation_sql() -> dict[str, str]:
     ] + [
         (f"cells_probe_{n}", f"hits_{n}", "small_hits", SMALL_TEXT_DIM)
         for n in COMPARED_PROBES
-    ] + [("lexical", "lexical_hits", "hits", "NULL::DOUBLE")]
+    ]
+    lexical = ("lexical", "lexical_hits", "hits", "NULL::DOUBLE")
     probed = ", ".join(
         cell_topk(f"hits_{n}", "c", "sq", "sd", n, 10) for n in COMPARED_PROBES
     )
-    rows = " UNION ALL ".join(
+    *rows, lexical_row = [
         f"""SELECT '{name}' AS system, {QUALITY}, {
             f'''(SELECT round(avg(shared / 10.0::DOUBLE), 6) FROM (
                 SELECT (SELECT count(*) FROM {base} a JOIN {hits} b USING (query_id, doc_id)
@@ -601,8 +602,13 @@ def _evaluation_sql() -> dict[str, str]:
         round((SELECT count(*) FROM pages) * {dim} * 4 / (1024.0::DOUBLE * 1024.0), 2) AS size_mib
         FROM (SELECT p.id, coalesce((SELECT min(rank) FROM {hits} h
               WHERE h.query_id = p.id AND h.doc_id = p.id), 0) AS rank FROM page_queries p)"""
-        for name, hits, base, dim in systems
-    )
+        for name, hits, base, dim in [*systems, lexical]
+    ]
+    compared = f"""WITH {PAGES}, {fold("sq", "pq", TEXT_DIM, SMALL_TEXT_DIM)},
+        {fold("sd", "pd", TEXT_DIM, SMALL_TEXT_DIM)}, {topk("hits", "pq", "pd", 10)},
+        {topk("small_hits", "sq", "sd", 10)}, {cells("c", "sd")},
+        {query_cells("c", "sq")}, {probed}"""
+    vector_rows = " UNION ALL ".join(rows)
     return {
         "known_item_ranks": f"""WITH {KNOWN_ITEM}
             SELECT query_id, query, relevant_doc_id, rank FROM ranks""",
@@ -622,10 +628,8 @@ def _evaluation_sql() -> dict[str, str]:
                    true AS complete
             FROM (SELECT v.id, (SELECT count(*) FROM a JOIN b USING (query_id, doc_id)
                                 WHERE a.query_id = v.id) AS shared FROM v)""",
-        "compare_retrievers": f"""WITH {PAGES}, {fold("sq", "pq", TEXT_DIM, SMALL_TEXT_DIM)},
-            {fold("sd", "pd", TEXT_DIM, SMALL_TEXT_DIM)}, {topk("hits", "pq", "pd", 10)},
-            {topk("small_hits", "sq", "sd", 10)}, {cells("c", "sd")},
-            {query_cells("c", "sq")}, {probed}, {LEXICAL} {rows}""",
+        "compare_retrievers": f"{compared} {vector_rows}",
+        "compare_with_lexical": f"{compared}, {LEXICAL} {vector_rows} UNION ALL {lexical_row}",
         "lexical_topk": f"""WITH {PAGES}, {LEXICAL}
             SELECT query_id, rank, doc_id, round(score, 6) AS score FROM lexical_hits""",
         "known_item_lexical": f"""WITH {PAGES}, {LEXICAL} SELECT {QUALITY} FROM (
