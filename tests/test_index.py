@@ -187,3 +187,23 @@ def test_snapshot_is_whole_after_a_stop_at_any_step(spark, tmp_path, monkeypatch
     assert snapshot.current(spark, path)[1] == {}
     assert snapshot.drop_old(spark, path) == 3
     assert snapshot.read_snapshot(spark, path).count() == 7
+
+
+def test_no_shortlist_passes_through_the_driver(spark, tmp_path, monkeypatch):
+    documents = clusters(300, 16)
+    docs, queries = table(spark, documents), table(spark, documents[:40], "query_id")
+    index = quantized.write_index(docs, str(tmp_path / "index"), cells=7, pieces=4)
+    collect, collected = type(docs).toArrow, []
+
+    def recorded(frame):
+        collected.append(collect(frame))
+        return collected[-1]
+
+    monkeypatch.setattr(type(docs), "toArrow", recorded)
+    want = rankings(search.exact_topk(queries, docs, 5, 16))
+    for probes, shortlist in ((7, 60), (7, 40), (4, 12)):
+        collected.clear()
+        found = rankings(quantized.quantized_topk(queries, index, 5, probes, shortlist))
+        assert max(t.num_rows for t in collected) <= 40
+        assert len(found) == len(want)
+        assert probes < 7 or found == want

@@ -217,3 +217,17 @@ def test_normalize_and_report(spark):
     report = vector_report(bad, 2).first()
     assert (report.n_vectors, report.n_wrong_dimension, report.n_not_finite, report.n_not_unit) == (
         5, 1, 1, 2)
+
+
+def test_a_task_keeps_few_of_its_candidates():
+    rng = np.random.default_rng(4)
+    queries, documents = unit(rng.standard_normal((4_000, 16))), unit(rng.standard_normal((3_000, 16)))
+    best = search._BestK(np.arange(4_000), queries, 40)
+    most = 0
+    for at in range(0, 3_000, 100):
+        best.add(np.arange(at, at + 100), documents[at : at + 100], np.arange(4_000))
+        most = max(most, best.n_waiting)
+    assert most <= 4_000 * 40
+    rows, docs, _ = best.result()
+    want = np.argsort(-(queries[7] @ documents.T), kind="stable")[:40]
+    assert set(docs[rows == 7]) == set(want)
