@@ -29,6 +29,8 @@ from citespark.operators.stable import require_columns
 BROADCAST_BYTES = 64 * 1024 * 1024
 QUERY_PART_ROWS = 16_384
 DOCUMENT_PART_ROWS = 65_536
+# Parts of a cell and side while they stay below the rows above; larger cells have larger parts.
+MOST_PARTS = 16
 # Documents of a part that are checked and scored at once.
 SLICE_ROWS = 8_192
 TILE_VALUES = 1 << 22
@@ -221,10 +223,17 @@ def _on_grid(
     # One row per cell; the number of cells is a setting, not a data size.
     q_count = probes.groupBy("_cell").agg(F.count("*").alias("_nq"))
     d_count = documents.groupBy("_cell").agg(F.count("*").alias("_nd"))
+
+    def parts(n: str, rows: int, most_rows: int):
+        # Rows are copied once per part of the other side: many small parts are many copies.
+        wanted = F.ceil(F.col(n) / rows)
+        allowed = F.greatest(F.lit(MOST_PARTS), F.ceil(F.col(n) / most_rows))
+        return F.least(wanted, allowed).cast("int")
+
     grid = q_count.join(d_count, "_cell").select(
         "_cell",
-        F.ceil(F.col("_nq") / query_part_rows).cast("int").alias("_q_parts"),
-        F.ceil(F.col("_nd") / document_part_rows).cast("int").alias("_d_parts"),
+        parts("_nq", query_part_rows, QUERY_PART_ROWS).alias("_q_parts"),
+        parts("_nd", document_part_rows, DOCUMENT_PART_ROWS).alias("_d_parts"),
     )
 
     def spread(df: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
@@ -292,6 +301,8 @@ def topk_in_cells(
     numbers, ``documents`` the number ``_cell``. A query whose cells hold fewer
     than k documents gets fewer rows. What a broadcast would carry is counted
     with its cell lists, the index over them and the best that a task keeps.
+    ``query_part_rows`` and ``document_part_rows`` hold up to MOST_PARTS parts; a
+    larger cell has larger parts, up to the default rows.
     """
     if k <= 0:
         raise ValueError("k must be positive")

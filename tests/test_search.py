@@ -219,6 +219,21 @@ def test_normalize_and_report(spark):
         5, 1, 1, 2)
 
 
+def test_grid_of_a_large_cell_has_few_parts(spark):
+    rng = np.random.default_rng(3)
+    documents = unit(rng.standard_normal((400, 8)))
+    docs = table(spark, documents).withColumn("_cell", F.lit(0))
+    asked = table(spark, documents[:90], "query_id").withColumn("_cells", F.array(F.lit(0)))
+    partial = search._on_grid(asked, docs, 1, 8, 2, 2)
+    # One row per query and document part; 200 parts of two rows would be 200 copies of a query.
+    assert partial.count() <= 90 * search.MOST_PARTS
+    found = search.topk_in_cells(
+        asked, docs, 3, 8, broadcast_bytes=0, query_part_rows=2, document_part_rows=2
+    )
+    want = search.topk_in_cells(asked, docs, 3, 8)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_a_task_keeps_few_of_its_candidates():
     rng = np.random.default_rng(4)
     queries, documents = unit(rng.standard_normal((4_000, 16))), unit(rng.standard_normal((3_000, 16)))
