@@ -21,7 +21,7 @@ from citespark.functions.vectors import as_matrix
 from citespark.operators.sampling import DEFAULT_SEED, sample_by_key
 from citespark.operators.search import (
     BROADCAST_BYTES,
-    CELL_BYTES,
+    KEPT_BYTES,
     PARTIAL_SCHEMA,
     _batch,
     _BestK,
@@ -75,6 +75,28 @@ class SignTables:
             found.append(own ^ (best & ((1 << bits) - 1)))
         return np.concatenate(found)
 
+    def probed_bits(self, vectors: np.ndarray, count: int) -> np.ndarray:
+        """The buckets of :meth:`order` as bits of each vector, the lowest first."""
+        tables, bits, dimension = self.planes.shape
+        flips = np.arange(1 << bits)
+        flipped = (flips[:, None] >> np.arange(bits) & 1).astype(np.float64)
+        found = [np.empty((0, -(-self.buckets // 8)), dtype=np.uint8)]
+        height = max(1, SORTED_VALUES // self.buckets)
+        for at in range(0, len(vectors), height):
+            part = vectors[at : at + height].astype(np.float64)
+            margins = (part @ self.planes.reshape(-1, dimension).T) ** 2
+            costs = (margins.reshape(-1, tables, bits) @ flipped.T).reshape(len(part), -1)
+            last = np.partition(costs, count - 1, axis=1)[:, count - 1 : count]
+            first, ties = costs < last, costs == last
+            # Ties at the edge go to the lower number, as in a stable sort.
+            left = count - first.sum(axis=1, keepdims=True)
+            first |= ties & (np.cumsum(ties, axis=1) <= left)
+            own = self.codes(part) & ((1 << bits) - 1)
+            by_flip = first.reshape(len(part), tables, -1)
+            mask = np.take_along_axis(by_flip, own[:, :, None] ^ flips, axis=2)
+            found.append(np.packbits(mask.reshape(len(part), -1), axis=1, bitorder="little"))
+        return np.concatenate(found)
+
 
 def sign_tables(
     tables: int, bits: int, dimension: int, probes: int, seed: int = DEFAULT_SEED
@@ -160,6 +182,17 @@ def _bucket_column(plan: SignTables, dimension: int, count: int | None):
     return run_once(buckets)
 
 
+def _bits_column(plan: SignTables, dimension: int):
+    """Arrow UDF: the buckets that a query probes, as bits."""
+
+    @F.arrow_udf("binary")
+    def probed(vectors: pa.Array) -> pa.Array:
+        found = plan.probed_bits(as_matrix(vectors, dimension), plan.probes)
+        return pa.array([b.tobytes() for b in found], pa.binary())
+
+    return run_once(probed)
+
+
 def lsh_tables_topk(
     queries: DataFrame,
     documents: DataFrame,
@@ -169,54 +202,79 @@ def lsh_tables_topk(
 ) -> DataFrame:
     """Best k documents per query among those in one of its probed buckets.
 
-    Documents stream past the broadcast queries; a document that shares several
-    buckets with a query counts once. Queries are counted; with their buckets at
-    most ``broadcast_bytes`` are in use at once, more are searched in parts. All
-    buckets give the exact result. Document ids must be unique.
+    Documents are laid out by bucket, once per table, and stream past the
+    broadcast queries; a document that shares several buckets with a query counts
+    once. Queries are counted; with the bits of their buckets and the best that a
+    task keeps at most ``broadcast_bytes`` are in use at once, more are searched
+    in parts. All buckets give the exact result. Document ids must be unique.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     dimension = plan.planes.shape[2]
     asked = check_unit_vectors(queries.select("query_id", "embedding"), dimension)
-    size = dimension * 4 + plan.probes * CELL_BYTES
+    asked = asked.withColumn("_probed", _bits_column(plan, dimension)("embedding"))
+    size = dimension * 4 + -(-plan.buckets // 8) + k * KEPT_BYTES
     parts = max(1, -(-queries.count() * size // broadcast_bytes))
+    placed = _by_bucket(documents, plan)
+    if parts > 1:
+        placed = cut_lineage(placed)
     found = None
     for part in range(parts):
         mine = asked
         if parts > 1:
             mine = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        exact = best_per_query(_streamed(mine.toArrow(), documents, plan, k), k)
+        exact = best_per_query(_streamed(mine.toArrow(), placed, plan, k), k)
         found = exact if found is None else found.unionByName(exact)
     return found
 
 
-def _streamed(held: pa.Table, documents: DataFrame, plan: SignTables, k: int) -> DataFrame:
+def _by_bucket(documents: DataFrame, plan: SignTables) -> DataFrame:
+    """(_bucket, doc_id, embedding), a row per table, a bucket's rows together.
+
+    Ranges of (bucket, document) split a bucket that holds a large share of all rows.
+    """
+    own = _bucket_column(plan, plan.planes.shape[2], None)("embedding")
+    rows = documents.select(F.col("doc_id").cast("bigint"), "embedding")
+    return (
+        rows.select(F.explode(own).alias("_bucket"), "doc_id", "embedding")
+        .repartitionByRange("_bucket", "doc_id")
+        .sortWithinPartitions("_bucket")
+    )
+
+
+def _streamed(held: pa.Table, placed: DataFrame, plan: SignTables, k: int) -> DataFrame:
     dimension = plan.planes.shape[2]
-    matrix = as_matrix(held.column("embedding"), dimension)
-    probed = plan.order(matrix, plan.probes)
-    owner = np.repeat(np.arange(len(matrix)), plan.probes)
-    order = np.argsort(probed, axis=None, kind="stable")
-    shared = documents.sparkSession.sparkContext.broadcast(
-        (held.column("query_id").to_numpy(), matrix, probed.ravel()[order], owner[order])
+    bits = np.frombuffer(b"".join(held.column("_probed").to_pylist()), dtype=np.uint8)
+    shared = placed.sparkSession.sparkContext.broadcast(
+        (
+            held.column("query_id").to_numpy(),
+            as_matrix(held.column("embedding"), dimension),
+            bits.reshape(held.num_rows, -(-plan.buckets // 8)),
+        )
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix, buckets, rows = shared.value
-        best = _DistinctBestK(names, matrix, k)
+        names, matrix, probed = shared.value
+        best = _DistinctBestK(np.arange(len(names)), matrix, k)
         for batch in batches:
-            docs = batch.column(0).to_numpy()
-            vectors = as_matrix(batch.column(1), dimension, unit=True)
-            for own in plan.codes(vectors).T:
-                by_bucket = np.argsort(own, kind="stable")
-                found, starts = np.unique(own[by_bucket], return_index=True)
-                low, high = np.searchsorted(buckets, found), np.searchsorted(buckets, found, "right")
-                for i, here in enumerate(np.split(by_bucket, starts[1:])):
-                    if high[i] > low[i]:
-                        best.add(docs[here], vectors[here], rows[low[i] : high[i]])
-        yield _batch(*best.result())
-
-    wanted = documents.select(F.col("doc_id").cast("bigint"), "embedding")
-    return wanted.mapInArrow(score, PARTIAL_SCHEMA)
+            docs = batch.column(1).to_numpy()
+            vectors = as_matrix(batch.column(2), dimension, unit=True)
+            own = batch.column(0).to_numpy()
+            by_bucket = np.argsort(own, kind="stable")
+            found, starts = np.unique(own[by_bucket], return_index=True)
+            for bucket, here in zip(found.tolist(), np.split(by_bucket, starts[1:])):
+                rows = np.flatnonzero(probed[:, bucket >> 3] >> (bucket & 7) & 1)
+                if len(rows):
+                    best.add(docs[here], vectors[here], rows)
+        rows, docs, scores = best.result()
+        yield _batch(names[rows], docs, scores).append_column("_row", pa.array(rows, pa.int64()))
+
+    wanted = placed.select("_bucket", "doc_id", "embedding")
+    partial = wanted.mapInArrow(score, f"{PARTIAL_SCHEMA}, _row bigint")
+    if len(plan.planes) > 1:
+        # The buckets of a document lie in different tasks.
+        partial = partial.dropDuplicates(["_row", "doc_id"])
+    return partial.drop("_row")
 
 
 def rows_read(queries: DataFrame, documents: DataFrame, plan: SignTables) -> DataFrame:

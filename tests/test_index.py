@@ -207,3 +207,25 @@ def test_no_shortlist_passes_through_the_driver(spark, tmp_path, monkeypatch):
         assert max(t.num_rows for t in collected) <= 40
         assert len(found) == len(want)
         assert probes < 7 or found == want
+
+
+def test_buckets_of_documents_lie_together(spark):
+    documents = clusters(600, 16)
+    docs, queries = table(spark, documents), table(spark, documents[:50], "query_id")
+    plan = lsh.sign_tables(3, 4, 16, probes=5)
+    # The bits of a query are the buckets of the order, ties included.
+    assert all(
+        set(np.flatnonzero(np.unpackbits(bits, bitorder="little"))) == set(order)
+        for bits, order in zip(plan.probed_bits(documents, 5), plan.order(documents, 5))
+    )
+    rows = lsh._by_bucket(docs, plan).withColumn("task", F.spark_partition_id())
+    spread = rows.groupBy("_bucket").agg(F.countDistinct("task").alias("n")).toPandas()
+    assert spread.n.mean() < 2 and rows.count() == 3 * 600
+    for settings in ({}, {"broadcast_bytes": 5_000}):
+        found = lsh.lsh_tables_topk(queries, docs, plan, 5, **settings).toPandas()
+        own = plan.codes(documents)
+        for q in range(50):
+            probed = np.isin(own, plan.order(documents[q : q + 1], 5)[0]).any(axis=1)
+            scores = np.round(documents.astype(float) @ documents[q].astype(float), 9)
+            want = sorted(np.flatnonzero(probed), key=lambda d: (-scores[d], d))[:5]
+            assert list(found[found.query_id == q].sort_values("rank").doc_id) == want
