@@ -1,11 +1,13 @@
 import html
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from citespark.functions import text as tx
 from citespark.functions.citations import citation_coverage, citation_validity, needs_fallback
 from citespark.functions.scoring import final_score, shared_word_score
+from citespark.operators.encode import HashedWordEncoder
 
 
 def one(spark, value, expression, kind="string"):
@@ -102,3 +104,30 @@ def test_final_score_of_odd_values(spark):
     )
     found = [r.f for r in rows.select(final_score(F.col("s"), F.col("a")).alias("f")).collect()]
     assert found == [1.0, 1.0, None]
+
+
+def test_entities_are_decoded_a_few_texts_at_a_time():
+    class Batch:
+        """An Arrow array that must not become Python strings as a whole."""
+
+        def __init__(self, rows):
+            self.rows, self.slices = pa.array(rows, pa.string()), []
+
+        def __len__(self):
+            return len(self.rows)
+
+        def slice(self, at, size):
+            self.slices.append(size)
+            return self.rows.slice(at, size)
+
+    batch = Batch([None] * 300 + ["a &amp; b", None] * 400)
+    found = tx._decode_entities.func(batch)
+    assert found.to_pylist() == [None] * 300 + ["a & b", None] * 400
+    assert max(batch.slices) <= 256
+
+
+def test_an_encoder_remembers_a_bounded_number_of_words():
+    encoder = HashedWordEncoder(16)
+    for at in range(0, 200_000, 1_000):
+        encoder.slots(" ".join(f"w{i}" for i in range(at, at + 1_000)))
+    assert len(encoder._known) <= 140_000
