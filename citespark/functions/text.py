@@ -25,11 +25,21 @@ def strip_html(text: Column) -> Column:
     return F.trim(F.regexp_replace(without_tags, r"\s+", " "))
 
 
+# Texts of an Arrow batch that are Python strings at once.
+SLICE_ROWS = 256
+
+
 @F.arrow_udf(T.StringType())
 def _decode_entities(text: pa.Array) -> pa.Array:
-    return pa.array(
-        [None if t is None else html.unescape(t) for t in text.to_pylist()], pa.string()
-    )
+    parts = [pa.array([], pa.string())]
+    for at in range(0, len(text), SLICE_ROWS):
+        part = text.slice(at, SLICE_ROWS)
+        if part.null_count == len(part):
+            parts.append(pa.nulls(len(part), pa.string()))
+        else:
+            found = [None if t is None else html.unescape(t) for t in part.to_pylist()]
+            parts.append(pa.array(found, pa.string()))
+    return pa.concat_arrays(parts)
 
 
 def squeeze_space(text: Column) -> Column:
