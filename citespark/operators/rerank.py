@@ -95,10 +95,10 @@ def model_score(
     def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         scorer = make_scorer()
         for queries, documents in batches:
-            pairs = list(zip(queries.to_pylist(), documents.to_pylist()))
             scores: list[float] = []
-            for start in range(0, len(pairs), batch_size):
-                part = pairs[start : start + batch_size]
+            for start in range(0, len(queries), batch_size):
+                sides = (queries, documents)
+                part = list(zip(*(side.slice(start, batch_size).to_pylist() for side in sides)))
                 found = np.asarray(scorer(part), dtype=np.float64).ravel()
                 if len(found) != len(part):
                     raise ValueError(f"{len(part)} pairs got {len(found)} scores")
