@@ -22,12 +22,17 @@ from citespark.operators.sampling import DEFAULT_SEED, sample_by_key
 from citespark.operators.search import (
     BROADCAST_BYTES,
     KEPT_BYTES,
+    MARGIN,
     PARTIAL_SCHEMA,
+    SCORE_DECIMALS,
+    WHOLE_PART_ROWS,
     _batch,
     _BestK,
     best_per_query,
     check_unit_vectors,
     exact_topk,
+    over_query_parts,
+    whole_parts,
 )
 from citespark.operators.stable import cut_lineage, run_once
 
@@ -36,8 +41,13 @@ MOST_TABLES = 16
 #: Documents that a bucket should hold.
 BUCKET_ROWS = 64
 TUNING_QUERIES = 256
+#: Share of the documents in a query's probed buckets, counted once per table, from which all are
+#: scored. Scoring a pair takes about a sixteenth of offering it once per bucket.
+DENSE_SHARE = 1 / 16
 #: Values of the score matrix of all buckets that are sorted at once.
 SORTED_VALUES = 1 << 22
+#: Values that one edge is looked for among at once: they stay in the cache of a core.
+EDGE_VALUES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -75,6 +85,33 @@ class SignTables:
             found.append(own ^ (best & ((1 << bits) - 1)))
         return np.concatenate(found)
 
+    def margins(self, vectors: np.ndarray) -> np.ndarray:
+        """Squared distances of each vector to the hyperplanes, by table and bit."""
+        tables, bits, dimension = self.planes.shape
+        far = vectors.astype(np.float64) @ self.planes.reshape(-1, dimension).T
+        return (far * far).reshape(-1, tables, bits)
+
+    def edges(self, margins: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of margins of each vector's ``count``-th bucket, and its place among all flips."""
+        tables, bits, _ = self.planes.shape
+        cuts, lasts = np.empty(len(margins)), np.empty(len(margins), dtype=np.int64)
+        height = max(1, EDGE_VALUES // self.buckets)
+        for at in range(0, len(margins), height):
+            part = margins[at : at + height]
+            costs = np.zeros((len(part), tables, 1))
+            for bit in range(bits):
+                costs = np.concatenate([costs, costs + part[:, :, bit, None]], axis=2)
+            costs = costs.reshape(len(part), -1)
+            cut = np.partition(costs, count - 1, axis=1)[:, count - 1 : count]
+            ties = costs == cut
+            last = np.argmax(ties, axis=1)
+            for row in np.flatnonzero(ties.sum(axis=1) > 1):
+                # Ties at the edge go to the lower number, as in a stable sort.
+                left = count - np.count_nonzero(costs[row] < cut[row])
+                last[row] = np.flatnonzero(ties[row])[left - 1]
+            cuts[at : at + height], lasts[at : at + height] = cut[:, 0], last
+        return cuts, lasts
+
     def probed_bits(self, vectors: np.ndarray, count: int) -> np.ndarray:
         """The buckets of :meth:`order` as bits of each vector, the lowest first."""
         tables, bits, dimension = self.planes.shape
@@ -167,6 +204,67 @@ class _DistinctBestK(_BestK):
         super()._merge()
 
 
+class _ProbedBestK(_DistinctBestK):
+    """Best k of the documents that share a probed bucket with their query.
+
+    All pairs are scored; whether a bucket is shared is asked only of those that
+    would be among the best. A shared bucket is a flip of the query's code whose
+    margins, added from the lowest bit on, do not pass the edge of the probes.
+    """
+
+    def __init__(self, names: np.ndarray, matrix: np.ndarray, k: int, plan: SignTables) -> None:
+        super().__init__(names, matrix, k)
+        self.plan = plan
+        self.margins = plan.margins(matrix)
+        self.cut, self.last = plan.edges(self.margins, plan.probes)
+        self.own = plan.codes(matrix)
+        self.theirs = self.own[:0]
+
+    def add(self, doc_ids: np.ndarray, documents: np.ndarray, rows: np.ndarray) -> None:
+        for at in range(0, len(doc_ids), 4096):
+            part = documents[at : at + 4096]
+            self.theirs = self.plan.codes(part)
+            super().add(doc_ids[at : at + 4096], part, rows)
+
+    def _shared(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether queries numbered ``rows`` probe a bucket of the documents ``at`` of the tile."""
+        tables, bits, _ = self.plan.planes.shape
+        shared = np.empty(len(rows), dtype=bool)
+        for low in range(0, len(rows), 8192):
+            mine, there = rows[low : low + 8192], at[low : low + 8192]
+            # Numbers of a table differ in their bits alone.
+            flips = self.own[mine] ^ self.theirs[there]
+            margins, cost = self.margins[mine], np.zeros(flips.shape)
+            for bit in range(bits):
+                cost += margins[:, :, bit] * (flips >> bit & 1)
+            place, cut = flips + (np.arange(tables) << bits), self.cut[mine, None]
+            reached = (cost < cut) | ((cost == cut) & (place <= self.last[mine, None]))
+            shared[low : low + 8192] = reached.any(axis=1)
+        return shared
+
+    def _candidates(
+        self, rows: np.ndarray, doc_ids: np.ndarray, documents: np.ndarray, error: float
+    ):
+        scores = self.queries[rows] @ documents.T
+        floor, width = self.floor[rows], len(doc_ids)
+        unset = np.flatnonzero(np.isneginf(floor))
+        # The first floor is that of the k-th of the likeliest documents that share a bucket.
+        first = min(width, 4 * self.k + 24)
+        if len(unset) and first >= self.k:
+            at = np.argpartition(scores[unset], width - first, axis=1)[:, width - first :]
+            mine = np.repeat(rows[unset], first)
+            shared = self._shared(mine, at.ravel()).reshape(at.shape)
+            best = np.where(shared, np.take_along_axis(scores[unset], at, axis=1), -np.inf)
+            kth = np.partition(best, first - self.k, axis=1)[:, first - self.k].astype(np.float64)
+            floor[unset] = np.round(kth - error, SCORE_DECIMALS) - MARGIN
+            self.floor[rows] = floor
+        likely = np.flatnonzero(scores >= (floor - error).astype(np.float32)[:, None])
+        at_row, at_doc = np.divmod(likely, width)
+        kept = self._shared(rows[at_row], at_doc)
+        at_row, at_doc = at_row[kept], at_doc[kept]
+        return self._rated(rows[at_row], doc_ids[at_doc], documents, at_doc)
+
+
 def _bucket_column(plan: SignTables, dimension: int, count: int | None):
     """Arrow UDF: a vector's own buckets, or the first ``count`` that a query probes."""
 
@@ -206,15 +304,21 @@ def lsh_tables_topk(
     broadcast queries; a document that shares several buckets with a query counts
     once. Queries are counted; with the bits of their buckets and the best that a
     task keeps at most ``broadcast_bytes`` are in use at once, more are searched
-    in parts. All buckets give the exact result. Document ids must be unique.
+    in parts. If the probed buckets hold DENSE_SHARE of the documents or more, all
+    tables counted, parts meet each document once, in a task of their own, and the
+    buckets of a pair are compared when its score is among the best. All buckets
+    give the exact result. Document ids must be unique.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     dimension = plan.planes.shape[2]
     asked = check_unit_vectors(queries.select("query_id", "embedding"), dimension)
-    asked = asked.withColumn("_probed", _bits_column(plan, dimension)("embedding"))
     size = dimension * 4 + -(-plan.buckets // 8) + k * KEPT_BYTES
-    parts = max(1, -(-queries.count() * size // broadcast_bytes))
+    n_queries = queries.count()
+    parts = max(1, -(-n_queries * size // broadcast_bytes))
+    if parts > 1 and plan.probes >= DENSE_SHARE * (1 << plan.planes.shape[1]):
+        return best_per_query(_in_parts(asked, n_queries, documents, plan, k), k)
+    asked = asked.withColumn("_probed", _bits_column(plan, dimension)("embedding"))
     placed = _by_bucket(documents, plan)
     if parts > 1:
         placed = cut_lineage(placed)
@@ -228,6 +332,38 @@ def lsh_tables_topk(
     return found
 
 
+def _in_parts(
+    asked: DataFrame, n_queries: int, documents: DataFrame, plan: SignTables, k: int
+) -> DataFrame:
+    """Best k of each query, a part of the queries against all documents in a task."""
+    dimension = plan.planes.shape[2]
+
+    def score(batches: Iterator[tuple[int, pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+        # Queries come first. Copies: a batch is not kept.
+        asked, best = [], None
+        for side, batch in batches:
+            ids = batch.column("_id").to_numpy(zero_copy_only=False)
+            vectors = as_matrix(batch.column("embedding"), dimension, unit=side == 1)
+            if side == 0:
+                asked.append((ids.copy(), vectors.copy()))
+            elif asked:
+                if best is None:
+                    best = _ProbedBestK(*(np.concatenate(x) for x in zip(*asked)), k, plan)
+                best.add(ids, vectors, np.arange(len(best.query_ids)))
+        if best:
+            yield _batch(*best.result())
+
+    spark = documents.sparkSession
+    parts = whole_parts(spark, n_queries, documents.count(), WHOLE_PART_ROWS)
+    return over_query_parts(
+        asked.select(F.col("query_id").cast("bigint").alias("_id"), "embedding"),
+        [documents.select(F.col("doc_id").cast("bigint").alias("_id"), "embedding")],
+        parts,
+        score,
+        PARTIAL_SCHEMA,
+    )
+
+
 def _by_bucket(documents: DataFrame, plan: SignTables) -> DataFrame:
     """(_bucket, doc_id, embedding), a row per table, a bucket's rows together.
 

@@ -17,11 +17,11 @@ Two ways to bring the sides together:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citespark.functions.vectors import as_matrix, is_finite, is_unit
@@ -44,6 +44,8 @@ CELL_BYTES = 12
 # Query, document and score of one of the best that a task keeps.
 KEPT_BYTES = 24
 FLOOR_BYTES = 8
+# Queries of a part that meets all documents in one task.
+WHOLE_PART_ROWS = 16_384
 
 # Scores are compared at nine decimals: finer than the float32 vectors carry,
 # and coarse enough that summation order never decides a rank.
@@ -338,6 +340,54 @@ def _on_grid(
     )
 
 
+def whole_parts(spark: SparkSession, queries: int, documents: int, most_rows: int) -> int:
+    """Parts of a query set for :func:`over_query_parts`, some for each core if that is worth it."""
+    cores = spark.sparkContext.defaultParallelism
+    worth = min(2 * cores, -(-queries * documents // TASK_PAIRS))
+    parts = max(1, worth, -(-queries // most_rows))
+    return parts if parts < cores else -(-parts // cores) * cores
+
+
+def over_query_parts(
+    queries: DataFrame,
+    others: list[DataFrame],
+    parts: int,
+    score: Callable[[Iterator[tuple[int, pa.RecordBatch]]], Iterator[pa.RecordBatch]],
+    schema: str,
+    order: tuple[str, ...] = (),
+) -> DataFrame:
+    """Each part of ``queries`` meets all rows of ``others`` in a task of its own.
+
+    All tables have the same columns, the first is the id. ``score`` gets batches of one
+    side after the other, with its number: queries (0), then those of ``others``
+    (1 and up) as often as they are listed, each by ``order``. A query is in one task
+    only, so nothing of what a task finds has to be merged.
+    """
+    part = F.pmod(F.xxhash64(F.col(queries.columns[0])), F.lit(parts)).cast("int")
+    rows = queries.select(F.lit(0).alias("_side"), part.alias("_part"), "*")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    for side, other in enumerate(others, 1):
+        rows = rows.unionByName(other.select(F.lit(side).alias("_side"), every.alias("_part"), "*"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def by_side() -> Iterator[tuple[int, pa.RecordBatch]]:
+            for batch in batches:
+                sides = batch.column(0).to_numpy()
+                starts = np.flatnonzero(np.diff(sides)) + 1
+                for low, high in zip([0, *starts], [*starts, len(sides)]):
+                    if low < high:
+                        yield int(sides[low]), batch.slice(low, high - low)
+
+        return score(by_side())
+
+    return (
+        rows.repartitionById(parts, F.col("_part"))
+        .drop("_part")
+        .sortWithinPartitions("_side", *order)
+        .mapInArrow(run, schema)
+    )
+
+
 def best_per_query(partial: DataFrame, k: int) -> DataFrame:
     """Merge partial results: rank by score, ties by the lower document id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))

@@ -229,3 +229,28 @@ def test_buckets_of_documents_lie_together(spark):
             scores = np.round(documents.astype(float) @ documents[q].astype(float), 9)
             want = sorted(np.flatnonzero(probed), key=lambda d: (-scores[d], d))[:5]
             assert list(found[found.query_id == q].sort_values("rank").doc_id) == want
+
+
+def test_parts_of_many_queries_meet_each_document_once(spark, monkeypatch):
+    documents = clusters(900, 16, seed=8)
+    documents[::7] = documents[0]
+    docs, queries = table(spark, documents), table(spark, documents[:300], "query_id")
+    own_buckets = lsh._by_bucket
+
+    def laid_out(*_):
+        raise AssertionError("documents are laid out once per table")
+
+    for tables, bits, probes in ((3, 4, 7), (8, 3, 5), (1, 2, 3)):
+        plan = lsh.sign_tables(tables, bits, 16, probes=probes)
+        want = rankings(lsh.lsh_tables_topk(queries, docs, plan, 5))
+        monkeypatch.setattr(lsh, "_by_bucket", laid_out)
+        found = lsh.lsh_tables_topk(queries, docs, plan, 5, broadcast_bytes=5_000)
+        assert rankings(found) == want
+        monkeypatch.setattr(lsh, "_by_bucket", own_buckets)
+    # The edge of the probes is that of a stable sort of all buckets, ties included.
+    plan = lsh.sign_tables(3, 4, 16, probes=9)
+    margins = np.round(plan.margins(documents), 1)
+    flips = np.arange(16)[:, None] >> np.arange(4) & 1
+    for row, cut, last in zip(margins, *plan.edges(margins, 9)):
+        costs = [sum((m[b] for b in range(4) if f[b]), 0.0) for m in row for f in flips]
+        assert last == np.argsort(costs, kind="stable")[8] and cut == costs[last]
