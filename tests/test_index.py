@@ -254,3 +254,36 @@ def test_parts_of_many_queries_meet_each_document_once(spark, monkeypatch):
     for row, cut, last in zip(margins, *plan.edges(margins, 9)):
         costs = [sum((m[b] for b in range(4) if f[b]), 0.0) for m in row for f in flips]
         assert last == np.argsort(costs, kind="stable")[8] and cut == costs[last]
+
+
+def test_parts_of_many_queries_know_their_cuts_where_they_use_them(spark, tmp_path, monkeypatch):
+    documents = clusters(500, 16, seed=9)
+    documents[::9] = documents[0]
+    docs, queries = table(spark, documents), table(spark, documents[:200], "query_id")
+    index = quantized.write_index(docs, str(tmp_path / "index"), cells=9, pieces=4)
+    for probes, shortlist in ((9, 100), (9, 6), (3, 2), (1, 1)):
+        want = rankings(quantized.quantized_topk(queries, index, 5, probes, shortlist))
+        with monkeypatch.context() as patched:
+            # No list of sums is sent to be merged.
+            patched.setattr(quantized, "_cuts", None)
+            found = quantized.quantized_topk(queries, index, 5, probes, shortlist, 5_000)
+            assert rankings(found) == want
+            patched.setattr(quantized, "whole_parts", lambda *_: 3)
+            found = quantized.quantized_topk(queries, index, 5, probes, shortlist, 5_000)
+            assert rankings(found) == want
+
+
+def test_cuts_are_those_of_sorting_all_sums():
+    draw = np.random.default_rng(2)
+    sums = draw.normal(size=(30, 6_000)).astype(np.float32)
+    sums[:, ::5] = sums[:, :1]
+    sums[3, 40:] = -np.inf
+    for count in (1, 50, 700):
+        cuts = quantized._Cuts(30, count)
+        for low in range(0, 6_000, 1_500):
+            rows = draw.permutation(30)
+            cuts.add(rows, sums[rows, low : low + 1_500])
+        held = cuts.best()
+        want = -np.sort(-sums, axis=1)[:, :count]
+        assert np.array_equal(-np.sort(-held, axis=1), want)
+        assert np.array_equal(cuts.least, want[:, -1])
